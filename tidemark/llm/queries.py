@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, lines, packing
+from . import bpe, lines, packing, warc
 from .common import table
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark, table(spark, sf_dir, "pages"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_verdicts(table(spark, sf_dir, "documents"), with_text=False)
 
@@ -27,11 +31,13 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_warc": op1_warc,
     "op3_quality_rules": op3_quality_rules,
     "op4_bpe": op4_bpe,
     "op8_packing": op8_packing,
 }
 
 ORACLES = {
+    "op1_warc": warc.ORACLE,
     "op3_quality_rules": lines.oracle_sql(),
 }
