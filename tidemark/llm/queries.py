@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, lines, packing, warc
+from . import bpe, lines, neardup, packing, warc
 from .common import table
 
 
@@ -12,6 +12,10 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, table(spark, sf_dir, "pages"))
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_verdicts(table(spark, sf_dir, "documents"), with_text=False)
 
@@ -32,6 +36,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_warc": op1_warc,
+    "op2_near_duplicates": op2_near_duplicates,
     "op3_quality_rules": op3_quality_rules,
     "op4_bpe": op4_bpe,
     "op8_packing": op8_packing,
@@ -39,5 +44,6 @@ QUERIES = {
 
 ORACLES = {
     "op1_warc": warc.ORACLE,
+    "op2_near_duplicates": neardup.oracle_sql(),
     "op3_quality_rules": lines.oracle_sql(),
 }
