@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, lines, neardup, packing, quality, warc
+from . import bpe, langid, lines, lm, neardup, packing, quality, warc
 from .common import table
 
 
@@ -35,6 +35,10 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.train(docs))
 
 
+def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
@@ -51,6 +55,7 @@ QUERIES = {
     "op4_bpe": op4_bpe,
     "op6_language": op6_language,
     "op8_packing": op8_packing,
+    "op9_language_model": op9_language_model,
     "op10_quality": op10_quality,
 }
 
