@@ -19,6 +19,7 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -43,7 +44,7 @@ _other = re.compile("[^\x00-ɏ‐-‧‰-⁞]")
 class ByteTokens(dict):
     """Encodes texts as the tokenizers library does, asking it once for each word; ids as little-endian bytes."""
 
-    def __init__(self, path: str, most_words: int = 400_000):
+    def __init__(self, path: str, most_words: int = 700_000):
         from tokenizers import Tokenizer
 
         super().__init__()
@@ -60,7 +61,7 @@ class ByteTokens(dict):
         return got
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: str) -> bytes:
         if _other.search(text) or self.added and self.added.search(text):
@@ -68,6 +69,16 @@ class ByteTokens(dict):
         return b"".join(map(self.__getitem__, _words.findall(text)))
 
 
+_encoders: dict[str, ByteTokens] = {}
+
+
+def encoder(path: str) -> ByteTokens:
+    """A worker's encoder, whose words serve its later tasks too."""
+    if path not in _encoders:
+        _encoders[path] = ByteTokens(path)
+    return _encoders[path]
+
+
 def differencing(sizes: list[int], k: int) -> tuple[list[int], list[list[int]]]:
     """Karmarkar-Karp: the sums and members of k bins."""
     heap = [(-s, i, np.array([s] + [0] * (k - 1)), [[i]] + [[]] * (k - 1)) for i, s in enumerate(sizes)]
@@ -123,7 +134,7 @@ def _packer(path: str, how: Packing, names: list[str]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         next_id = (task.partitionId() if task else 0) << 40
-        tokens, out, waiting = ByteTokens(path), [], []
+        tokens, out, waiting = encoder(path), [], []
 
         def put(piece: tuple, sequence: int, offset: int) -> None:
             doc, start, ids, total = piece
