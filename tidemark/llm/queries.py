@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, lines, lm, neardup, packing, quality, warc
+from . import bpe, chat, langid, lines, lm, media, neardup, packing, quality, warc
 from .common import table
 
 
@@ -30,6 +30,14 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), with_ids=False)
 
 
+def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.vectors_as_recordings(table(spark, sf_dir, "embeddings"))
+
+
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.neighbours(table(spark, sf_dir, "conversations"))
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.predict(docs, langid.train(docs))
@@ -53,13 +61,16 @@ QUERIES = {
     "op2_near_duplicates": op2_near_duplicates,
     "op3_quality_rules": op3_quality_rules,
     "op4_bpe": op4_bpe,
+    "op5_media": op5_media,
     "op6_language": op6_language,
+    "op7_chat": op7_chat,
     "op8_packing": op8_packing,
     "op9_language_model": op9_language_model,
     "op10_quality": op10_quality,
 }
 
 ORACLES = {
+    "op7_chat": chat.ORACLE,
     "op1_warc": warc.ORACLE,
     "op2_near_duplicates": neardup.oracle_sql(),
     "op3_quality_rules": lines.oracle_sql(),
