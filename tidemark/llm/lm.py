@@ -203,7 +203,7 @@ def seat(customers: np.ndarray, base: np.ndarray, step: np.ndarray, discount: fl
         new = np.maximum(base[at] + step[at] * tables[at], 1e-12)
         shift = (new - 1) / 2 - discount * tables[at]
         with np.errstate(over="ignore"):
-            opens = np.ceil((here + shift) * draw.random(len(at)) ** (-1 / new) - shift)
+            opens = np.floor((here + shift) * draw.random(len(at)) ** (-1 / new) - shift)
         more = opens < customers[at]
         at, here = at[more], opens[more] + 1
         tables[at] += 1

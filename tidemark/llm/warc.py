@@ -175,7 +175,9 @@ def records_in(file, start: int, end: int) -> Iterator[tuple]:
 def read_warc(manifest: DataFrame, split_bytes: int = 8 << 20, with_payload: bool = False) -> DataFrame:
     """The records of the archives that a (path, bytes) table lists."""
     ranges = manifest.where("bytes > 0").select("path", "bytes", F.explode(F.sequence(F.lit(0), F.col("bytes") - 1, F.lit(split_bytes).cast("long"))).alias("start"))
-    ranges = ranges.repartition(F.col("path"), F.col("start"))
+    # the ranges are few bytes but much work: a stated number of partitions is not merged into a few tasks
+    splits = manifest.agg(F.sum(F.ceil(F.col("bytes") / split_bytes))).first()[0] or 1
+    ranges = ranges.repartition(int(splits), "path", "start")
     schema = RECORDS + (", payload binary" if with_payload else "")
     names = [x.split()[0] for x in schema.split(", ")]
     kinds = [pa.binary() if n == "payload" else pa.int64() if n == "payload_bytes" else pa.string() for n in names]
