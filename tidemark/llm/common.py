@@ -6,7 +6,9 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,3 +55,8 @@ def held_out(key: str, m: int, r: int = 2) -> Column:
 
 def backticked(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
+
+
+def values(column: pa.Array) -> Iterator:
+    """A column's values one at a time, so that a batch of long texts is not copied whole."""
+    return (x.as_py() for x in column)

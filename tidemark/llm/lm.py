@@ -11,9 +11,10 @@ their customers sit down in the parent, so all of them are counted and the model
 
 Gibbs sampling: in each sweep all customers of a dish leave and are seated one after the other; a customer opens
 a table with probability (strength + discount * tables) * P(dish in the parent) against (customers - discount * tables)
-of the dish. Each table sends a customer to the parent, whose probabilities are those of the sweep before. After 8
-customers, the next that opens a table is drawn by inverting its waiting time (with Stirling's ratio), which makes a seating as long as its
-tables. Probabilities are averaged over the sweeps after ``burn_in``. Discounts are n1 / (n1 + 2 n2) of each level's first counts.
+of the dish. Each table sends a customer to the parent, whose probabilities are those of the sweep before. The first 16
+customers are seated singly; from there on, in steps of an eighth more, the
+number of new tables is drawn at once, with the chance of one halfway through the step.
+So the steps of a seating grow with the logarithm of its count. Probabilities are averaged over the sweeps after ``burn_in``. Discounts are n1 / (n1 + 2 n2) of each level's first counts.
 
 Scoring is per row. The baseline looks words up among the ``hot`` commonest, which are broadcast; other words are
 joined with the distributed counts and added up per row.
@@ -31,16 +32,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held_out, stored
+from .common import held_out, stored, values
 
 #: The end token's place among the words, which are never empty, and its byte.
 END_WORD, END = b"", b"\n"
-BLOCK = 1 << 21
+BLOCK = 1 << 20
 WORD_BIT = np.uint64(1 << 63)
 
 
@@ -48,9 +50,9 @@ WORD_BIT = np.uint64(1 << 63)
 class PitmanYor:
     order: int = 5
     strength: float = 0.5
-    burn_in: int = 4
-    samples: int = 4
-    most: int = 3_000_000
+    burn_in: int = 3
+    samples: int = 3
+    most: int = 1_000_000
     hot: int = 1 << 17
     seed: int = 11
     folds: int = 7
@@ -61,7 +63,7 @@ class WordKeys(dict):
     """Words as 63-bit hashes below the bit that parts them from n-grams."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 400_000:
+        if len(self) >= 200_000:
             self.clear()
         got = self[word] = xxhash.xxh3_64_intdigest(word) >> 1 | 1 << 63
         return got
@@ -93,7 +95,7 @@ def ngram_keys(parts: list[bytes], order: int) -> np.ndarray:
 class Counts:
     """Numbers of equal keys, added up in blocks."""
 
-    def __init__(self, most: int = 3_000_000):
+    def __init__(self, most: int = 1_000_000):
         self.keys, self.counts, self.most = np.empty(0, np.uint64), np.empty(0, np.int64), most
 
     def add(self, keys: np.ndarray) -> None:
@@ -130,7 +132,7 @@ def corpus_counts(docs: DataFrame, how: PitmanYor) -> DataFrame:
             held = waiting = 0
 
         for b in batches:
-            for text in b.column(0).to_pylist():
+            for text in values(b.column(0)):
                 ws = words_of(text)
                 tokens.append(np.fromiter(map(keys.__getitem__, ws), np.uint64, len(ws)))
                 tokens.append(np.array([ends], np.uint64))
@@ -193,27 +195,28 @@ class Level:
 def seat(customers: np.ndarray, base: np.ndarray, step: np.ndarray, discount: float, draw: np.random.Generator) -> np.ndarray:
     """Tables after seating ``customers`` of each dish; base + step * tables is the weight of a new table."""
     tables = np.minimum(customers, 1).astype(np.int64)
-    for i in range(1, 8):
+    for i in range(1, 16):
         at = np.flatnonzero(customers > i)
         new = base[at] + step[at] * tables[at]
         tables[at] += draw.random(len(at)) * (i - discount * tables[at] + new) < new
-    at = np.flatnonzero(customers > 8)
-    here = np.full(len(at), 8.0)
+    at, here = np.flatnonzero(customers > 16), 16
     while len(at):
-        new = np.maximum(base[at] + step[at] * tables[at], 1e-12)
-        shift = (new - 1) / 2 - discount * tables[at]
-        with np.errstate(over="ignore"):
-            opens = np.floor((here + shift) * draw.random(len(at)) ** (-1 / new) - shift)
-        more = opens < customers[at]
-        at, here = at[more], opens[more] + 1
-        tables[at] += 1
-        stay = here < customers[at]
-        at, here = at[stay], here[stay]
+        more = np.minimum(here // 8, customers[at] - here)
+
+        def chance(seated: float | np.ndarray, tables: np.ndarray) -> np.ndarray:
+            new = base[at] + step[at] * tables
+            return new / (seated - discount * tables + new)
+
+        # the chance halfway, which the tables opened until then have changed
+        halfway = tables[at] + more / 2 * chance(here, tables[at])
+        tables[at] += draw.binomial(more, np.clip(chance(here + more / 2 - 0.5, halfway), 0, 1))
+        here += here // 8
+        at = at[customers[at] > here]
     return tables
 
 
 def sample(direct: list[tuple[np.ndarray, np.ndarray]], how: PitmanYor) -> list[dict[str, np.ndarray]]:
-    """Per level: keys, p (dish, kept sweep), contexts, back (context, kept sweep)."""
+    """Per level: keys, p (dish, kept sweep; the average at the last level), contexts, back (context, kept sweep)."""
     draw = np.random.default_rng(how.seed)
     levels: list[Level] = []
     keys, counts = direct[how.order]
@@ -253,41 +256,45 @@ def sample(direct: list[tuple[np.ndarray, np.ndarray]], how: PitmanYor) -> list[
                 level.customers = level.direct + np.bincount(child.parent, child.tables, len(level.keys)).astype(np.int64)
             others = level.all_tables[level.of] - level.tables
             level.tables = seat(level.customers, (how.strength + discounts[i] * others) * level.below, discounts[i] * level.below, discounts[i], draw)
-    return [
+    out = [
         {"keys": level.keys, "p": np.stack([a for a, _ in k], axis=1), "contexts": level.contexts, "back": np.stack([b for _, b in k], axis=1)}
         for level, k in zip(levels, kept)
     ]
+    # of the longest contexts only the average is used; shorter ones are multiplied per sweep on the way down
+    out[-1]["p"] = out[-1]["p"].mean(axis=1)
+    return out
 
 
 class Places:
     """Where each key stands in a list, by open addressing."""
 
     def __init__(self, keys: np.ndarray):
-        bits = max(4, int(len(keys) * 3).bit_length())
+        bits = max(4, int(len(keys) * 2).bit_length())
         self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
-        self.keys, self.at = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32)
+        self.keys, self.at = keys, np.full(1 << bits, -1, np.int32)
         todo = np.arange(len(keys), dtype=np.int32)
         slot = self._slot(keys)
         while len(todo):
             free = self.at[slot] < 0
             self.at[slot[free]] = todo[free]
-            placed = self.at[slot] == todo
-            self.keys[slot[placed]] = keys[todo[placed]]
-            todo, slot = todo[~placed], (slot[~placed] + 1) & self.mask
+            left = self.at[slot] != todo
+            todo, slot = todo[left], (slot[left] + 1) & self.mask
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Positions, -1 for keys that are not there."""
+        if not len(self.keys):
+            return np.full(len(keys), -1, np.int32)
         slot = self._slot(keys)
         out = self.at[slot]
-        todo = np.flatnonzero((out >= 0) & (self.keys[slot] != keys))
+        todo = np.flatnonzero((out >= 0) & (self.keys[out] != keys))
         slot = slot[todo]
         while len(todo):
             slot = (slot + 1) & self.mask
-            out[todo] = self.at[slot]
-            on = (out[todo] >= 0) & (self.keys[slot] != keys[todo])
+            out[todo] = here = self.at[slot]
+            on = (here >= 0) & (self.keys[here] != keys[todo])
             todo, slot = todo[on], slot[on]
         return out
 
@@ -299,7 +306,7 @@ class Scorer:
         self.levels, self.order = levels, order
         self.dishes = [Places(x["keys"]) for x in levels]
         self.rooms = [Places(x["contexts"]) for x in levels]
-        self.top = np.log10(levels[-1]["p"].mean(axis=1, dtype=np.float64)) if len(levels[-1]["keys"]) else np.empty(0)
+        self.top = np.log10(levels[-1]["p"].astype(np.float64))
 
     def log10(self, keys: np.ndarray) -> np.ndarray:
         """Of each n-gram's byte after its context."""
@@ -310,9 +317,11 @@ class Scorer:
         rest = np.flatnonzero(~hit)
         if not len(rest):
             return out
-        p = np.ones((len(rest), self.levels[-1]["p"].shape[1]))
+        p = np.ones((len(rest), self.levels[0]["back"].shape[1]))
         todo, key = np.arange(len(rest)), keys[rest]
-        for level in range(self.order, -1, -1):
+        room = self.rooms[-1].find(key >> np.uint64(8))
+        p[room >= 0] *= self.levels[-1]["back"][room[room >= 0]]
+        for level in range(self.order - 1, -1, -1):
             key = key & np.uint64((1 << 8 * (level + 1)) - 1)
             x = self.levels[level]
             at = self.dishes[level].find(key)
@@ -389,9 +398,9 @@ def _worker_tables(shared) -> tuple:
     return _tables[key]
 
 
-def _blocks(b: pa.RecordBatch, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+def _blocks(b: pa.RecordBatch, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of about so many bytes of text."""
-    sizes = np.cumsum([len(x) if x is not None else 0 for x in b.column(3).to_pylist()])
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(b.column(3)), 0).to_numpy())
     at = 0
     while at < len(b):
         upto = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + most)))
