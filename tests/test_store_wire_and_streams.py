@@ -96,7 +96,7 @@ def test_segments_rotate_and_are_cleaned_after_a_flush(make):
 def test_tables_and_limits(make, spark):
     s = make()
     s.put_all(spark.createDataFrame([("a", "1", 1), ("a", "2", 2), ("b", "3", 3)], "key string, value string, n int"), "n")
-    assert (s.get("a"), s.get("b"), s.next_seq) == ("2", "3", 4)
+    assert (s.get("a"), s.get("b")) == ("2", "3") and s.next_seq > 3
     s.put("k", "v" * 65_520)
     for key, value in (("k", "v" * 65_521), ("k" * 65_536, "")):
         with pytest.raises(errors.InvalidFormat):

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def cumulative(rows: DataFrame, size: Column, limit: int, seq: str = "seq", shard: int = 1 << 16) -> DataFrame:
+def cumulative(rows: DataFrame, size: Column, limit: int, seq: str = "seq", shard: int = 1 << 18) -> DataFrame:
     """Adds ``bucket``: the total size of all rows before (by seq) divided by the limit.
 
     Running totals are taken within shards of ``shard`` sequence numbers, and the shards' own totals are added to them: no

@@ -110,11 +110,9 @@ class Store:
     def put_all(self, rows: DataFrame, order: str) -> None:
         """Append a table (key, value), numbered in the order of a column, as one segment."""
         self.sync()
-        ordered = rows.orderBy(order).select("key", "value")
-        # consecutive numbers without a single-task window: the position in the sorted partitions
-        numbered = ordered.rdd.zipWithIndex().map(lambda r: (r[1], r[0][0], r[0][1])).toDF("i long, key string, value string")
-        base, now = self.next_seq, int(self.clock())
-        out = numbered.select((F.col("i") + base).alias("seq"), F.lit(self.segment).cast("long").alias("segment"), F.lit("put").alias("op"), "key", "value", F.lit(now).cast("long").alias("ts"))
+        # numbers grow along the sorted partitions without being consecutive, so no task has to see all rows
+        numbered = rows.orderBy(order).select((F.monotonically_increasing_id() + self.next_seq).alias("seq"), "key", "value")
+        out = numbered.select("seq", F.lit(self.segment).cast("long").alias("segment"), F.lit("put").alias("op"), "key", "value", F.lit(int(self.clock())).cast("long").alias("ts"))
         out.write.mode("append").parquet(f"{self.path}/log")
         self.next_seq = self.log().agg(F.max("seq")).first()[0] + 1
         self.segment, self.segment_used = self.segment + 1, 0
