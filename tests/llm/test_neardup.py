@@ -11,12 +11,12 @@ def docs(spark, rows):
     return spark.createDataFrame([(*r, 0, "x") for r in rows], "doc_id long, text string, id int, label string")
 
 
-def brute(rows, pct=80):
+def brute(rows, pct=80, n=2):
     """Every pair compared, links closed."""
     sets = {}
     for i, t in rows:
         w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
-        sets[i] = set(zip(w, w[1:])) if len(w) > 1 else set(map(tuple, [w] if w else []))
+        sets[i] = {tuple(w[j : j + n]) for j in range(max(1, len(w) - n + 1))} if w else set()
     root = {i: i for i in sets}
 
     def find(i):
@@ -25,8 +25,8 @@ def brute(rows, pct=80):
         return i
 
     ids = sorted(sets)
-    for n, i in enumerate(ids):
-        for j in ids[n + 1 :]:
+    for at, i in enumerate(ids):
+        for j in ids[at + 1 :]:
             a, b = sets[i], sets[j]
             if a and b and 100 * len(a & b) >= pct * len(a | b):
                 x, y = sorted((find(i), find(j)))
@@ -34,7 +34,10 @@ def brute(rows, pct=80):
     return {i: (len(sets[i]), find(i), find(i) == i) for i in ids}
 
 
-def run(df, how=Near()):
+TWO = Near(words=2)
+
+
+def run(df, how=TWO):
     return {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(df, how=how).collect()}
 
 
@@ -58,20 +61,25 @@ def test_as_brute_force(spark, seed):
     assert run(docs(spark, rows)) == brute(rows)
 
 
+def test_five_words(spark):
+    rows = corpus(5) + [(900, "a b c d e f"), (901, "A b c d e f"), (902, "a b c d"), (903, "a b c d"), (904, "a b c")]
+    assert run(docs(spark, rows), Near()) == brute(rows, n=5)
+
+
 def test_chains_and_large_clusters_in_small_blocks(spark):
     # a chain whose ends share little: neighbours are linked, few are linked to the hub
     base = [f"w{i}" for i in range(200)]
     rows = [(i, " ".join(base[2 * i : 2 * i + 100])) for i in range(40)]
     rows += [(100 + i, " ".join([*base[:100], f"tail{i}"])) for i in range(60)]
     expected = brute(rows)
-    assert run(docs(spark, rows), Near(block_docs=8)) == expected
-    assert run(docs(spark, rows), Near(block_bytes=4000)) == expected
+    assert run(docs(spark, rows), Near(words=2, block_docs=8)) == expected
+    assert run(docs(spark, rows), Near(words=2, block_bytes=4000)) == expected
 
 
 def test_without_broadcast(spark, monkeypatch):
     monkeypatch.setattr(neardup, "BROADCAST_ROWS", 0)
     rows = corpus(3, 60)
-    assert run(docs(spark, rows), Near(block_docs=4)) == brute(rows)
+    assert run(docs(spark, rows), Near(words=2, block_docs=4)) == brute(rows)
 
 
 def test_odd_rows(spark):
@@ -82,7 +90,7 @@ def test_odd_rows(spark):
 
 def test_repeated_rows_and_null_ids(spark):
     rows = [(1, "a b c d"), (1, "a b c d"), (2, "a b c d"), (None, "a b c d"), (3, "x y z"), (3, "p q r"), (4, "p q r")]
-    got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(docs(spark, rows)).collect()), key=str)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(docs(spark, rows), how=TWO).collect()), key=str)
     assert got == sorted([(1, 3, 1, True), (1, 3, 1, True), (2, 3, 1, False), (None, 3, None, True), (3, 2, 3, True), (3, 2, 3, True), (4, 2, 3, False)], key=str)
 
 

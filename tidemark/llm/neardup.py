@@ -1,7 +1,7 @@
 """Near-duplicate documents: MinHash bands propose, odd sketches and full shingle sets decide.
 
-A document's set holds its distinct two-word shingles as 64-bit hashes (a shorter text is one shingle as a whole, a
-text without words has no set). Documents with equal sets form a class, and only one member of each, the
+A document's set holds its distinct shingles of ``words`` words as 64-bit hashes (a shorter text is one shingle as a
+whole, a text without words has no set). Documents with equal sets form a class, and only one member of each, the
 smallest id, is compared. ``bands`` x ``rows`` MinHash samples give the keys of buckets; documents that meet in a
 bucket may be linked. The transitive closure of that relation parts the representatives into clusters, and no
 link leaves a cluster. Inside a cluster pairs are compared in blocks of bounded size: the samples of each
@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored
+from .common import stored, values
 
 #: Up to so many ids (some 50 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
@@ -43,6 +43,7 @@ BROADCAST_ROWS = 500_000
 
 @dataclass(frozen=True)
 class Near:
+    words: int = 5
     similar_pct: int = 80
     rows: int = 6
     bands: int = 40
@@ -55,7 +56,7 @@ class Near:
 
 class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 400_000:
+        if len(self) >= 200_000:
             self.clear()
         got = self[word] = xxhash.xxh3_64_intdigest(word)
         return got
@@ -67,13 +68,17 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def shingles(text: str | None, hashes: WordHashes) -> np.ndarray:
-    """The sorted distinct shingle hashes of a text."""
+def shingles(text: str | None, hashes: WordHashes, n: int = 2) -> np.ndarray:
+    """The sorted distinct hashes of a text's n-word shingles, or of the whole text if it is shorter."""
     words = (text or "").encode().lower().split()
     h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    if len(h) < 2:
-        return mixed(h)
-    return np.unique(mixed(mixed(h[:-1]) * np.uint64(0x9E3779B97F4A7C15) + h[1:]))
+    if not len(h):
+        return h
+    n = min(n, len(h))
+    out = mixed(h[: len(h) - n + 1] + np.uint64(n))
+    for i in range(1, n):
+        out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + h[i : len(h) - n + 1 + i])
+    return np.unique(out)
 
 
 class MinHash:
@@ -121,8 +126,8 @@ def features(docs: DataFrame, how: Near) -> DataFrame:
         hashes, minhash = WordHashes(), MinHash(how)
         for b in batches:
             n, key, bands = [], [], []
-            for text in b.column(1).to_pylist():
-                s = shingles(text, hashes)
+            for text in values(b.column(1)):
+                s = shingles(text, hashes, how.words)
                 n.append(len(s))
                 key.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 bands.append(minhash.keys(minhash.samples(s)) if len(s) else None)
@@ -221,7 +226,7 @@ def near_links(docs: DataFrame, how: Near = Near()) -> tuple[DataFrame, DataFram
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, minhash = WordHashes(), MinHash(how)
         for b in batches:
-            sets = [shingles(x, hashes) for x in b.column(2).to_pylist()]
+            sets = [shingles(x, hashes, how.words) for x in values(b.column(2))]
             sketches = [minhash.sketch(minhash.samples(s)) for s in sets]
             keep = pa.array([len(s) > 0 for s in sets])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(sketches, pa.binary())], schema.names).filter(keep)
@@ -313,8 +318,8 @@ def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return docs.join(_limited(gone), docs[id_col].cast("long") == F.col("_gone"), "left_anti")
 
 
-def oracle_sql(how: Near = Near()) -> str:
-    """Every pair compared, in DuckDB."""
+def oracle_sql(how: Near) -> str:
+    """Every pair compared, in DuckDB; for shingles of two words."""
     return f"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
 s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 2 THEN list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) WHEN len(ws) = 1 THEN ws END) AS sh FROM w),

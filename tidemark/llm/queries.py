@@ -12,8 +12,11 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, table(spark, sf_dir, "pages"))
 
 
+TWO_WORDS = neardup.Near(words=2)
+
+
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), how=TWO_WORDS)
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,6 +75,6 @@ QUERIES = {
 ORACLES = {
     "op7_chat": chat.ORACLE,
     "op1_warc": warc.ORACLE,
-    "op2_near_duplicates": neardup.oracle_sql(),
+    "op2_near_duplicates": neardup.oracle_sql(TWO_WORDS),
     "op3_quality_rules": lines.oracle_sql(),
 }
