@@ -18,7 +18,7 @@ columns may have any name. Scoring is per row, without a shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held_out
+from .common import held_out, values
 
 UPPER, DIGITS = bytes(range(0x41, 0x5B)), bytes(range(0x30, 0x3A))
 
@@ -35,7 +35,7 @@ UPPER, DIGITS = bytes(range(0x41, 0x5B)), bytes(range(0x30, 0x3A))
 @dataclass(frozen=True)
 class Discriminant:
     to_pooled: float = 0.05
-    to_round: float = 0.02
+    to_round: float = 0.1
     smoothing: float = 20.0
     most_rows: int = 20_000
     folds: int = 4
@@ -90,8 +90,9 @@ def fit(x: np.ndarray, y: np.ndarray, how: Discriminant) -> Model:
     return Model(how, ones / len(y), means, inverse, (logdet[0] - logdet[1]) / 2 + float(np.log(ones / (len(y) - ones))))
 
 
-def _matrix(texts: list[str | None], how: Discriminant) -> np.ndarray:
-    return np.array([statistics(t, how.smoothing) for t in texts]).reshape(len(texts), -1)
+def _matrix(texts: Iterable[str | None], how: Discriminant) -> np.ndarray:
+    rows = [statistics(t, how.smoothing) for t in texts]
+    return np.array(rows).reshape(len(rows), -1)
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", how: Discriminant = Discriminant()) -> Model:
@@ -103,7 +104,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = _matrix(b.column(1).to_pylist(), how)
+            x = _matrix(values(b.column(1)), how)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(x.tolist(), pa.list_(pa.float64()))], ["doc_id", "label", "x"])
 
     got = rows.select("doc_id", "text", "label").mapInArrow(run, f"doc_id {kind}, label int, x array<double>").groupBy("doc_id").agg(F.min("label").alias("label"), F.min("x").alias("x")).orderBy("doc_id").collect()
@@ -118,7 +119,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            s = model.scores(_matrix(b.column(2).to_pylist(), how))
+            s = model.scores(_matrix(values(b.column(2)), how))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s, pa.float64()), pa.array((s >= how.accept).astype(np.int32), pa.int32())], schema.names)
 
     return read.mapInArrow(run, schema)
