@@ -144,6 +144,10 @@ def test_segments_replay_and_tail(spark):
     sizes = {r.segment: (r.records, r.bytes) for r in wal.segment_sizes(cut).collect()}
     assert sum(r for r, _ in sizes.values()) == 100 and sizes[1] == (20, 20 * 1026) and sorted(sizes) == [1, 2, 3, 4, 5, 6]
     assert [r.segment for r in wal.closed_segments(cut).collect()] == [1, 2, 3, 4, 5]
+    assert wal.current_segment(cut) == 6 and wal.is_available(cut, 5) and not wal.is_available(cut, 6) and not wal.is_available(cut, 99)
+    assert [r.seq for r in wal.read_segment(cut, 2).collect()] == list(range(20, 20 + sizes[2][0]))
+    with pytest.raises(errors.NotFound):
+        wal.read_segment(cut, 99)
     replayed = wal.replay(cut, F.col("seq") == 25)
     assert sorted(r.seq for r in replayed.collect()) == [i for i in range(100) if cut_of(sizes, i) != 2 or i < 25]
     lag = {r.replica: (r.segments_behind, r.next_segment) for r in wal.replica_lag(cut, spark.createDataFrame([("a", 0), ("b", 4), ("c", 9)], "replica string, last_synced long")).collect()}

@@ -115,9 +115,52 @@ def test_an_unfinished_manifest_is_not_read(make, tmp_path):
     assert make().manifest().count() == 2
 
 
+def test_metrics_of_a_session(make):
+    s = make()
+    for i in range(10):
+        s.put(f"k{i}", "v" * 10)
+    assert s.get("k1") and s.get("k2") and s.get("none") is None
+    s.flush()
+    m = s.metrics().first()
+    assert (m.writes_total, m.writes_bytes, m.reads_total, m.reads_hits, m.reads_misses, m.flushes_total) == (10, 120, 3, 2, 1, 1)
+    assert (m.sstable_count, m.memtable_entries, m.write_amplification) == (1, 0, 0.0) and m.read_p99 >= m.read_p50 > 0
+    text = [r.line for r in s.prometheus("x").collect()]
+    assert "x_writes_total 10" in text and "# TYPE x_read_hit_rate gauge" in text and len(text) >= 45
+    from tidemark.operators import metrics
+
+    assert "  Reads: 3 (hits: 2, misses: 1)" in [r.line for r in metrics.summary(s.metrics()).collect()]
+
+
+def test_compaction_at_most_once_a_second(make):
+    s = make(compaction_on=False)
+    assert s.maybe_compact() is None
+    s.compaction_on, s.clock, calls = True, lambda: 5.0, []
+    s.compact = lambda: calls.append(1)
+    s.maybe_compact()
+    s.maybe_compact()
+    assert calls == [1]
+
+
+def test_histogram_is_bounded():
+    from tidemark.operators.metrics import Histogram
+
+    h = Histogram(keep=100, seed=1)
+    assert h.percentile(0.5) == 0
+    for i in range(1000):
+        h.observe(i)
+    assert len(h.values) == 100 and h.percentile(0.0) >= 0 and h.percentile(0.99) > 800
+
+
 # the line protocol
 
 
+def test_lines_against_a_store(make):
+    s = make()
+    got = [wire.execute(s, x) for x in ("PUT a 1 2", "get a\n", "GET b", "GET", "PUT a", "delete a", "", " \t", "x", "PUT k " + "v" * 70_000)]
+    assert got[:9] == ["OK", "VALUE 1 2", "NOT_FOUND", wire.GET_USAGE, wire.PUT_USAGE, wire.NO_DELETE, None, None, wire.UNKNOWN]
+    assert got[9].startswith("ERROR Invalid format")
+
+
 def test_lines_and_replies(spark):
     texts = ["PUT k v w", "put k", "GET k", " get\t", "GET nobody", "DELETE k", "", "  \t ", "NOPE x", "PUT  k v", "\tGET k \r\n", "GET"]
     lines = spark.createDataFrame(list(enumerate(texts)), "n int, line string")

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import ship
+
 
 def cumulative(rows: DataFrame, size: Column, limit: int, seq: str = "seq", shard: int = 1 << 18) -> DataFrame:
     """Adds ``bucket``: the total size of all rows before (by seq) divided by the limit.
@@ -66,6 +68,7 @@ def resetting(rows: DataFrame, limit: int, shards: int = 8) -> DataFrame:
         if out:
             yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in out], _types)
 
+    ship(rows.sparkSession)
     return dealt.mapInArrow(run, schema)
 
 

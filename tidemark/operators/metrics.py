@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,6 +70,23 @@ def rolling(snapshots: DataFrame, time: str, value: str, window: int = 60) -> Da
     return snapshots.withColumns({"samples": F.count("*").over(w), f"{value}_sum": F.sum(value).over(w), f"{value}_max": F.max(value).over(w)})
 
 
+class Histogram:
+    """A bounded sample of observations: once full, each new one replaces a random one, so recent ones prevail."""
+
+    def __init__(self, keep: int = 10_000, seed: int | None = None):
+        self.keep, self.values, self.draw = keep, [], random.Random(seed)
+
+    def observe(self, value: float) -> None:
+        if len(self.values) < self.keep:
+            self.values.append(value)
+        else:
+            self.values[self.draw.randrange(self.keep)] = value
+
+    def percentile(self, p: float) -> float:
+        """The value at rank floor((n - 1) * p); 0 if there is none."""
+        return sorted(self.values)[int((len(self.values) - 1) * p)] if self.values else 0
+
+
 # The series of the scrape format, in order: name, type, help.
 SERIES = [
     ("writes_total", "counter", "Total write operations"),
@@ -114,7 +133,10 @@ def as_json(snapshot: DataFrame, nested: str = "storage_metrics", outside: tuple
 SUMMARY = [
     ("Operations", [("Writes", "%d (%d MB)", ["writes_total", "writes_bytes:mb"]), ("Reads", "%d (hits: %d, misses: %d)", ["reads_total", "reads_hits", "reads_misses"]), ("Flushes", "%d", ["flushes_total"]), ("Compactions", "%d", ["compactions_total"])]),
     ("Read Performance", [("Hit Rate", "%.2f%%", ["read_hit_rate:pct"]), ("Miss Rate", "%.2f%%", ["read_miss_rate:pct"])]),
+    ("Bloom Filter", [("Hit Rate", "%.2f%%", ["bloom_hit_rate:pct"]), ("FP Rate", "%.2f%%", ["bloom_fp_rate:pct"]), ("Hits", "%d", ["bloom_hits"]), ("Misses", "%d", ["bloom_misses"]), ("False Pos", "%d", ["bloom_false_positives"])]),
     ("Compaction", [("Input", "%d MB", ["bytes_in:mb"]), ("Output", "%d MB", ["bytes_out:mb"]), ("Space Saved", "%.2f%%", ["space_savings:pct"]), ("Write Amp", "%.2fx", ["write_amplification"])]),
+    ("Latency (us)", [(f"{kind} {p}", "%.1f", [f"{kind.lower()}_{p}"]) for kind in ("Write", "Read", "Flush") for p in ("p50", "p99")]),
+    ("System State", [("MemTable", "%d MB (%d entries)", ["memtable_bytes:mb", "memtable_entries"]), ("SSTables", "%d", ["sstable_count"]), ("WAL Size", "%d MB", ["wal_bytes:mb"]), ("Disk Usage", "%d MB", ["disk_bytes:mb"])]),
 ]
 
 
@@ -128,7 +150,7 @@ def summary(snapshot: DataFrame) -> DataFrame:
 
     lines = []
     for title, rows in SUMMARY:
-        have = [r for r in rows if all(c.partition(":")[0] in snapshot.columns for c in r[2])]
+        have = [r for r in rows if {c.partition(":")[0] for c in r[2]} <= set(snapshot.columns)]
         if have:
             lines.append(F.lit(title + ":"))
             lines += [F.format_string(f"  {label}: {form}", *map(shown, cols)) for label, form, cols in have]

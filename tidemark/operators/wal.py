@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import errors
 from ..functions.scalar import record_bytes
 from ..schema import MAX_KEY, MAX_RECORD, RECORD_OVERHEAD
 from .buckets import cumulative
@@ -25,6 +26,24 @@ def closed_segments(log: DataFrame) -> DataFrame:
     return log.select("segment").distinct().join(F.broadcast(current), F.col("segment") < F.col("current")).select("segment").orderBy("segment")
 
 
+def current_segment(log: DataFrame) -> int:
+    """The segment that is written to; 1 for an empty log."""
+    return log.agg(F.coalesce(F.max("segment"), F.lit(1))).first()[0]
+
+
+def is_available(log: DataFrame, segment: int) -> bool:
+    """Whether a segment exists and is closed."""
+    return segment < current_segment(log) and not log.where(F.col("segment") == segment).isEmpty()
+
+
+def read_segment(log: DataFrame, segment: int) -> DataFrame:
+    """The records of one segment in order, open or closed; NotFound if there are none."""
+    rows = log.where(F.col("segment") == segment)
+    if rows.isEmpty():
+        raise errors.NotFound(f"segment {segment}")
+    return rows.orderBy("seq")
+
+
 def deletable(segments: DataFrame, flushed: Column, replica: Column) -> DataFrame:
     """Segments that retention lets go: older than the flushed one, and than the slowest replica's if there is one."""
     bound = F.when(replica > 0, F.least(flushed, replica)).otherwise(flushed)

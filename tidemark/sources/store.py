@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .. import errors
 from ..functions.scalar import memory_bytes, record_bytes
-from ..operators import compaction, lookup, resolve, wal
+from ..operators import compaction, lookup, metrics, resolve, wal
 from ..operators.runs import write_run
 from ..schema import MANIFEST, MAX_KEY, MAX_RECORD, OPLOG, RECORD_OVERHEAD, schema
 
@@ -29,6 +29,9 @@ class Store:
         self.compaction_on, self.least_runs, self.clock = compaction_on, least_runs, clock
         self.fs = spark._jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
         self.buffer: list[tuple] = []
+        self.started, self.compacted_at = clock(), float("-inf")
+        self.counts = dict.fromkeys(("writes_total", "writes_bytes", "reads_total", "reads_hits", "reads_misses", "flushes_total", "compactions_total", "bytes_in", "bytes_out"), 0)
+        self.latency = {k: metrics.Histogram() for k in ("write", "read", "flush")}
         last = self.log().agg(F.max("seq"), F.max("segment")).first()
         flushed = self.manifest().agg(F.max("max_seq")).first()[0]
         self.next_seq = max(last[0] or 0, flushed or 0) + 1
@@ -98,11 +101,14 @@ class Store:
             self.sync()
         if self.unflushed >= self.memtable_bytes:
             self.flush()
-            if self.compaction_on:
-                self.compact()
+            self.maybe_compact()
 
     def put(self, key: str, value: str) -> None:
+        start = time.perf_counter()
         self._append("put", key, value)
+        self.counts["writes_total"] += 1
+        self.counts["writes_bytes"] += len(key.encode()) + len(value.encode())
+        self.latency["write"].observe((time.perf_counter() - start) * 1e6)
 
     def delete(self, key: str) -> None:
         self._append("delete", key, "")
@@ -143,10 +149,20 @@ class Store:
         self.unflushed = 0
         if rows.isEmpty():
             return False
+        start = time.perf_counter()
         added = self._write_run(rows, self._next_run())
         self._commit(self.manifest().unionByName(added))
+        self.counts["flushes_total"] += 1
+        self.latency["flush"].observe((time.perf_counter() - start) * 1e6)
         return True
 
+    def maybe_compact(self) -> DataFrame | None:
+        """Compact if that is switched on and was not done within the last second."""
+        if not self.compaction_on or self.clock() - self.compacted_at < 1:
+            return None
+        self.compacted_at = self.clock()
+        return self.compact()
+
     def compact(self, least: int | None = None) -> DataFrame | None:
         """Merge the largest group of runs of similar size; returns its statistics, None if there is no such group."""
         listed = self.manifest()
@@ -164,6 +180,10 @@ class Store:
             self._commit(listed.where(~chosen))
         else:
             self._commit(listed.where(~chosen).unionByName(self._write_run(kept, self._next_run())))
+        done = stats.first()
+        self.counts["compactions_total"] += 1
+        self.counts["bytes_in"] += done.bytes_in
+        self.counts["bytes_out"] += done.bytes_out
         return stats
 
     def cleanup(self, replica_segment: int = 0) -> list[int]:
@@ -189,8 +209,12 @@ class Store:
         return self.memtable().unionByName(self.runs(where))
 
     def get(self, key: str) -> str | None:
+        start = time.perf_counter()
         holds = (F.col("min_key") <= key) & (F.col("max_key") >= key)
         row = resolve.live(self.versions(holds).where(F.col("key") == key), "log").first()
+        self.counts["reads_total"] += 1
+        self.counts["reads_misses" if row is None else "reads_hits"] += 1
+        self.latency["read"].observe((time.perf_counter() - start) * 1e6)
         return None if row is None else row.value
 
     def multi_get(self, keys: DataFrame) -> DataFrame:
@@ -208,3 +232,17 @@ class Store:
         runs = self.manifest().agg(F.count("*").alias("sstable_count"), F.coalesce(F.sum("entries"), F.lit(0)).alias("sstable_entries"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("sstable_bytes"))
         log = self.log().agg(F.coalesce(F.sum(record_bytes(F.octet_length("key"), F.octet_length("value"))), F.lit(0)).alias("wal_bytes"))
         return memory.join(runs, F.lit(True)).join(log, F.lit(True)).withColumn("disk_bytes", F.col("sstable_bytes") + F.col("wal_bytes"))
+
+    def metrics(self) -> DataFrame:
+        """One row: this session's counters and latencies, the derived rates, and the store's state."""
+        now = dict(self.counts, node_id=self.path, uptime_seconds=int(self.clock() - self.started))
+        now |= {f"{k}_{name}": float(h.percentile(p)) for k, h in self.latency.items() for name, p in (("p50", 0.5), ("p99", 0.99))}
+        row = self.spark.createDataFrame([now])
+        return metrics.space_rates(metrics.read_rates(row.join(self.stats(), F.lit(True))))
+
+    def prometheus(self, prefix: str = "engine") -> DataFrame:
+        """The scrape format (line_no, line) of the same."""
+        names = {"reads_hits_total": "reads_hits", "reads_misses_total": "reads_misses", "write_latency_p50_us": "write_p50", "write_latency_p99_us": "write_p99", "read_latency_p50_us": "read_p50", "read_latency_p99_us": "read_p99", "memtable_size_bytes": "memtable_bytes", "disk_usage_bytes": "disk_bytes", "wal_size_bytes": "wal_bytes", "compaction_space_savings": "space_savings"}
+        now = self.metrics()
+        pairs = [F.struct(F.lit(n).alias("name"), F.col(names.get(n, n)).cast("string").alias("shown")) for n, _, _ in metrics.SERIES if names.get(n, n) in now.columns]
+        return metrics.prometheus(now.select(F.explode(F.array(*pairs)).alias("p")).select("p.name", "p.shown"), prefix)

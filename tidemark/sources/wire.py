@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..errors import StorageError
 from ..functions.scalar import lossy_text, trimmed
 from ..operators.lookup import multi_get
 
@@ -32,6 +33,28 @@ def parse(lines: DataFrame, line: str = "line") -> DataFrame:
     return out.withColumn("error", error).drop("_p")
 
 
+def execute(store, line: str) -> str | None:
+    """Run one line against a store, as a connection would; None for an empty line."""
+    parts = line.strip().split(" ", 2)
+    verb = parts[0].upper()
+    if not verb:
+        return None
+    try:
+        if verb == "PUT":
+            if len(parts) < 3:
+                return PUT_USAGE
+            store.put(parts[1], parts[2])
+            return OK
+        if verb == "GET":
+            if len(parts) < 2:
+                return GET_USAGE
+            value = store.get(parts[1])
+            return NOT_FOUND if value is None else f"VALUE {value}"
+    except StorageError as e:
+        return f"ERROR {e}"
+    return NO_DELETE if verb == "DELETE" else UNKNOWN
+
+
 def replies(commands: DataFrame, log: DataFrame) -> DataFrame:
     """Adds ``reply`` to parsed lines, gets answered from the log as it stands; empty lines have none."""
     gets = commands.where("verb = 'GET' AND error IS NULL").select("key")

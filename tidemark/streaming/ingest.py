@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.resolve import latest, latest_value
+from ..session import ship
 
 LOG = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -47,6 +48,7 @@ def _keep_newest(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator
 
 def latest_by_state(stream: DataFrame, folder: str) -> DataFrame:
     """The same with explicit state per key; updates are appended to a changelog, whose last entries are the answer."""
+    ship(stream.sparkSession)
     at = f"{folder}/state-{uuid.uuid4().hex}"
     out = stream.groupBy("key").applyInPandasWithState(_keep_newest, "key string, value double, ts long, seq long", "ts long, seq long, value double", "update", "NoTimeout")
     _finished(out, f"{at}/state", lambda df, n: df.write.mode("append").parquet(f"{at}/out"), "update")
