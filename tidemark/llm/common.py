@@ -60,3 +60,10 @@ def backticked(name: str) -> str:
 def values(column: pa.Array) -> Iterator:
     """A column's values one at a time, so that a batch of long texts is not copied whole."""
     return (x.as_py() for x in column)
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in parts without copies, so that what is made from them stays small."""
+    for b in batches:
+        for at in range(0, len(b), rows):
+            yield b.slice(at, rows)

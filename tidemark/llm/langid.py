@@ -29,7 +29,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held_out
+from ..session import ship
+from .common import held_out, slices, values
 
 UNKNOWN = "und"
 BLOCK = 1 << 20
@@ -151,12 +152,13 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     sizes = kernel.sizes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             t = b.to_pylist()
             found = [(r["of_lang"], r["nth"], ngrams(r["text"], sizes)) for r in t]
             found = [(a, n, [x.astype(np.int32) for x in g]) for a, n, g in found if g is not None]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.int64()), pa.array([[y.tobytes() for y in x[2]] for x in found], pa.list_(pa.binary()))], ["lang", "nth", "grams"])
 
+    ship(docs.sparkSession)
     got = rows.select("of_lang", "nth", "text").mapInArrow(run, "lang string, nth long, grams array<binary>").collect()
     got.sort(key=lambda r: (r["nth"], r["lang"]))
     return fit([(r["lang"], [np.frombuffer(x, np.int32) for x in r["grams"]]) for r in got], kernel)
@@ -169,10 +171,11 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            names, scores = _in_parts(shared.value, b.column(2).to_pylist())
+        for b in slices(batches):
+            names, scores = shared.value.predict(b.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(names, pa.string()), pa.array(scores, pa.float64())], schema.names)
 
+    ship(docs.sparkSession)
     return read.mapInArrow(run, schema)
 
 
@@ -182,17 +185,9 @@ def known_language(docs: DataFrame, model: Model, text_col: str = "text") -> Dat
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found, _ = _in_parts(shared.value, b.column(at).to_pylist())
+        for b in slices(batches):
+            found, _ = shared.value.predict(b.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays(b.columns, names).filter(pa.array([x != UNKNOWN for x in found], pa.bool_()))
 
+    ship(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
-
-
-def _in_parts(model: Model, texts: list[str | None], n: int = 512) -> tuple[list[str], list[float]]:
-    names, scores = [], []
-    for i in range(0, len(texts), n):
-        a, b = model.predict(texts[i : i + n])
-        names += a
-        scores += b
-    return names, scores

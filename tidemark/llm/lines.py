@@ -29,6 +29,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import ship
+from .common import slices, values
+
 # Phrases that mark a line as boilerplate.
 BOILERPLATE = (
     "all rights reserved",
@@ -133,11 +136,12 @@ def line_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = {"n_words": pa.int64(), "base_failed": pa.bool_(), "kept": pa.bool_(), "cleaned": pa.string()}
-        for b in batches:
-            rows = [analyse(t, rules) for t in b.column(1).to_pylist()]
+        for b in slices(batches):
+            rows = [analyse(t, rules) for t in values(b.column(1))]
             cols = [pa.array((r[i] for r in rows), kinds.get(n, pa.int64())) for i, (n, _) in enumerate(fields)]
             yield pa.RecordBatch.from_arrays([b.column(0), *cols], ["doc_id", *(n for n, _ in fields)])
 
+    ship(docs.sparkSession)
     return read.mapInArrow(run, schema)
 
 
@@ -148,8 +152,8 @@ def clean_documents(docs: DataFrame, text_col: str = "text", chars_col: str = "n
     at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [analyse(t, rules) for t in b.column(at).to_pylist()]
+        for b in slices(batches):
+            rows = [analyse(t, rules) for t in values(b.column(at))]
             keep = pa.array([r[6] for r in rows], pa.bool_())
             cols = list(b.columns)
             cols[at] = pa.array([r[7] for r in rows], pa.string())
@@ -158,6 +162,7 @@ def clean_documents(docs: DataFrame, text_col: str = "text", chars_col: str = "n
                 cols[k] = pa.array([len(r[7]) for r in rows]).cast(b.schema.field(k).type)
             yield pa.RecordBatch.from_arrays(cols, names).filter(keep)
 
+    ship(docs.sparkSession)
     return docs.mapInArrow(run, schema)
 
 

@@ -38,7 +38,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held_out, stored, values
+from ..session import ship
+from .common import held_out, slices, stored, values
 
 #: The end token's place among the words, which are never empty, and its byte.
 END_WORD, END = b"", b"\n"
@@ -63,7 +64,7 @@ class WordKeys(dict):
     """Words as 63-bit hashes below the bit that parts them from n-grams."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 200_000:
+        if len(self) >= 100_000:
             self.clear()
         got = self[word] = xxhash.xxh3_64_intdigest(word) >> 1 | 1 << 63
         return got
@@ -131,7 +132,7 @@ def corpus_counts(docs: DataFrame, how: PitmanYor) -> DataFrame:
             tokens.clear()
             held = waiting = 0
 
-        for b in batches:
+        for b in slices(batches):
             for text in values(b.column(0)):
                 ws = words_of(text)
                 tokens.append(np.fromiter(map(keys.__getitem__, ws), np.uint64, len(ws)))
@@ -147,6 +148,7 @@ def corpus_counts(docs: DataFrame, how: PitmanYor) -> DataFrame:
         yield from words.taken()
         yield from grams.taken()
 
+    ship(docs.sparkSession)
     return stored(docs.select("text").mapInArrow(run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c")), "lm-counts")
 
 
@@ -354,7 +356,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", how:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer, places, logs = _worker_tables(shared)
         keys = WordKeys()
-        for b in batches:
+        for b in slices(batches):
             for some in _blocks(b):
                 texts = [words_of(t) for t in some.column(3).to_pylist()]
                 n = np.array([len(ws) + 1 for ws in texts])

@@ -35,7 +35,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored, values
+from ..session import ship
+from .common import slices, stored, values
 
 #: Up to so many ids (some 50 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
@@ -56,7 +57,7 @@ class Near:
 
 class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 200_000:
+        if len(self) >= 100_000:
             self.clear()
         got = self[word] = xxhash.xxh3_64_intdigest(word)
         return got
@@ -124,7 +125,7 @@ def features(docs: DataFrame, how: Near) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, minhash = WordHashes(), MinHash(how)
-        for b in batches:
+        for b in slices(batches):
             n, key, bands = [], [], []
             for text in values(b.column(1)):
                 s = shingles(text, hashes, how.words)
@@ -213,6 +214,7 @@ def _limited(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
 
 def near_links(docs: DataFrame, how: Near = Near()) -> tuple[DataFrame, DataFrame]:
     """(features, links): of rows (doc_id, text), with a long id, the stored features and links that join what is similar."""
+    ship(docs.sparkSession)
     feats = stored(features(docs, how), "near-features")
     known = feats.where("set_key IS NOT NULL AND doc_id IS NOT NULL")
     reps = known.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.min_by("keys", "doc_id").alias("keys"))
@@ -225,7 +227,7 @@ def near_links(docs: DataFrame, how: Near = Near()) -> tuple[DataFrame, DataFram
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, minhash = WordHashes(), MinHash(how)
-        for b in batches:
+        for b in slices(batches):
             sets = [shingles(x, hashes, how.words) for x in values(b.column(2))]
             sketches = [minhash.sketch(minhash.samples(s)) for s in sets]
             keep = pa.array([len(s) > 0 for s in sets])
@@ -314,8 +316,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", how: Near = Near()) -> DataFrame:
     """The documents that are the smallest of their component, with all their columns."""
     _, links = near_links(_read(docs, id_col, text_col), how)
-    gone = stored(components(links, "near-components").where("id <> label").select(F.col("id").alias("_gone")), "near-gone")
-    return docs.join(_limited(gone), docs[id_col].cast("long") == F.col("_gone"), "left_anti")
+    gone = _limited(stored(components(links, "near-components").where("id <> label").select("id"), "near-gone"))
+    return docs.join(gone, docs[id_col].cast("long") == gone["id"], "left_anti")
 
 
 def oracle_sql(how: Near) -> str:

@@ -27,7 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held_out, values
+from ..session import ship
+from .common import held_out, slices, values
 
 UPPER, DIGITS = bytes(range(0x41, 0x5B)), bytes(range(0x30, 0x3A))
 
@@ -103,10 +104,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             x = _matrix(values(b.column(1)), how)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(x.tolist(), pa.list_(pa.float64()))], ["doc_id", "label", "x"])
 
+    ship(docs.sparkSession)
     got = rows.select("doc_id", "text", "label").mapInArrow(run, f"doc_id {kind}, label int, x array<double>").groupBy("doc_id").agg(F.min("label").alias("label"), F.min("x").alias("x")).orderBy("doc_id").collect()
     return fit(np.array([r["x"] for r in got]), np.array([r["label"] for r in got], int), how)
 
@@ -118,8 +120,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     schema = T.StructType([read.schema["doc_id"], *T._parse_datatype_string("held_out boolean, score double, predicted int").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             s = model.scores(_matrix(values(b.column(2)), how))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s, pa.float64()), pa.array((s >= how.accept).astype(np.int32), pa.int32())], schema.names)
 
+    ship(docs.sparkSession)
     return read.mapInArrow(run, schema)

@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
 from .common import fresh_path, stored
 
 MAGIC = b"\x1f\x8b\x08"
@@ -100,6 +101,7 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
             out.close()
             yield pa.RecordBatch.from_pylist([{"path": path, "bytes": size, "records": records}])
 
+    ship(pages.sparkSession)
     return stored(rows.mapInArrow(run, MANIFEST), "warc-manifest")
 
 
@@ -197,6 +199,7 @@ def read_warc(manifest: DataFrame, split_bytes: int = 8 << 20, with_payload: boo
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
+    ship(manifest.sparkSession)
     return ranges.mapInArrow(run, schema)
 
 
