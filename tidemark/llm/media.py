@@ -6,7 +6,7 @@ two parts of a window, are quantised to two bits (Gray code) and packed into one
 
 Recordings with equal fingerprints form a class named after its smallest id. The query set is every recording whose id is
 divisible by ``query_step``; classes that hold one are compared with all classes. A pair is a candidate when it
-shares a packed integer; the histogram of the offsets between shared integers gives the alignment, and the
+shares a packed integer that is not that of silence; the histogram of the offsets between shared integers gives the alignment, and the
 share of differing bits over the overlap there decides.
 
 Defined results: a null, empty or too short recording has no integers, is its own class and matches nothing; values
@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored
+from ..session import ship
+from .common import slices, stored
 
 
 @dataclass(frozen=True)
@@ -49,18 +51,25 @@ def filters(width: int) -> list[tuple[int, int, int, int]]:
     return [(i % 4, 3 * (i // 4), (3, 4, 6, 12 - 3 * (i // 4))[i % 4], (width, width // 2, width, width // 2)[i // 4]) for i in range(16)]
 
 
+@lru_cache(8)
+def _fold(how: Chroma) -> tuple[np.ndarray, slice, np.ndarray]:
+    """The frame's window, the used frequencies, and the pitch class of each."""
+    hz = np.fft.rfftfreq(how.frame, 1 / how.rate)
+    used = np.flatnonzero((hz >= how.low_hz) & (hz <= how.high_hz))
+    fold = np.zeros((len(used), 12), np.float32)
+    fold[np.arange(len(used)), np.round(12 * np.log2(hz[used] / 440)).astype(int) % 12] = 1
+    return np.hanning(how.frame).astype(np.float32), slice(used[0], used[-1] + 1), fold
+
+
 def chroma_frames(samples: np.ndarray, how: Chroma) -> np.ndarray:
     """Energy of the twelve pitch classes per frame, each frame summing to 1 (silence: 0)."""
     n = (len(samples) - how.frame) // how.hop + 1
     if n < 1:
         return np.zeros((0, 12))
-    frames = np.lib.stride_tricks.sliding_window_view(samples, how.frame)[:: how.hop][:n]
-    power = np.abs(np.fft.rfft(frames * np.hanning(how.frame), axis=1)) ** 2
-    hz = np.fft.rfftfreq(how.frame, 1 / how.rate)
-    used = np.flatnonzero((hz >= how.low_hz) & (hz <= how.high_hz))
-    fold = np.zeros((len(hz), 12))
-    fold[used, np.round(12 * np.log2(hz[used] / 440)).astype(int) % 12] = 1
-    out = power @ fold
+    window, used, fold = _fold(how)
+    frames = np.lib.stride_tricks.sliding_window_view(samples.astype(np.float32), how.frame)[:: how.hop][:n]
+    spectrum = np.fft.rfft(frames * window, axis=1)[:, used]
+    out = ((spectrum.real**2 + spectrum.imag**2) @ fold).astype(np.float64)
     total = out.sum(axis=1, keepdims=True)
     return np.divide(out, total, out=np.zeros_like(out), where=total > 1e-9)
 
@@ -109,11 +118,12 @@ def fingerprints(recordings: DataFrame, id_col: str, data_col: str, samples: Cal
     read = recordings.select(F.col(id_col).cast("long").alias("id"), F.col(data_col).alias("data"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             codes = [packed(chroma_frames(samples(x, how), how), how) for x in b.column(1).to_pylist()]
             keys = [hashlib.blake2b(c.tobytes(), digest_size=16).digest() if len(c) else None for c in codes]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([c.view(np.int32) for c in codes], pa.list_(pa.int32())), pa.array(keys, pa.binary())], ["id", "codes", "fkey"])
 
+    ship(recordings.sparkSession)
     return read.mapInArrow(run, T._parse_datatype_string("id long, codes array<int>, fkey binary"))
 
 
@@ -124,7 +134,9 @@ def align(prints: DataFrame, how: Chroma = Chroma()) -> DataFrame:
     known = prints.where("fkey IS NOT NULL AND id IS NOT NULL")
     wanted = F.pmod("id", F.lit(how.query_step)) == 0
     classes = stored(known.groupBy("fkey").agg(F.min("id").alias("class_id"), F.min_by("codes", "id").alias("codes"), F.bool_or(wanted).alias("is_query")), "media-classes")
-    codes = classes.select("class_id", "is_query", F.posexplode("codes").alias("pos", "code"))
+    # a window of silence looks alike everywhere and casts no vote; its bits count like any others
+    silence = int(packed(np.zeros((how.width, 12)), how).view(np.int32)[0])
+    codes = classes.select("class_id", "is_query", F.posexplode("codes").alias("pos", "code")).where(F.col("code") != silence)
     queries = codes.where("is_query").select(F.col("class_id").alias("q"), F.col("pos").alias("q_pos"), "code")
     offset = (F.col("q_pos") - F.col("pos")).alias("offset")
     votes = codes.select("class_id", "pos", "code").join(queries, "code").where("class_id <> q").groupBy("q", "class_id", offset).agg(F.count("*").alias("n"))
