@@ -6,7 +6,7 @@ from pathlib import Path
 import pytest
 
 import corpus_pipeline
-from tidemark.llm import lines, neardup, packing
+from tidemark.llm import lines, neardup, tokens
 from tidemark.llm.queries import ORACLES, QUERIES, vocabulary
 
 DATA = "/root/testdata/sf0.001"
@@ -30,7 +30,7 @@ def test_each_stage_takes_effect(spark):
             assert set(after) == {r.doc_id for r in neardup.near_duplicates(docs).collect() if r.kept}
         docs = out
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, DATA).collect()
-    enc = packing.ByteTokens(vocabulary("byte_bpe_50k.json"))
+    enc = tokens.ByteTokens(vocabulary("byte_bpe_50k.json"))
     assert {r.doc_id: r.doc_tokens for r in pieces} == {r.doc_id: len(enc.encode(r.text)) // 4 + 1 for r in docs.collect()}
 
 

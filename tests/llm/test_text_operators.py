@@ -9,7 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from tidemark.llm import bpe, langid, lines, packing, quality
+from tidemark.llm import bpe, langid, lines, packing, quality, tokens
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 WORD = public_tokenizers.path("word_bpe_49k.json")
@@ -110,11 +110,20 @@ def test_encoded_documents(spark):
 
 
 def test_byte_tokens_as_the_library():
-    enc = packing.ByteTokens(BYTE, most_words=50)
+    enc = tokens.ByteTokens(BYTE, most_words=50)
     for text in odd_texts(4000, 5):
         assert np.frombuffer(enc.encode(text), "<u4").tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
+def test_every_token_and_random_words_as_the_library():
+    enc = tokens.ByteTokens(BYTE)
+    rnd = random.Random(8)
+    names = [t.replace("Ġ", " ") for t in enc.tokenizer.get_vocab() if t.replace("Ġ", "").isascii()]
+    texts = names + ["".join(rnd.choice(names) for _ in range(rnd.randint(2, 6))) for _ in range(20_000)]
+    for text, want in zip(texts, enc.tokenizer.encode_batch(texts, add_special_tokens=False)):
+        assert np.frombuffer(enc.encode(text), "<u4").tolist() == want.ids, text
+
+
 def test_differencing_balances():
     sums, bins = packing.differencing([8, 7, 6, 5, 4], 2)
     assert sorted(i for b in bins for i in b) == list(range(5)) and max(sums) - min(sums) == 2
@@ -129,7 +138,7 @@ def test_differencing_balances():
 
 
 def test_packed_pieces(spark):
-    enc = packing.ByteTokens(BYTE)
+    enc = tokens.ByteTokens(BYTE)
     rnd = random.Random(3)
     rows = ROWS + [(100 + i, " ".join(rnd.choice(["alpha", "Beta", "x1", "öl", "…"]) for _ in range(rnd.randint(0, 3000)))) for i in range(300)]
     got = packing.pack(docs(spark, rows).coalesce(2), BYTE, with_ids=True).collect()

@@ -28,26 +28,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .packing import LETTERS, NUMBERS, SPACE, _other
+from ..session import ship
+from .common import slices, values
+from .tokens import CONTRACTIONS, LETTERS, NUMBERS, OTHER, SPACE, Merges, byte_symbols
 
-# Fixed value: the contractions that the tokenizer file splits off.
-CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 _words = re.compile(f"[{LETTERS}]+|{CONTRACTIONS}|[{NUMBERS}]|[^{SPACE}{LETTERS}{NUMBERS}]+")
 #: Added to the last symbol of a word, in place of the suffix that marks it in the file.
 LAST = 0x1000
 
 
-def byte_symbols() -> list[str]:
-    """The printable character that stands for each byte in byte-level vocabularies."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in set(plain)]
-    return [chr(b if b in set(plain) else 256 + rest.index(b)) for b in range(256)]
-
-
 class PrefixBpe:
     """The encoder of one tokenizer file."""
 
-    def __init__(self, path: str, most_words: int = 250_000):
+    def __init__(self, path: str, most_words: int = 300_000):
         import ahocorasick
         from tokenizers import Tokenizer
 
@@ -68,16 +61,7 @@ class PrefixBpe:
             self.automaton.add_word(symbols, i)
             self.length[i] = len(symbols)
         self.automaton.make_automaton()
-        self.rank: dict[tuple[int, int], int] = {}
-        self.parts: dict[int, tuple[int, int]] = {}
-        self.born: dict[int, int] = {}
-        for r, m in enumerate(spec["model"]["merges"]):
-            a, b = m if isinstance(m, list) else m.split(" ")
-            x, y, whole = vocab[a], vocab[b], vocab[a + b]
-            self.rank[x, y] = r
-            self.parts[whole], self.born[whole] = (x, y), r
-        self.edges: dict[tuple[int, int], list[tuple[int, float]]] = {}
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.compatible = Merges(spec["model"]).compatible
         self.most_words = most_words
         self.known = _Words(self)
 
@@ -87,33 +71,6 @@ class PrefixBpe:
             return token[:-1] + chr(ord(token[-1]) + LAST)
         return token
 
-    def _edge(self, token: int, side: int) -> list[tuple[int, float]]:
-        """The symbols that stand at one edge while token is built, each with the rank that ends it."""
-        if (token, side) not in self.edges:
-            out, ends, t = [], float("inf"), token
-            while t is not None:
-                out.append((t, ends))
-                ends = self.born.get(t, -1)
-                t = self.parts[t][side] if t in self.parts else None
-            self.edges[token, side] = out
-        return self.edges[token, side]
-
-    def compatible(self, a: int, b: int) -> bool:
-        """Whether merging a's and b's symbols side by side yields a, b."""
-        got = self.fits.get((a, b))
-        if got is None:
-            got = True
-            for x, x_ends in self._edge(a, 1):
-                for y, y_ends in self._edge(b, 0):
-                    r = self.rank.get((x, y))
-                    # of equal rules the left one is applied first
-                    if r is not None and r < x_ends and r <= y_ends:
-                        got = False
-            if len(self.fits) > 2_000_000:
-                self.fits.clear()
-            self.fits[a, b] = got
-        return got
-
     def word(self, symbols: str) -> list[int]:
         """The ids of one word, given as byte symbols, the last one marked."""
         n = len(symbols)
@@ -157,7 +114,7 @@ class PrefixBpe:
             if special:
                 ids.append(str(self.added[part]))
                 out.append(part)
-            elif _other.search(part):
+            elif OTHER.search(part):
                 norm = self.library.normalizer.normalize_str(part)
                 for piece, _ in self.library.pre_tokenizer.pre_tokenize_str(norm):
                     got = self.mapped(piece)
@@ -194,6 +151,16 @@ class _Words(dict):
         return got
 
 
+_encoders: dict[str, PrefixBpe] = {}
+
+
+def encoder(path: str) -> PrefixBpe:
+    """A worker's encoder, whose words serve its later tasks too."""
+    if path not in _encoders:
+        _encoders[path] = PrefixBpe(path)
+    return _encoders[path]
+
+
 def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
     """One row per document: doc_id, n_tokens, digests of ids and of the decoded text, and (with_ids) both in full."""
     read = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -202,10 +169,10 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
         schema = schema.add("ids", T.ArrayType(T.IntegerType())).add("decoded", T.StringType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = PrefixBpe(tokenizer_path)
-        for b in batches:
+        bpe = encoder(tokenizer_path)
+        for b in slices(batches):
             rows = []
-            for text in b.column(1).to_pylist():
+            for text in values(b.column(1)):
                 ids, out = bpe.strings(text or "")
                 joined, decoded = " ".join(ids), " ".join(out)
                 row = (joined.count(" ") + 1 if joined else 0, hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
@@ -214,4 +181,5 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
             cols = [pa.array([r[i] for r in rows], kinds[i]) for i in range(len(schema) - 1)]
             yield pa.RecordBatch.from_arrays([b.column(0), *cols], schema.names)
 
+    ship(docs.sparkSession)
     return read.mapInArrow(run, schema)

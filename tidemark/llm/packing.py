@@ -17,9 +17,7 @@ empty table gives no rows; only the id and text columns are read, so other colum
 from __future__ import annotations
 
 import heapq
-import re
 import zlib
-from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -30,54 +28,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# The letters, numbers and white space of U+0000 to U+024F and U+2010 to U+205E, apart from which
-# the library itself splits a text into words.
-LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ"
-NUMBERS = "0-9\xb2\xb3\xb9\xbc-\xbe"
-SPACE = "\t-\r \x85\xa0    "
-_words = re.compile(
-    f" ?[{LETTERS}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[{NUMBERS}]+| ?[^{SPACE}{LETTERS}{NUMBERS}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
-)
-_other = re.compile("[^\x00-ɏ‐-‧‰-⁞]")
-
-
-class ByteTokens(dict):
-    """Encodes texts as the tokenizers library does, asking it once for each word; ids as little-endian bytes."""
-
-    def __init__(self, path: str, most_words: int = 700_000):
-        from tokenizers import Tokenizer
-
-        super().__init__()
-        self.tokenizer, self.most_words = Tokenizer.from_file(path), most_words
-        added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.added = re.compile("|".join(map(re.escape, added))) if added else None
-
-    def __missing__(self, word: str) -> bytes:
-        got = self.whole(word)
-        if len(word) < 64:
-            if len(self) >= self.most_words:
-                self.clear()
-            self[word] = got
-        return got
-
-    def whole(self, text: str) -> bytes:
-        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-
-    def encode(self, text: str) -> bytes:
-        if _other.search(text) or self.added and self.added.search(text):
-            return self.whole(text)
-        return b"".join(map(self.__getitem__, _words.findall(text)))
-
-
-_encoders: dict[str, ByteTokens] = {}
-
-
-def encoder(path: str) -> ByteTokens:
-    """A worker's encoder, whose words serve its later tasks too."""
-    if path not in _encoders:
-        _encoders[path] = ByteTokens(path)
-    return _encoders[path]
-
+from ..session import ship
+from .common import slices, values
+from .tokens import encoder
 
 def differencing(sizes: list[int], k: int) -> tuple[list[int], list[list[int]]]:
     """Karmarkar-Karp: the sums and members of k bins."""
@@ -124,6 +77,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     schema = T.StructType([read.schema["doc_id"], *T._parse_datatype_string(PIECES).fields])
     if with_ids:
         schema = schema.add("ids", T.ArrayType(T.IntegerType()))
+    ship(docs.sparkSession)
     return read.mapInArrow(_packer(tokenizer_path, how, schema.names), schema)
 
 
@@ -151,9 +105,9 @@ def _packer(path: str, how: Packing, names: list[str]) -> Callable:
                 next_id += 1
             waiting.clear()
 
-        for b in batches:
+        for b in slices(batches):
             kind = b.schema.field(0).type
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for doc, text in zip(b.column(0).to_pylist(), values(b.column(1))):
                 ids = tokens.encode(text or "") + end
                 n = len(ids) // 4
                 full = n // cap * cap
