@@ -53,7 +53,7 @@ class PrefixBpe:
         self.added = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.names |= {i: t for t, i in self.added.items()}
         self.specials = re.compile("(" + "|".join(map(re.escape, self.added)) + ")") if self.added else None
-        self.bytes = byte_symbols()
+        self.bytes = dict(enumerate(byte_symbols()))
         self.automaton = ahocorasick.Automaton()
         self.length: dict[int, int] = {}
         for t, i in vocab.items():
@@ -61,7 +61,7 @@ class PrefixBpe:
             self.automaton.add_word(symbols, i)
             self.length[i] = len(symbols)
         self.automaton.make_automaton()
-        self.compatible = Merges(spec["model"]).compatible
+        self.merges = Merges(spec["model"])
         self.most_words = most_words
         self.known = _Words(self)
 
@@ -74,20 +74,23 @@ class PrefixBpe:
     def word(self, symbols: str) -> list[int]:
         """The ids of one word, given as byte symbols, the last one marked."""
         n = len(symbols)
-        last: list[int] = [-1] * (n + 1)
-        ending: list[list[int]] = [[] for _ in range(n)]
+        last = [-1] * (n + 1)
+        length, fits, compatible = self.length, self.merges.fits, self.merges.compatible
         for at, token in self.automaton.iter(symbols):
-            ending[at].append(token)
-        for i in range(1, n + 1):
-            for token in ending[i - 1]:
-                before = i - self.length[token]
-                if before == 0 or last[before] >= 0 and self.compatible(last[before], token):
-                    last[i] = token
-                    break
+            if last[at + 1] < 0:
+                before = at + 1 - length[token]
+                if before:
+                    left = last[before]
+                    if left < 0:
+                        continue
+                    ok = fits.get((left, token))
+                    if not (compatible(left, token) if ok is None else ok):
+                        continue
+                last[at + 1] = token
         out, i = [], n
         while i:
             out.append(last[i])
-            i -= self.length[last[i]]
+            i -= length[last[i]]
         return out[::-1]
 
     def mapped(self, word: str) -> list[int]:
@@ -95,7 +98,7 @@ class PrefixBpe:
         return self.word(word[:-1] + chr(ord(word[-1]) + LAST) if self.suffix else word)
 
     def raw(self, word: str) -> list[int]:
-        return self.mapped("".join([self.bytes[b] for b in word.encode()]))
+        return self.mapped(word.encode().decode("latin-1").translate(self.bytes))
 
     def segments(self, text: str) -> Iterator[tuple[bool, str]]:
         """(is a special token, text) in order."""
