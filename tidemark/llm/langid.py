@@ -143,9 +143,11 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """Fit on the bounded sample; languages are the non-null values of lang_col outside the left-out fold."""
     ids = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang")).where("lang IS NOT NULL AND doc_id IS NOT NULL").where(~held_out("doc_id", kernel.folds, kernel.left_out))
     order = [F.xxhash64(F.col("doc_id").cast("string")), F.col("doc_id")]
-    # a hash threshold from each language's count leaves few rows to be ranked, whatever the number of tasks
-    counts = ids.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(4.0 * kernel.per_language) / F.count("*")).alias("share"))
-    ids = ids.join(counts, "lang").where(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(1)), F.lit(1 << 40)) <= F.col("share") * float(1 << 40)).drop("share")
+    # a hash threshold from each language's count leaves few rows to be ranked, whatever the number of tasks; the sample
+    # holds no more languages than rows, so their table is small enough to be broadcast
+    counts = ids.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(kernel.most)
+    counts = counts.select("lang", F.least(F.lit(1.0), F.lit(4.0 * kernel.per_language) / F.col("n")).alias("share"))
+    ids = ids.join(F.broadcast(counts), "lang").where(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(1)), F.lit(1 << 40)) <= F.col("share") * float(1 << 40)).drop("share")
     ranked = ids.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("nth") <= kernel.per_language)
     chosen = ranked.orderBy("nth", "lang").limit(kernel.most).select("doc_id", F.col("lang").alias("of_lang"), "nth").distinct()
     rows = _read(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "of_lang").agg(F.min("text").alias("text"), F.min("nth").alias("nth"))
