@@ -146,12 +146,12 @@ def components(links: DataFrame, name: str) -> DataFrame:
     state = None
     while True:
         both = edges.union(edges.select("b", "a"))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
-        small = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", "m"))
-        edges = stored(small.distinct(), name)
+        # both sides of each join come straight from tables, so that a hub's rows can be split between tasks
+        least = stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), name)
+        large = stored(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")), name)
+        least = stored(large.groupBy("a").agg(F.min("b").alias("m")), name)
+        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        edges = stored(small.union(least.select("a", "m")).distinct(), name)
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if now == state:
             break
@@ -217,7 +217,7 @@ def near_links(docs: DataFrame, how: Near = Near()) -> tuple[DataFrame, DataFram
     ship(docs.sparkSession)
     feats = stored(features(docs, how), "near-features")
     known = feats.where("set_key IS NOT NULL AND doc_id IS NOT NULL")
-    reps = known.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.min_by("keys", "doc_id").alias("keys"))
+    reps = stored(known.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.min_by("keys", "doc_id").alias("keys"), F.count("*").alias("n")), "near-classes")
     buckets = stored(reps.select("id", F.explode("keys").alias("key")), "near-buckets")
     shared = buckets.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("top")).where("hub < top").select("key", "hub")
     maybe = buckets.join(shared, "key").where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b"))
@@ -266,7 +266,7 @@ def near_links(docs: DataFrame, how: Near = Near()) -> tuple[DataFrame, DataFram
     links = found.select(F.col("id").alias("a"), F.col("root").alias("b"))
     if large.head(1):
         links = links.union(_across(sets, found, large, how))
-    copies = known.select("doc_id", "set_key").join(reps.select("set_key", "id"), "set_key").where("doc_id <> id")
+    copies = known.select("doc_id", "set_key").join(reps.where("n > 1").select("set_key", "id"), "set_key").where("doc_id <> id")
     return feats, links.union(copies.select(F.col("doc_id").alias("a"), F.col("id").alias("b")))
 
 
