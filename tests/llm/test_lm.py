@@ -132,3 +132,31 @@ def test_places():
     assert (places.find(keys) == np.arange(len(keys))).all()
     assert (lm.Places(keys[::2]).find(keys[1::2]) == -1).all()
     assert lm.Places(keys[:0]).find(keys[:3]).tolist() == [-1] * 3
+
+
+def test_no_ngram_is_left_out_of_a_large_model(spark):
+    """Twice the same texts with more n-grams than any bound on the model: learned by heart, byte for byte."""
+    draw = np.random.default_rng(3)
+    texts = [bytes(draw.integers(97, 123, 4000, np.uint8)).decode() for _ in range(400)]
+    rows = [(i, t) for i, t in enumerate(texts * 2)]
+    got = [r for r in lm.score(docs(spark, rows)).collect()]
+    twice = [i for i in range(400) if not any(zlib.crc32(str(j).encode()) % 7 == 2 for j in (i, i + 400))]
+    assert len(twice) > 200
+    by = {r.doc_id: r.score for r in got}
+    assert all(by[i] > -0.2 * 4001 for i in twice)
+
+
+def test_shards_hold_every_ngram_and_score_as_one_model(spark):
+    how, texts = PitmanYor(order=4), [t for _, t in corpus(80)]
+    table = docs(spark, corpus(80)).selectExpr("doc_id AS row", "doc_id", "false AS held_out", "true AS learned", "text")
+    cut = lm.blocks(table, how, 16)
+    short, states = lm.sample_shards(cut, how)
+    keys = [lm._tree(bytes(r.state), how.order).levels[-1].keys for r in states.collect()]
+    want, counts = counts_of(texts, how)
+    assert len(keys) > 1 and (np.sort(np.concatenate(keys)) == want).all()
+    told = lm.answers(cut, short, states, how).collect()
+    logs = dict(zip(np.concatenate([np.frombuffer(r["keys"], np.uint64) for r in told]).tolist(), np.concatenate([np.frombuffer(r["logs"], np.float64) for r in told]).tolist()))
+    whole = scorer(texts, how).log10(want)
+    mine = np.array([logs[k] for k in want.tolist()])
+    # two chains of the same sampler
+    assert abs(np.average(mine, weights=counts) - np.average(whole, weights=counts)) < 0.01 and np.abs(mine - whole).mean() < 0.1

@@ -4,10 +4,11 @@ The model's text is its words in ASCII lower case, one space between them and an
 symbols are bytes, which need no unknown word, and a context is the ``order`` bytes before. Every context is a restaurant
 whose parent is the context without its oldest byte; the root's base measure is uniform over 256 bytes.
 
-Counting covers the whole training part: each task counts the byte n-grams and the words that it reads, and one
-shuffle adds the counts up. Word counts stay distributed. Byte contexts come to the driver as at most ``most``
-n-grams a level: where there are more, the contexts with fewest customers open no restaurant of their own and
-their customers sit down in the parent, so all of them are counted and the model's size is bounded.
+Counting covers the whole training part, and the model holds every n-gram of it. Tasks cut what they read into blocks of
+about ``BLOCK_TEXT`` bytes and count each block's n-grams and words in ``shards``, whose number grows with the text. A shard
+of n-grams holds all whose three nearest context bytes fall into it, so it has whole restaurants with all their ancestors
+down to contexts of three bytes. Shorter contexts (at most 2^24 n-grams, whatever the corpus) are seated in the driver, which
+exchanges with the shards in each sweep: the shards' tables are its customers, its probabilities are their base measure.
 
 Gibbs sampling: in each sweep all customers of a dish leave and are seated one after the other; a customer opens
 a table with probability (strength + discount * tables) * P(dish in the parent) against (customers - discount * tables)
@@ -16,7 +17,7 @@ customers are seated singly; from there on, in steps of an eighth more, the
 number of new tables is drawn at once, with the chance of one halfway through the step.
 So the steps of a seating grow with the logarithm of its count. Probabilities are averaged over the sweeps after ``burn_in``. Discounts are n1 / (n1 + 2 n2) of each level's first counts.
 
-Scoring is per row. The baseline looks words up among the ``hot`` commonest, which are broadcast; other words are
+Scoring: each shard answers the n-grams of each block, and each block adds the answers up per row. The baseline looks words up among the ``hot`` commonest, which are broadcast; other words are
 joined with the distributed counts and added up per row.
 
 Defined results: a null or empty text is the end token alone; rows with a null id are scored, not learned from,
@@ -27,6 +28,7 @@ have any name. Long texts are cut into blocks that overlap by one context.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,16 +36,21 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ship
-from .common import held_out, slices, stored, values
+from .common import held_out, slices, stored
 
 #: The end token's place among the words, which are never empty, and its byte.
 END_WORD, END = b"", b"\n"
 BLOCK = 1 << 20
+#: Bytes of text whose n-grams are looked up together.
+BLOCK_TEXT = 1 << 24
+#: Contexts of at least so many bytes are held by shards, shorter ones by the driver.
+NEAR = 3
 WORD_BIT = np.uint64(1 << 63)
 
 
@@ -53,7 +60,8 @@ class PitmanYor:
     strength: float = 0.5
     burn_in: int = 3
     samples: int = 3
-    most: int = 1_000_000
+    #: a bound for ``model_counts`` alone; ``score`` has none
+    most: int | None = None
     hot: int = 1 << 17
     seed: int = 11
     folds: int = 7
@@ -93,63 +101,115 @@ def ngram_keys(parts: list[bytes], order: int) -> np.ndarray:
     return key[valid]
 
 
+def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order, with the sums of their counts."""
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, int)
+    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
+
+
 class Counts:
     """Numbers of equal keys, added up in blocks."""
 
-    def __init__(self, most: int = 1_000_000):
-        self.keys, self.counts, self.most = np.empty(0, np.uint64), np.empty(0, np.int64), most
+    def __init__(self):
+        self.keys, self.counts = np.empty(0, np.uint64), np.empty(0, np.int64)
 
-    def add(self, keys: np.ndarray) -> None:
+    def add(self, keys: np.ndarray, weight: int = 1) -> None:
         keys, counts = np.unique(keys, return_counts=True)
-        keys, counts = np.concatenate([self.keys, keys]), np.concatenate([self.counts, counts])
-        order = np.argsort(keys, kind="stable")
-        keys, counts = keys[order], counts[order]
-        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, int)
-        self.keys, self.counts = keys[first], np.add.reduceat(counts, first) if len(first) else counts
+        self.keys, self.counts = summed(np.concatenate([self.keys, keys]), np.concatenate([self.counts, counts * weight]))
 
-    def taken(self, least: int = 0) -> Iterator[pa.RecordBatch]:
-        """The counts, which are then forgotten, once there are more than ``least`` keys."""
-        if len(self.keys) > least:
-            for i in range(0, len(self.keys), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(self.keys[i : i + (1 << 16)].view(np.int64)), pa.array(self.counts[i : i + (1 << 16)])], ["key", "c"])
-            self.keys, self.counts = np.empty(0, np.uint64), np.empty(0, np.int64)
 
+def shard_of(keys: np.ndarray, order: int, shards: int) -> np.ndarray:
+    """An n-gram's shard, by its nearest context bytes."""
+    near = (keys >> np.uint64(8)) & np.uint64((1 << 8 * min(NEAR, order)) - 1)
+    return ((near * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(shards)).astype(np.int64)
+
+
+BLOCKS = "block long, shard long, keys binary, counts binary, rows binary"
 
-def corpus_counts(docs: DataFrame, how: PitmanYor) -> DataFrame:
-    """(key, c) of all words (negative keys) and byte n-grams of the rows of (doc_id, text), stored."""
+
+def blocks(docs: DataFrame, how: PitmanYor, shards: int) -> DataFrame:
+    """Rows (row, doc_id, held_out, learned, text) as blocks, stored: per block its rows, and its distinct n-grams with their numbers
+    in learned rows, by shard; the words of learned rows by negative shards."""
+    names = [f.split()[0] for f in BLOCKS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, words, grams = WordKeys(), Counts(), Counts()
-        ends = keys[END_WORD]
-        parts, held, tokens, waiting = [], 0, [], 0
-
-        def settle() -> None:
-            nonlocal held, waiting
-            if parts:
-                grams.add(ngram_keys(parts, how.order))
-                words.add(np.concatenate(tokens))
-            parts.clear()
-            tokens.clear()
-            held = waiting = 0
-
-        for b in slices(batches):
-            for text in values(b.column(0)):
-                ws = words_of(text)
-                tokens.append(np.fromiter(map(keys.__getitem__, ws), np.uint64, len(ws)))
-                tokens.append(np.array([ends], np.uint64))
-                for p in pieces(ws, how.order):
-                    parts.append(p)
-                    held += len(p)
-                    if held >= BLOCK:
-                        settle()
-            yield from words.taken(words.most)
-            yield from grams.taken(grams.most)
-        settle()
-        yield from words.taken()
-        yield from grams.taken()
+        word_keys = WordKeys()
+        ends, block, some, size = word_keys[END_WORD], TaskContext.get().partitionId() << 32, [], 0
+
+        def row(shard: int | None, keys: bytes | None, counts: bytes | None, rows: bytes | None) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([shard], pa.int64()), *(pa.array([x], pa.binary()) for x in (keys, counts, rows))], names)
+
+        def cut(shard: np.ndarray, counts: Counts) -> Iterator[pa.RecordBatch]:
+            order = np.argsort(shard, kind="stable")
+            keys, numbers, shard = counts.keys[order], counts.counts[order], shard[order]
+            at = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])) if len(shard) else np.empty(0, int)
+            for i, j in zip(at, [*at[1:], len(shard)]):
+                yield row(int(shard[i]), keys[i:j].tobytes(), numbers[i:j].tobytes(), None)
+
+        def finished() -> Iterator[pa.RecordBatch]:
+            words, grams = Counts(), Counts()
+            for b in some:
+                for learned in (True, False):
+                    parts, tokens, held = [], [], 0
+                    for text, is_learned in zip(b.column(4), b.column(3)):
+                        if is_learned.as_py() != learned:
+                            continue
+                        ws = words_of(text.as_py())
+                        if learned:
+                            tokens.append(np.fromiter(map(word_keys.__getitem__, ws), np.uint64, len(ws)))
+                            tokens.append(np.array([ends], np.uint64))
+                        for p in pieces(ws, how.order):
+                            parts.append(p)
+                            held += len(p)
+                            if held >= BLOCK:
+                                grams.add(ngram_keys(parts, how.order), int(learned))
+                                parts, held = [], 0
+                    if parts:
+                        grams.add(ngram_keys(parts, how.order), int(learned))
+                    if tokens:
+                        words.add(np.concatenate(tokens))
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, some[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                for b in some:
+                    out.write_batch(b)
+            yield row(None, None, None, sink.getvalue().to_pybytes())
+            yield from cut(shard_of(grams.keys, how.order, shards), grams)
+            yield from cut(-1 - (words.keys % np.uint64(shards)).astype(np.int64), words)
+
+        for whole in slices(batches):
+            for b in _blocks(whole):
+                some.append(b)
+                size += b.nbytes
+                if size >= BLOCK_TEXT:
+                    yield from finished()
+                    some, size, block = [], 0, block + 1
+        if some:
+            yield from finished()
 
     ship(docs.sparkSession)
-    return stored(docs.select("text").mapInArrow(run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c")), "lm-counts")
+    return stored(docs.mapInArrow(run, BLOCKS), "lm-blocks")
+
+
+def _total(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    return summed(*(np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in t[name]]) for name, kind in (("keys", np.uint64), ("counts", np.int64))))
+
+
+def shard_counts(cut: DataFrame, name: str) -> DataFrame:
+    """(key, c) of all learned n-grams (or words) of blocks, stored."""
+
+    def total(t: pa.Table) -> pa.Table:
+        keys, counts = _total(t)
+        return pa.table({"key": keys[counts > 0].view(np.int64), "c": counts[counts > 0]})
+
+    return stored(cut.select("shard", "keys", "counts").groupBy("shard").applyInArrow(total, "key long, c long"), name)
+
+
+def corpus_counts(docs: DataFrame, how: PitmanYor) -> DataFrame:
+    """(key, c) of all words (negative keys) and byte n-grams of the rows of (doc_id, text), stored."""
+    rows = docs.select(F.lit(0).cast("long").alias("row"), "doc_id", F.lit(False).alias("held_out"), F.lit(True).alias("learned"), "text")
+    return shard_counts(blocks(rows, how, 16).where("shard IS NOT NULL"), "lm-counts")
 
 
 def model_counts(grams: DataFrame, how: PitmanYor) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -157,7 +217,7 @@ def model_counts(grams: DataFrame, how: PitmanYor) -> list[tuple[np.ndarray, np.
     out = [(np.empty(0, np.uint64), np.empty(0, np.int64))] * (how.order + 1)
     for level in range(how.order, -1, -1):
         shorter = None
-        if grams.count() > how.most and level:
+        if how.most is not None and grams.count() > how.most and level:
             totals = grams.groupBy(F.shiftrightunsigned("key", 8).alias("ctx")).agg(F.floor(F.log2(F.sum("c"))).alias("size"), F.count("*").alias("n"))
             at, left = 64, how.most
             for size, n in sorted(totals.groupBy("size").agg(F.sum("n")).collect(), reverse=True):
@@ -217,54 +277,168 @@ def seat(customers: np.ndarray, base: np.ndarray, step: np.ndarray, discount: fl
     return tables
 
 
-def sample(direct: list[tuple[np.ndarray, np.ndarray]], how: PitmanYor) -> list[dict[str, np.ndarray]]:
-    """Per level: keys, p (dish, kept sweep; the average at the last level), contexts, back (context, kept sweep)."""
-    draw = np.random.default_rng(how.seed)
-    levels: list[Level] = []
-    keys, counts = direct[how.order]
-    for length in range(how.order, -1, -1):
-        levels.append(Level(keys, counts, length))
-        if length:
-            above = np.unique(np.concatenate([keys & np.uint64((1 << 8 * length) - 1), direct[length - 1][0]]))
-            counts = np.zeros(len(above), np.int64)
-            counts[np.searchsorted(above, direct[length - 1][0])] = direct[length - 1][1]
-            levels[-1].parent = np.searchsorted(above, keys & np.uint64((1 << 8 * length) - 1))
-            keys = above
-    levels.reverse()
-    # at first every dish has one table
-    for child, level in zip(levels[:0:-1], levels[-2::-1]):
-        level.customers = level.direct + np.bincount(child.parent, child.tables, len(level.keys)).astype(np.int64)
-    discounts = []
-    for level in levels:
-        n1, n2 = (int((level.customers == n).sum()) for n in (1, 2))
-        discounts.append(min(0.95, max(0.05, n1 / (n1 + 2 * n2))) if n1 + n2 else 0.5)
-    kept: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in levels]
-    for sweep in range(how.burn_in + how.samples + 1):
-        p = np.empty(0)
-        for i, level in enumerate(levels):
+class Tree:
+    """Restaurants of the context lengths from ``low`` on, with all their ancestors down to there.
+
+    ``outer`` are the dishes of the parents of the shortest ones, which are elsewhere."""
+
+    def __init__(self, direct: list[tuple[np.ndarray, np.ndarray]], low: int = 0):
+        self.levels: list[Level] = []
+        keys, counts = direct[-1]
+        for i in range(len(direct) - 1, -1, -1):
+            self.levels.append(Level(keys, counts, low + i))
+            if low + i:
+                up = keys & np.uint64((1 << 8 * (low + i)) - 1)
+                above = np.unique(np.concatenate([up, direct[i - 1][0]]) if i else up)
+                if i:
+                    counts = np.zeros(len(above), np.int64)
+                    counts[np.searchsorted(above, direct[i - 1][0])] = direct[i - 1][1]
+                self.levels[-1].parent = np.searchsorted(above, up)
+                keys = above
+        self.outer = keys
+        self.levels.reverse()
+        self.kept: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in self.levels]
+        # at first every dish has one table
+        self.settle()
+
+    def settle(self) -> None:
+        """Customers as the tables of the children make them."""
+        for child, level in zip(self.levels[:0:-1], self.levels[-2::-1]):
+            level.customers = level.direct + np.bincount(child.parent, child.tables, len(level.keys)).astype(np.int64)
+
+    def once_and_twice(self) -> np.ndarray:
+        """Per level, how many dishes have one customer, and two."""
+        return np.array([[int((level.customers == n).sum()) for n in (1, 2)] for level in self.levels], np.int64)
+
+    def sent(self) -> np.ndarray:
+        """The customers that the tables send to each dish of ``outer``."""
+        return np.bincount(self.levels[0].parent, self.levels[0].tables, len(self.outer)).astype(np.int64)
+
+    def probabilities(self, base: np.ndarray | float, discounts: list[float], how: PitmanYor, keep: bool) -> np.ndarray:
+        """Sets each dish's base probability, ``base`` being that of the shortest contexts, and returns the probabilities of the longest."""
+        p = base
+        for i, level in enumerate(self.levels):
             all_customers, all_tables = level.totals()
             back = (how.strength + discounts[i] * all_tables) / (how.strength + all_customers)
-            below = p[level.parent] if i else np.full(len(level.keys), 1 / 256)
+            below = p[level.parent] if level.length else np.full(len(level.keys), p)
             p = (level.customers - discounts[i] * level.tables) / (how.strength + all_customers)[level.of] + back[level.of] * below
             level.below, level.all_tables = below, all_tables
-            if sweep > how.burn_in:
-                kept[i].append((p.astype(np.float32), back.astype(np.float32)))
-        if sweep == how.burn_in + how.samples:
-            break
-        for i in range(len(levels) - 1, -1, -1):
-            level = levels[i]
-            if i + 1 < len(levels):
-                child = levels[i + 1]
+            if keep:
+                self.kept[i].append((p.astype(np.float32), back.astype(np.float32)))
+        return p
+
+    def reseat(self, discounts: list[float], how: PitmanYor, draw: np.random.Generator) -> None:
+        for i in range(len(self.levels) - 1, -1, -1):
+            level = self.levels[i]
+            if i + 1 < len(self.levels):
+                child = self.levels[i + 1]
                 level.customers = level.direct + np.bincount(child.parent, child.tables, len(level.keys)).astype(np.int64)
+            else:
+                level.customers = level.direct
             others = level.all_tables[level.of] - level.tables
             level.tables = seat(level.customers, (how.strength + discounts[i] * others) * level.below, discounts[i] * level.below, discounts[i], draw)
-    out = [
-        {"keys": level.keys, "p": np.stack([a for a, _ in k], axis=1), "contexts": level.contexts, "back": np.stack([b for _, b in k], axis=1)}
-        for level, k in zip(levels, kept)
-    ]
+
+    def scored(self) -> list[dict[str, np.ndarray]]:
+        return [
+            {"keys": level.keys, "p": np.stack([a for a, _ in k], axis=1), "contexts": level.contexts, "back": np.stack([b for _, b in k], axis=1)}
+            for level, k in zip(self.levels, self.kept)
+        ]
+
+
+def discounts_of(counts: np.ndarray) -> list[float]:
+    return [min(0.95, max(0.05, n1 / (n1 + 2 * n2))) if n1 + n2 else 0.5 for n1, n2 in counts.tolist()]
+
+
+def averaged(levels: list[dict[str, np.ndarray]]) -> list[dict[str, np.ndarray]]:
     # of the longest contexts only the average is used; shorter ones are multiplied per sweep on the way down
-    out[-1]["p"] = out[-1]["p"].mean(axis=1)
-    return out
+    levels[-1]["p"] = levels[-1]["p"].mean(axis=1)
+    return levels
+
+
+def sample(direct: list[tuple[np.ndarray, np.ndarray]], how: PitmanYor) -> list[dict[str, np.ndarray]]:
+    """Per level: keys, p (dish, kept sweep; the average at the last level), contexts, back (context, kept sweep)."""
+    draw = np.random.default_rng(how.seed)
+    tree = Tree(direct)
+    discounts = discounts_of(tree.once_and_twice())
+    for sweep in range(how.burn_in + how.samples + 1):
+        tree.probabilities(1 / 256, discounts, how, sweep > how.burn_in)
+        if sweep < how.burn_in + how.samples:
+            tree.reseat(discounts, how, draw)
+    return averaged(tree.scored())
+
+
+#: a shard's counts, tables and kept probabilities; what it sends to the driver's dishes
+STATE = "shard long, state binary, up array<long>, sent array<long>, firsts array<long>"
+
+
+def _packed(tree: Tree) -> bytes:
+    longest = tree.levels[-1]
+    return pickle.dumps((longest.keys, longest.direct, [x.tables.astype(np.int32) for x in tree.levels], tree.kept))
+
+
+def _tree(state: bytes, order: int) -> Tree:
+    keys, direct, tables, kept = pickle.loads(state)
+    tree = _planted(keys, direct, order)
+    tree.kept = kept
+    for level, t in zip(tree.levels, tables):
+        level.tables = t.astype(np.int64)
+    tree.settle()
+    return tree
+
+
+def _planted(keys: np.ndarray, counts: np.ndarray, order: int) -> Tree:
+    """A shard's tree; all its customers sit down in the longest contexts first."""
+    low = min(NEAR, order)
+    return Tree([(np.empty(0, np.uint64), np.empty(0, np.int64))] * (order - low) + [(keys, counts)], low)
+
+
+def _state_row(shard: int, tree: Tree) -> list[pa.Array]:
+    return [pa.array([shard], pa.int64()), pa.array([_packed(tree)], pa.binary()), *(pa.array([x], pa.list_(pa.int64())) for x in (tree.outer.view(np.int64), tree.sent(), tree.once_and_twice().ravel()))]
+
+
+def sample_shards(cut: DataFrame, how: PitmanYor) -> tuple[list[dict[str, np.ndarray]], DataFrame]:
+    """As ``sample``, for the n-grams of blocks: the levels of short contexts, and (shard, state) of the others, stored."""
+    names = [f.split()[0] for f in STATE.split(", ")]
+    order, low, seed = how.order, min(NEAR, how.order), how.seed
+
+    def plant(t: pa.Table) -> pa.Table:
+        keys, counts = _total(t)
+        return pa.Table.from_arrays(_state_row(t["shard"][0].as_py(), _planted(keys[counts > 0], counts[counts > 0], order)), names)
+
+    def sent(states: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        got = states.select(F.explode(F.arrays_zip("up", "sent")).alias("x")).groupBy("x.up").agg(F.sum("x.sent").alias("c")).toArrow()
+        keys = got["up"].to_numpy().view(np.uint64)
+        at = np.argsort(keys)
+        return keys[at], got["c"].to_numpy()[at]
+
+    states = stored(cut.where("shard >= 0").select("shard", "keys", "counts").groupBy("shard").applyInArrow(plant, STATE), "lm-states")
+    firsts = states.select(F.posexplode("firsts").alias("i", "n")).groupBy("i").agg(F.sum("n")).collect()
+    shard_firsts = np.zeros(2 * (order - low + 1), np.int64)
+    for i, n in firsts:
+        shard_firsts[i] = n
+    tree = Tree([(np.empty(0, np.uint64), np.empty(0, np.int64))] * (low - 1) + [sent(states)])
+    discounts = discounts_of(np.concatenate([tree.once_and_twice(), shard_firsts.reshape(-1, 2)]))
+    draw, last = np.random.default_rng(seed), how.burn_in + how.samples
+    for sweep in range(last + 1):
+        p = tree.probabilities(1 / 256, discounts, how, sweep > how.burn_in)
+        shared = cut.sparkSession.sparkContext.broadcast((tree.levels[-1].keys, p))
+
+        def run(batches: Iterator[pa.RecordBatch], sweep: int = sweep, shared=shared) -> Iterator[pa.RecordBatch]:
+            keys, p = shared.value
+            for b in slices(batches, 1):
+                shard = b.column(0)[0].as_py()
+                t = _tree(b.column(1)[0].as_py(), order)
+                t.probabilities(p[np.searchsorted(keys, t.outer)], discounts[low:], how, sweep > how.burn_in)
+                if sweep < last:
+                    t.reseat(discounts[low:], how, np.random.default_rng([seed, sweep, shard]))
+                yield pa.RecordBatch.from_arrays(_state_row(shard, t), names)
+
+        states = stored(states.select("shard", "state").mapInArrow(run, STATE), "lm-states")
+        shared.unpersist()
+        if sweep < last:
+            tree.levels[-1].direct = sent(states)[1]
+            tree.reseat(discounts, how, draw)
+    return tree.scored(), states.select("shard", "state")
 
 
 class Places:
@@ -336,44 +510,79 @@ class Scorer:
         return out
 
 
+class Answers:
+    """Log probabilities that the shards gave."""
+
+    def __init__(self, keys: np.ndarray, logs: np.ndarray):
+        self.places, self.logs = Places(keys), logs
+
+    def log10(self, keys: np.ndarray) -> np.ndarray:
+        at = self.places.find(keys)
+        if (at < 0).any():
+            raise RuntimeError("an n-gram without an answer")
+        return self.logs[at]
+
+
+def answers(cut: DataFrame, short: list[dict[str, np.ndarray]], states: DataFrame, how: PitmanYor) -> DataFrame:
+    """(block, keys, logs): of each block's n-grams, as each shard knows them."""
+    order, shared = how.order, cut.sparkSession.sparkContext.broadcast(short)
+
+    def run(asked: pa.Table, model: pa.Table) -> pa.Table:
+        keys = [np.frombuffer(x.as_buffer(), np.uint64) for x in asked["keys"]]
+        distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
+        long = _tree(model["state"][0].as_py(), order).scored()
+        logs = Scorer(averaged([*shared.value, *long]), order).log10(distinct)[at]
+        ends = np.cumsum([len(k) for k in keys])[:-1]
+        return pa.table({"block": asked["block"], "keys": asked["keys"], "logs": pa.array([x.tobytes() for x in np.split(logs, ends)], pa.binary())})
+
+    # every shard that is asked has a state, if an empty one: both are grouped from the same rows
+    return cut.where("shard >= 0").select("shard", "block", "keys").groupBy("shard").cogroup(states.groupBy("shard")).applyInArrow(run, "block long, keys binary, logs binary")
+
+
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", how: PitmanYor = PitmanYor()) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    if how.most is not None:
+        raise ValueError("score keeps all n-grams; most bounds model_counts alone")
     spark = docs.sparkSession
     read = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    learned = read.where(F.col("doc_id").isNotNull() & ~held_out("doc_id", how.folds, how.left_out))
-    counts = corpus_counts(learned, how)
-    words = counts.where("key < 0")
+    held = held_out("doc_id", how.folds, how.left_out)
+    rows = read.select(F.monotonically_increasing_id().alias("row"), "doc_id", held.alias("held_out"), (F.col("doc_id").isNotNull() & ~held).alias("learned"), "text")
+    size = read.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    cut = blocks(rows, how, min(4096, max(16, size >> 22)))
+    words = shard_counts(cut.where("shard < 0"), "lm-words")
     total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    levels = sample(model_counts(counts.where("key >= 0"), how), how)
+    short, states = sample_shards(cut, how)
     hot = words.orderBy(F.desc("c"), "key").limit(how.hot).toArrow()
     hot_keys, hot_counts = hot["key"].to_numpy().view(np.uint64), hot["c"].to_numpy()
     # with fewer words than places none is left to be joined
     complete = len(hot_keys) < how.hot
-    shared = spark.sparkContext.broadcast((levels, hot_keys, np.log10(hot_counts + 1.0)))
+    shared = spark.sparkContext.broadcast((hot_keys, np.log10(hot_counts + 1.0)))
     order = how.order
     schema = T.StructType([T.StructField("row", T.LongType()), read.schema["doc_id"], *T._parse_datatype_string("held_out boolean, n_tokens long, hot_known long, hot_log double, score double, cold array<long>").fields])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer, places, logs = _worker_tables(shared)
-        keys = WordKeys()
-        for b in slices(batches):
-            for some in _blocks(b):
-                texts = [words_of(t) for t in some.column(3).to_pylist()]
-                n = np.array([len(ws) + 1 for ws in texts])
-                h = np.fromiter((k for ws in texts for k in (*map(keys.__getitem__, ws), keys[END_WORD])), np.uint64, int(n.sum()))
-                at = places.find(h)
-                first = np.cumsum(n) - n
-                known = np.add.reduceat((at >= 0).astype(np.int64), first)
-                log = np.add.reduceat(np.where(at >= 0, logs[np.maximum(at, 0)], 0.0) if len(logs) else np.zeros(len(h)), first)
-                if complete:
-                    cold = pa.array([None] * len(n), pa.list_(pa.int64()))
-                else:
-                    ends = np.concatenate([[0], np.cumsum(np.add.reduceat((at < 0).astype(np.int64), first))])
-                    cold = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(h[at < 0].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), some.column(2), pa.array(n), pa.array(known), pa.array(log), pa.array(_text_scores(texts, scorer, order)), cold], schema.names)
-
-    rows = read.select(F.monotonically_increasing_id().alias("row"), "doc_id", held_out("doc_id", how.folds, how.left_out).alias("held_out"), "text")
-    scored = stored(rows.mapInArrow(run, schema), "lm-scored")
+    def run(block: pa.Table, found: pa.Table) -> pa.Table:
+        places, logs = _worker_tables(shared)
+        known_keys, known_logs = (np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in found[name]]) for name, kind in (("keys", np.uint64), ("logs", np.float64)))
+        scorer, keys, out = Answers(known_keys, known_logs), WordKeys(), []
+        for some in pa.ipc.open_stream(block["rows"][0].as_buffer()):
+            texts = [words_of(t) for t in some.column(4).to_pylist()]
+            n = np.array([len(ws) + 1 for ws in texts])
+            h = np.fromiter((k for ws in texts for k in (*map(keys.__getitem__, ws), keys[END_WORD])), np.uint64, int(n.sum()))
+            at = places.find(h)
+            first = np.cumsum(n) - n
+            known = np.add.reduceat((at >= 0).astype(np.int64), first)
+            log = np.add.reduceat(np.where(at >= 0, logs[np.maximum(at, 0)], 0.0) if len(logs) else np.zeros(len(h)), first)
+            if complete:
+                cold = pa.array([None] * len(n), pa.list_(pa.int64()))
+            else:
+                ends = np.concatenate([[0], np.cumsum(np.add.reduceat((at < 0).astype(np.int64), first))])
+                cold = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(h[at < 0].view(np.int64)))
+            out.append(pa.RecordBatch.from_arrays([some.column(0), some.column(1), some.column(2), pa.array(n), pa.array(known), pa.array(log), pa.array(_text_scores(texts, scorer, order)), cold], schema.names))
+        return pa.Table.from_batches(out)
+
+    told = answers(cut, short, states, how)
+    texts = cut.where("rows IS NOT NULL").select("block", "rows")
+    scored = stored(texts.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(run, schema), "lm-scored")
     found = scored.select("row", F.explode("cold").alias("key")).join(words, "key").groupBy("row").agg(F.count("*").alias("cold_known"), F.sum(F.log10(F.col("c") + 1)).alias("cold_log"))
     zero = F.lit(0)
     return scored.join(found, "row", "left").select(
@@ -391,18 +600,18 @@ _tables: dict[int, tuple] = {}
 
 
 def _worker_tables(shared) -> tuple:
-    """A worker's look-up tables, built once for all its tasks."""
+    """A worker's look-up tables of words, built once for all its tasks."""
     key = id(shared.value)
     if key not in _tables:
         _tables.clear()
-        levels, hot_keys, logs = shared.value
-        _tables[key] = Scorer(levels, len(levels) - 1), Places(hot_keys), logs
+        hot_keys, logs = shared.value
+        _tables[key] = Places(hot_keys), logs
     return _tables[key]
 
 
 def _blocks(b: pa.RecordBatch, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of about so many bytes of text."""
-    sizes = np.cumsum(pc.fill_null(pc.binary_length(b.column(3)), 0).to_numpy())
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(b.column(4)), 0).to_numpy())
     at = 0
     while at < len(b):
         upto = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + most)))
