@@ -160,3 +160,19 @@ def test_shards_hold_every_ngram_and_score_as_one_model(spark):
     mine = np.array([logs[k] for k in want.tolist()])
     # two chains of the same sampler
     assert abs(np.average(mine, weights=counts) - np.average(whole, weights=counts)) < 0.01 and np.abs(mine - whole).mean() < 0.1
+
+
+def test_sweeps_are_not_cut_for_the_limits():
+    how = PitmanYor()
+    assert (how.burn_in, how.samples, how.most) == (4, 4, None)
+    levels = lm.sample([(np.empty(0, np.uint64), np.empty(0, np.int64))] * 5 + [counts_of(["some text"], how)], how)
+    assert all(x["back"].shape[1] == 4 for x in levels)
+
+
+def test_many_tables_as_one_by_one():
+    draw = np.random.default_rng(5)
+    fast, slow = lm.seat(np.full(4000, 2000), np.full(4000, 20.0), np.full(4000, 0.5), 0.9, draw), np.ones(4000)
+    for i in range(1, 2000):
+        new = 20 + 0.5 * slow
+        slow += draw.random(4000) * (i - 0.9 * slow + new) < new
+    assert abs(fast.mean() / slow.mean() - 1) < 0.04

@@ -58,8 +58,8 @@ WORD_BIT = np.uint64(1 << 63)
 class PitmanYor:
     order: int = 5
     strength: float = 0.5
-    burn_in: int = 3
-    samples: int = 3
+    burn_in: int = 4
+    samples: int = 4
     #: a bound for ``model_counts`` alone; ``score`` has none
     most: int | None = None
     hot: int = 1 << 17
