@@ -95,6 +95,13 @@ def test_recall_against_brute_force(spark):
     assert len(want) > 50 and found >= 0.9 * len(want)
 
 
+def test_a_wrong_bit_in_every_integer_still_proposes(spark):
+    how, codes = Chroma(), np.random.default_rng(4).integers(0, 1 << 32, 12, np.uint32)
+    rows = [(0, codes, True), (1, codes ^ np.uint32(1 << 9), False)]
+    table = spark.createDataFrame([(i, c.view(np.int32).tolist(), q) for i, c, q in rows], "class_id long, codes array<int>, is_query boolean")
+    assert [tuple(r) for r in media.links(table, how).collect()] == [(1, 0, 0, 1 / 32)]
+
+
 # chat
 
 

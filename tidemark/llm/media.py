@@ -5,9 +5,10 @@ classes an integral image gives the sum of any rectangle in four look-ups; sixte
 two parts of a window, are quantised to two bits (Gray code) and packed into one integer per window position.
 
 Recordings with equal fingerprints form a class named after its smallest id. The query set is every recording whose id is
-divisible by ``query_step``; classes that hold one are compared with all classes. A pair is a candidate when it
-shares a packed integer that is not that of silence; the histogram of the offsets between shared integers gives the alignment, and the
-share of differing bits over the overlap there decides.
+divisible by ``query_step``; classes that hold one are compared with all classes. Each
+integer has four keys, which leave out one of its bytes each; every offset at which a pair shares a key of integers that are not those of silence
+is a candidate, so that an integer with its differing bits in one byte still proposes. The share of differing bits over
+the overlap decides, and of the offsets that pass the one with most shared keys is the alignment.
 
 Defined results: a null, empty or too short recording has no integers, is its own class and matches nothing; values
 that are not numbers are silence; a row with a null id has a null class and is never a query; repeated rows are of one class; equal votes go to the offset nearest 0, then
@@ -127,28 +128,38 @@ def fingerprints(recordings: DataFrame, id_col: str, data_col: str, samples: Cal
     return read.mapInArrow(run, T._parse_datatype_string("id long, codes array<int>, fkey binary"))
 
 
-def align(prints: DataFrame, how: Chroma = Chroma()) -> DataFrame:
-    """One row per recording: id, n_codes, class_id, is_query, n_matches, and its best query class with offset and bit error.
-
-    Matches are query classes other than the recording's own."""
-    known = prints.where("fkey IS NOT NULL AND id IS NOT NULL")
-    wanted = F.pmod("id", F.lit(how.query_step)) == 0
-    classes = stored(known.groupBy("fkey").agg(F.min("id").alias("class_id"), F.min_by("codes", "id").alias("codes"), F.bool_or(wanted).alias("is_query")), "media-classes")
+def links(classes: DataFrame, how: Chroma = Chroma()) -> DataFrame:
+    """(class_id, q, offset, bit_error): of classes (class_id, codes, is_query), the other classes that each query class matches."""
     # a window of silence looks alike everywhere and casts no vote; its bits count like any others
     silence = int(packed(np.zeros((how.width, 12)), how).view(np.int32)[0])
     codes = classes.select("class_id", "is_query", F.posexplode("codes").alias("pos", "code")).where(F.col("code") != silence)
-    queries = codes.where("is_query").select(F.col("class_id").alias("q"), F.col("pos").alias("q_pos"), "code")
+    # the integer without one of its bytes, and which
+    keys = [F.col("code").bitwiseAND(F.lit(0xFFFFFFFF & ~(0xFF << 8 * i))).bitwiseOR(F.lit(i << 32)) for i in range(4)]
+    codes = codes.withColumn("code", F.col("code").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))).select("class_id", "is_query", "pos", F.explode(F.array(*keys)).alias("key"))
+    queries = codes.where("is_query").select(F.col("class_id").alias("q"), F.col("pos").alias("q_pos"), "key")
     offset = (F.col("q_pos") - F.col("pos")).alias("offset")
-    votes = codes.select("class_id", "pos", "code").join(queries, "code").where("class_id <> q").groupBy("q", "class_id", offset).agg(F.count("*").alias("n"))
-    best = votes.groupBy("q", "class_id").agg(F.max(F.struct("n", -F.abs("offset"), -F.col("offset"))).alias("top")).select("q", "class_id", (-F.col("top")["col3"]).alias("offset"))
-    pairs = best.join(classes.select("class_id", F.col("codes").alias("mine")), "class_id").join(classes.select(F.col("class_id").alias("q"), F.col("codes").alias("theirs")), "q")
+    votes = codes.select("class_id", "pos", "key").join(queries, "key").where("class_id <> q").groupBy("class_id", "q", offset).agg(F.count("*").alias("n"))
+    asked = stored(classes.where("is_query").select(F.col("class_id").alias("q"), F.col("codes").alias("theirs")), "media-queries")
+    pairs = votes.join(classes.select("class_id", F.col("codes").alias("mine")), "class_id").join(asked, "q")
     first = F.greatest(F.lit(0), -F.col("offset"))
     overlap = F.least(F.size("mine") - first, F.size("theirs") - first - F.col("offset"))
     pairs = pairs.withColumns({"overlap": overlap, "first": first}).where(F.col("overlap") >= how.min_overlap)
     wrong = F.zip_with(F.slice("mine", F.col("first") + 1, F.col("overlap")), F.slice("theirs", F.col("first") + F.col("offset") + 1, F.col("overlap")), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
     # an int's bits are counted after its sign is carried on: a differing sign bit counts 32 more
     error = F.aggregate(wrong, F.lit(0), lambda s, x: s + F.when(x > 32, x - 32).otherwise(x)) / (32.0 * F.col("overlap"))
-    pairs = pairs.select("class_id", "q", "offset", error.alias("bit_error")).where(F.col("bit_error") <= how.max_bit_error)
+    passed = pairs.select("class_id", "q", "offset", "n", error.alias("bit_error")).where(F.col("bit_error") <= how.max_bit_error)
+    best = passed.groupBy("class_id", "q").agg(F.max(F.struct("n", -F.abs("offset"), -F.col("offset"), "bit_error")).alias("top"))
+    return best.select("class_id", "q", (-F.col("top")["col3"]).alias("offset"), F.col("top")["bit_error"].alias("bit_error"))
+
+
+def align(prints: DataFrame, how: Chroma = Chroma()) -> DataFrame:
+    """One row per recording: id, n_codes, class_id, is_query, n_matches, and its best query class with offset and bit error.
+
+    Matches are query classes other than the recording's own."""
+    known = prints.where("fkey IS NOT NULL AND id IS NOT NULL")
+    wanted = F.pmod("id", F.lit(how.query_step)) == 0
+    classes = stored(known.groupBy("fkey").agg(F.min("id").alias("class_id"), F.min_by("codes", "id").alias("codes"), F.bool_or(wanted).alias("is_query")), "media-classes")
+    pairs = links(classes, how)
     matches = pairs.groupBy("class_id").agg(F.count("*").alias("n_matches"), F.min(F.struct("bit_error", "q", "offset")).alias("best"))
     named = classes.select("fkey", "class_id").join(matches, "class_id", "left")
     return prints.join(named, "fkey", "left").select(
