@@ -142,6 +142,14 @@ def test_links_as_sets_by_overlap_and_bit_error(spark):
     assert len(found) >= 0.9 * len(want)
 
 
+def test_recordings_of_silence_match_each_other(spark):
+    rows = [(0, [None] * 64), (1, [float("nan")] * 40), (2, [None] * 12), (3, vector(1)), (4, [None] * 50 + vector(2))]
+    by = {r.vec_id: r for r in media.vectors_as_recordings(vectors(spark, rows)).collect()}
+    assert (by[1].best_query, by[1].best_offset, by[1].bit_error) == (0, 0, 0)
+    # five windows are fewer than min_overlap
+    assert [by[i].n_matches for i in (0, 1, 2, 3)] == [0, 1, 0, 0]
+
+
 # chat
 
 

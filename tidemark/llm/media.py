@@ -11,7 +11,7 @@ is a candidate, so that an integer with its differing bits in one byte still pro
 the overlap decides, and of the offsets that pass the one with most shared keys is the alignment.
 
 Defined results: a null, empty or too short recording has no integers, is its own class and matches nothing; values
-that are not numbers are silence; a row with a null id has a null class and is never a query; repeated rows are of one class; equal votes go to the offset nearest 0, then
+that are not numbers are silence; recordings whose integers are all those of silence are compared with each other, at offset 0, and match where the overlap allows; a row with a null id has a null class and is never a query; repeated rows are of one class; equal votes go to the offset nearest 0, then
 to the smaller one; an empty table gives no rows; only the named columns are read, so other columns may have any name. Classes keep
 groups of copies from being expanded into pairs, and hot classes are joined by a join that AQE splits.
 """
@@ -130,9 +130,10 @@ def fingerprints(recordings: DataFrame, id_col: str, data_col: str, samples: Cal
 
 def links(classes: DataFrame, how: Chroma = Chroma()) -> DataFrame:
     """(class_id, q, offset, bit_error): of classes (class_id, codes, is_query), the other classes that each query class matches."""
-    # a window of silence looks alike everywhere and casts no vote; its bits count like any others
+    # a window of silence looks alike everywhere and casts no vote, its bits count like any others; what is nothing else casts one
     silence = int(packed(np.zeros((how.width, 12)), how).view(np.int32)[0])
-    codes = classes.select("class_id", "is_query", F.posexplode("codes").alias("pos", "code")).where(F.col("code") != silence)
+    quiet = F.forall("codes", lambda x: x == silence)
+    codes = classes.select("class_id", "is_query", quiet.alias("quiet"), F.posexplode("codes").alias("pos", "code")).where((F.col("code") != silence) | (F.col("quiet") & (F.col("pos") == 0)))
     # the integer without one of its bytes, and which
     keys = [F.col("code").bitwiseAND(F.lit(0xFFFFFFFF & ~(0xFF << 8 * i))).bitwiseOR(F.lit(i << 32)) for i in range(4)]
     codes = codes.withColumn("code", F.col("code").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))).select("class_id", "is_query", "pos", F.explode(F.array(*keys)).alias("key"))
