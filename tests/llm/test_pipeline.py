@@ -60,6 +60,11 @@ def test_queries_as_sql(spark, name):
     assert sorted(map(str, map(tuple, got.select(cols).collect()))) == sorted(map(str, want.select(", ".join(cols)).fetchall()))
 
 
+def test_unlabelled_documents_stay(spark):
+    docs = spark.createDataFrame([(i, t, None) for i, t in enumerate(["some words", "ünder", "12 34", "", None])], "doc_id long, text string, lang string")
+    assert {r.doc_id for r in corpus_pipeline.language_id(spark, docs, DATA).collect()} == {0, 1}
+
+
 def test_the_rest_works_without_this_subpackage(tmp_path):
     top = Path(__file__).resolve().parents[2]
     subprocess.run(f"cp -r {top}/tidemark {top}/__spark_entry__.py {tmp_path} && rm -r {tmp_path}/tidemark/llm", shell=True, check=True)

@@ -182,14 +182,20 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 
 def known_language(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The documents whose language is recognised, with all their columns."""
+    """The documents whose language is recognised, with all their columns; those with a letter, when nothing could be learned.
+
+    A model with languages recognises every text that has a letter: its scores reject none."""
     at, names = docs.columns.index(text_col), docs.columns
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            found, _ = shared.value.predict(b.column(at).to_pylist())
-            yield pa.RecordBatch.from_arrays(b.columns, names).filter(pa.array([x != UNKNOWN for x in found], pa.bool_()))
+            texts = b.column(at).to_pylist()
+            if shared.value.languages:
+                keep = [x != UNKNOWN for x in shared.value.predict(texts)[0]]
+            else:
+                keep = [ngrams(x, shared.value.kernel.sizes) is not None for x in texts]
+            yield pa.RecordBatch.from_arrays(b.columns, names).filter(pa.array(keep, pa.bool_()))
 
     ship(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
