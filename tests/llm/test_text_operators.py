@@ -1,6 +1,7 @@
 """Line rules, BPE, packing, language and quality against brute force, the library, or held-out rows."""
 
 import hashlib
+import json
 import random
 import re
 import zlib
@@ -93,6 +94,34 @@ def test_words_as_the_library():
         assert " ".join(out) == b.decode(want) == b.library.decode(want, skip_special_tokens=False)
 
 
+#: the range that is split without the library
+COMMON = [chr(c) for c in [*range(0x250), *range(0x2010, 0x205F)]]
+
+
+@pytest.mark.parametrize("file", [WORD, BYTE])
+def test_every_common_character_as_the_library(file):
+    rnd = random.Random(4)
+    texts = [t for c in COMMON for t in (c, f"a{c}b", f"{c}1 x{c}", f"'{c}s", c + c)] + ["\u0181an \u0181auchi", "\u018fli \u018fh\u0259dov", "\u212a\u212b", "I\u0307 \u0130x"]
+    texts += ["".join(rnd.choice(COMMON) for _ in range(rnd.randint(1, 12))) for _ in range(20_000)]
+    if file == WORD:
+        enc = bpe.PrefixBpe(WORD)
+        wanted = enc.library.encode_batch(texts, add_special_tokens=False)
+        for text, want in zip(texts, wanted):
+            assert enc.encode(text) == want.ids, text
+    else:
+        enc = tokens.ByteTokens(BYTE)
+        for text, want in zip(texts, enc.tokenizer.encode_batch(texts, add_special_tokens=False)):
+            assert np.frombuffer(enc.encode(text), "<u4").tolist() == want.ids, text
+
+
+def test_special_tokens_with_flags_are_refused(tmp_path):
+    spec = json.loads(open(WORD, encoding="utf-8").read())
+    spec["added_tokens"][0]["lstrip"] = True
+    (tmp_path / "t.json").write_text(json.dumps(spec), encoding="utf-8")
+    with pytest.raises(ValueError):
+        bpe.PrefixBpe(str(tmp_path / "t.json"))
+
+
 def test_encoded_documents(spark):
     rows = ROWS + [(10 + i, t) for i, t in enumerate(odd_texts(60, 3))]
     library = bpe.PrefixBpe(WORD).library

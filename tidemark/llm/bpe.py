@@ -8,8 +8,10 @@ merge ranks in which each exists, and the pair is refused if some rule would hav
 both existed. Following the back-pointers from the whole word gives the exact ids.
 
 Normalising, splitting into words and the special tokens follow the tokenizer file (NFC, white-space runs to
-one space, lower case; special tokens are found in the raw text). Texts made only of common Latin characters
-are split by an equivalent pattern here; any other text is normalised and split by the library's own parts.
+one space, lower case; special tokens are found in the raw text). Texts that consist of common Latin characters, before and after lower-casing,
+are split by an equivalent pattern here; any other text is normalised and split by the library's own parts. Where special
+tokens overlap, the first in the text wins, then the longest; files whose special tokens strip spaces, match whole
+words only or are sought in the normalised text are refused.
 
 Defined results: a null or empty text has no ids and decodes to an empty text; repeated rows are encoded alike;
 an empty table gives an empty table; only the id and text columns are read, so other columns may have any
@@ -50,7 +52,9 @@ class PrefixBpe:
         self.suffix = spec["model"]["end_of_word_suffix"] or ""
         vocab: dict[str, int] = spec["model"]["vocab"]
         self.names = {i: t for t, i in vocab.items()}
-        self.added = {x["content"]: x["id"] for x in spec["added_tokens"]}
+        if any(x.get(flag) for x in spec["added_tokens"] for flag in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError(f"{path}: special tokens with flags are not supported")
+        self.added = {x["content"]: x["id"] for x in sorted(spec["added_tokens"], key=lambda x: -len(x["content"]))}
         self.names |= {i: t for t, i in self.added.items()}
         self.specials = re.compile("(" + "|".join(map(re.escape, self.added)) + ")") if self.added else None
         self.bytes = dict(enumerate(byte_symbols()))
@@ -117,7 +121,7 @@ class PrefixBpe:
             if special:
                 ids.append(str(self.added[part]))
                 out.append(part)
-            elif OTHER.search(part):
+            elif not part.isascii() and (OTHER.search(part) or OTHER.search(part.lower())):
                 norm = self.library.normalizer.normalize_str(part)
                 for piece, _ in self.library.pre_tokenizer.pre_tokenize_str(norm):
                     got = self.mapped(piece)
