@@ -1,40 +1,49 @@
-"""A hierarchical Pitman-Yor language model, and the add-one word baseline beside it.
-
-The model's text is its words in ASCII lower case, one space between them and an end mark behind the last; its
-symbols are bytes, which need no unknown word, and a context is the ``order`` bytes before. Every context is a restaurant
-whose parent is the context without its oldest byte; the root's base measure is uniform over 256 bytes.
-
-Counting covers the whole training part, and the model holds every n-gram of it. Tasks cut what they read into blocks of
-about ``BLOCK_TEXT`` bytes and count each block's n-grams and words in ``shards``, whose number grows with the text. A shard
-of n-grams holds all whose three nearest context bytes fall into it, so it has whole restaurants with all their ancestors
-down to contexts of three bytes. Shorter contexts (at most 2^24 n-grams, whatever the corpus) are seated in the driver, which
-exchanges with the shards in each sweep: the shards' tables are its customers, its probabilities are their base measure.
+"""A hierarchical Pitman-Yor language model over words, and the add-one word baseline beside it.
+
+The model's symbols are words in ASCII lower case and an end mark behind the last. The context of a symbol is the word before
+it (a start mark before the first). Every context is a restaurant whose customers are the symbols that followed it in the
+training part; all share one parent, the restaurant without context, whose base measure is uniform over the V known
+symbols and one place for all others, which is the baseline's own measure of an unknown word.
+
+Counting covers the whole training part and the model holds every pair of neighbours of it. Nothing of the model
+passes through the driver but sums:
+
+1. ``blocks``: tasks cut what they read into blocks of ``block_tokens`` tokens and count each block's distinct pairs, dealt
+   over shards by the context word, and its distinct words, dealt over word shards. Shards grow in number with the text.
+   A context that makes up more than half a shard's share of all tokens (judged on a hashed sample, for placement only) is dealt by the pair.
+2. ``burn in``: each shard seats its customers, with the words' shares of its own tables as the parent's probabilities,
+   and sends the number of tables of each word up.
+3. ``parent``: each word shard seats those tables as the parent's customers, and answers shards with the parent's
+   discounted customers of each word, blocks with each word's training count.
+4. ``sample``: each shard seats its customers again under the parent's probabilities, and averages the predictive
+   probabilities over the sweeps after ``burn_in``. It answers every pair of every block, known or not.
+5. ``score``: each block adds up the answers of its rows' tokens.
 
 Gibbs sampling: in each sweep all customers of a dish leave and are seated one after the other; a customer opens
 a table with probability (strength + discount * tables) * P(dish in the parent) against (customers - discount * tables)
-of the dish. Each table sends a customer to the parent, whose probabilities are those of the sweep before. The first 16
-customers are seated singly; from there on, in steps of an eighth more, the
-number of new tables is drawn at once, with the chance of one halfway through the step.
-So the steps of a seating grow with the logarithm of its count. Probabilities are averaged over the sweeps after ``burn_in``. Discounts are n1 / (n1 + 2 n2) of each level's first counts.
+of the dish. The restaurant's other tables are those of the sweep before, so its dishes can be seated together; the parent is
+brought up to date once, between the burn-in and the sampling sweeps, as in approximate distributed Gibbs
+sampling of topic models. The first 16 customers are seated singly; from there on, in steps of an eighth more, the number of new tables is drawn at
+once, with the chance of one halfway through the step. So the steps of a seating grow with the logarithm of its count. Discounts are n1 / (n1 + 2 n2) of
+each level's counts. A prediction is linear in the numbers of tables, so averaging these averages the predictions.
 
-Scoring: each shard answers the n-grams of each block, and each block adds the answers up per row. The baseline looks words up among the ``hot`` commonest, which are broadcast; other words are
-joined with the distributed counts and added up per row.
+A restaurant that is dealt over several shards knows all its customers and dishes exactly; each shard takes the tables of the others to be as
+many a dish as its own, so its probabilities add up to one within the sampling error of that; all others' do exactly.
 
 Defined results: a null or empty text is the end token alone; rows with a null id are scored, not learned from,
-and count as not held out; repeated rows are learned from and scored each; without training rows all counts are 0 and the
-model is uniform; an empty table gives no rows; only the id and text columns are read, so other columns may
-have any name. Long texts are cut into blocks that overlap by one context.
+and count as not held out; repeated rows are learned from and scored each; without training rows all counts are 0 and
+model and baseline give every token probability 1, there being one place only; an empty table gives no rows; only the id and text columns
+are read, so other columns may have any name. Long texts are read in parts and may span blocks.
 """
 
 from __future__ import annotations
 
-import pickle
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -42,216 +51,228 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ship
-from .common import held_out, slices, stored
+from .common import held_out, removed, slices, stored
 
-#: The end token's place among the words, which are never empty, and its byte.
-END_WORD, END = b"", b"\n"
-BLOCK = 1 << 20
-#: Bytes of text whose n-grams are looked up together.
-BLOCK_TEXT = 1 << 24
-#: Contexts of at least so many bytes are held by shards, shorter ones by the driver.
-NEAR = 3
-WORD_BIT = np.uint64(1 << 63)
+#: Words are never empty and hold no space, so these stand for the marks.
+START, END = b" ", b""
+#: Long texts are split into words in parts of about so many bytes.
+PART = 1 << 20
+_space = re.compile(rb"[ \t-\r]")
+#: The bits of a word's hash that the model knows it by; the baseline's counts use all 64. Of ten thousand million words one in
+#: 28,000 shares these with another, and its statistics.
+MODEL_BITS = np.uint64((1 << 48) - 1)
 
 
 @dataclass(frozen=True)
 class PitmanYor:
-    order: int = 5
     strength: float = 0.5
     burn_in: int = 4
     samples: int = 4
-    #: a bound for ``model_counts`` alone; ``score`` has none
-    most: int | None = None
-    hot: int = 1 << 17
     seed: int = 11
     folds: int = 7
     left_out: int = 2
+    block_tokens: int = 1 << 22
+    shard_bytes: int = 16 << 20
+    least_shards: int = 16
+    #: contexts of less than this share of all tokens are never dealt over shards, so that the list of those that are stays bounded
+    least_share: float = 1 / 16384
 
 
-class WordKeys(dict):
-    """Words as 63-bit hashes below the bit that parts them from n-grams."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 100_000:
-            self.clear()
-        got = self[word] = xxhash.xxh3_64_intdigest(word) >> 1 | 1 << 63
-        return got
-
+def parts_of(text: str | None) -> Iterator[list[bytes]]:
+    """A text's words, in parts."""
+    raw = (text or "").encode().lower()
+    at = 0
+    while at < len(raw):
+        end = _space.search(raw, at + PART) if len(raw) - at > PART else None
+        upto = end.start() if end else len(raw)
+        yield raw[at:upto].split()
+        at = upto
 
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode().lower().split()
 
+def hashed(words) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64)
 
-def pieces(words: list[bytes], order: int) -> Iterator[bytes]:
-    """The model's text in blocks, each behind the context of its first byte."""
-    text = bytes(order) + b" ".join(words) + END
-    for at in range(order, len(text), BLOCK):
-        yield text[at - order : at + BLOCK]
 
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(29))
 
-def ngram_keys(parts: list[bytes], order: int) -> np.ndarray:
-    """Context and byte in one number (the byte lowest, the nearest next), for each byte of each piece."""
-    b = np.frombuffer(b"".join(parts), np.uint8).astype(np.uint64)
-    key = b.copy()
-    for j in range(1, order + 1):
-        key[j:] |= b[:-j] << np.uint64(8 * j)
-    starts = np.cumsum([0] + [len(p) for p in parts[:-1]])
-    valid = np.ones(len(b), bool)
-    valid[(starts[:, None] + np.arange(order)).ravel()] = False
-    return key[valid]
 
+def word_shard_of(word: np.ndarray, shards: int) -> np.ndarray:
+    return (mixed((word & MODEL_BITS) + np.uint64(1)) >> np.uint64(20)).astype(np.int64) % shards
 
-def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct keys in order, with the sums of their counts."""
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, int)
-    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
+def packed(*arrays: np.ndarray) -> bytes:
+    """Arrays one after the other: the lowest bytes of all numbers, then the next ones, as many as the greatest needs."""
+    out = []
+    for a in arrays:
+        if a.dtype.kind in "iu":
+            width = max(1, (int(a.max(initial=0)).bit_length() + 7) // 8)
+            a = a.astype("<u8")
+        else:
+            width = a.dtype.itemsize
+        planes = a.view(np.uint8).reshape(len(a), a.dtype.itemsize)[:, :width].T
+        out += [f"{a.dtype.str} {width} {len(a)} ".encode(), planes.tobytes()]
+    return b"".join(out)
 
-class Counts:
-    """Numbers of equal keys, added up in blocks."""
 
-    def __init__(self):
-        self.keys, self.counts = np.empty(0, np.uint64), np.empty(0, np.int64)
+def unpacked(data: bytes) -> list[np.ndarray]:
+    """The arrays; whole numbers come as 64 bits."""
+    out, at = [], 0
+    while at < len(data):
+        head = data[at : at + 32].split(b" ", 3)[:3]
+        at += sum(map(len, head)) + 3
+        kind, width, n = np.dtype(head[0].decode()), int(head[1]), int(head[2])
+        a = np.zeros((n, kind.itemsize), np.uint8)
+        a[:, :width] = np.frombuffer(data, np.uint8, width * n, at).reshape(width, n).T
+        out.append(a.view(kind).ravel() if kind.kind == "f" else a.view("<i8").ravel())
+        at += width * n
+    return out
 
-    def add(self, keys: np.ndarray, weight: int = 1) -> None:
-        keys, counts = np.unique(keys, return_counts=True)
-        self.keys, self.counts = summed(np.concatenate([self.keys, keys]), np.concatenate([self.counts, counts * weight]))
 
+def _cut(of: np.ndarray) -> list[tuple[int, int, int]]:
+    """(value, start, end) of the runs of a sorted array."""
+    if not len(of):
+        return []
+    at = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])).tolist()
+    return [(int(of[s]), s, e) for s, e in zip(at, [*at[1:], len(of)])]
 
-def shard_of(keys: np.ndarray, order: int, shards: int) -> np.ndarray:
-    """An n-gram's shard, by its nearest context bytes."""
-    near = (keys >> np.uint64(8)) & np.uint64((1 << 8 * min(NEAR, order)) - 1)
-    return ((near * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(shards)).astype(np.int64)
 
+class _Places(dict):
+    def __missing__(self, word: bytes) -> int:
+        got = self[word] = len(self)
+        return got
 
-BLOCKS = "block long, shard long, keys binary, counts binary, rows binary"
 
+class Block:
+    """Tokens of consecutive rows, and what is made of them."""
 
-def blocks(docs: DataFrame, how: PitmanYor, shards: int) -> DataFrame:
-    """Rows (row, doc_id, held_out, learned, text) as blocks, stored: per block its rows, and its distinct n-grams with their numbers
-    in learned rows, by shard; the words of learned rows by negative shards."""
-    names = [f.split()[0] for f in BLOCKS.split(", ")]
+    def __init__(self):
+        self.places = _Places({START: 0, END: 1})
+        self.tokens: list[np.ndarray] = []
+        self.rows: list[tuple] = []
+        self.size = 0
+
+    def add(self, row: tuple, learned: bool, before: bytes, words: list[bytes], ended: bool) -> None:
+        """Words of a row (row, doc_id, held_out), behind the word before."""
+        n = len(words) + ended
+        ids = np.fromiter(map(self.places.__getitem__, (before, *words, END) if ended else (before, *words)), np.int32, n + 1)
+        self.tokens.append(ids)
+        self.rows.append((*row, learned, n))
+        self.size += n
+
+    def cells(self, shards: int, word_shards: int, hot: np.ndarray, kind: pa.DataType) -> Iterator[tuple[str, int, bytes]]:
+        """(kind, shard, bytes): the rows, the pairs of each shard, the words of each word shard."""
+        n = np.array([r[4] for r in self.rows])
+        flat = np.concatenate(self.tokens)
+        starts = np.cumsum(n + 1) - n - 1
+        pairs = neighbours(flat, starts)
+        known = np.repeat([r[3] for r in self.rows], n).astype(float)
+        distinct, place = np.unique(pairs, return_inverse=True)
+        count = np.bincount(place, known, len(distinct)).astype(np.int64)
+        hashes = hashed(self.places)
+        context, word = (distinct >> np.uint64(32)).astype(np.int64), (distinct & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        shard = context_shards(hashes, shards)
+        dealt = np.flatnonzero(np.isin(hashes, hot))
+        shard[dealt] = -1
+        order, of = pair_order(shard, context, pair_shards(hashes, context, word, shard, shards))
+        for s, i, j in _cut(of):
+            some = order[i:j]
+            yield "pairs", s, pack_pairs(hashes, context[some], word[some], count[some])
+
+        # the start mark is no token
+        of = word_shard_of(hashes, word_shards)
+        of[0] = -1
+        order = np.lexsort((hashes, of))[1:]
+        at = np.zeros(len(hashes), np.int64)
+        at[order] = np.arange(len(order))
+        total = np.bincount(word, count, len(hashes)).astype(np.int64)
+        for s, i, j in _cut(of[order]):
+            yield "words", s, packed(hashes[order[i:j]], total[order[i:j]])
+
+        rows = pa.table({"row": pa.array([r[0] for r in self.rows], pa.int64()), "doc_id": pa.array([r[1] for r in self.rows], kind), "held_out": pa.array([r[2] for r in self.rows], pa.bool_())})
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, rows.schema) as out:
+            out.write_table(rows)
+        yield "rows", 0, packed(n, flat, at, shard + 1, pair_shards(hashes, context, word, shard, shards), np.frombuffer(sink.getvalue(), np.uint8))
+
+
+def neighbours(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Context and word of each token in one number; what stands at a start is a context only."""
+    first = np.zeros(len(flat), bool)
+    first[starts] = True
+    flat = flat.astype(np.uint64)
+    return (flat[:-1] << np.uint64(32) | flat[1:])[~first[1:]]
+
+
+def context_shards(hashes: np.ndarray, shards: int) -> np.ndarray:
+    return (mixed(hashes) >> np.uint64(20)).astype(np.int64) % shards
+
+
+def pair_shards(hashes: np.ndarray, context: np.ndarray, word: np.ndarray, shard: np.ndarray, shards: int) -> np.ndarray:
+    """The shards of the pairs, in their order, whose context has none."""
+    dealt = shard[context] < 0
+    return context_shards(mixed(hashes[context[dealt]] + hashes[word[dealt]] * np.uint64(0x9E3779B97F4A7C15)), shards)
+
+
+def pair_order(shard: np.ndarray, context: np.ndarray, dealt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of pairs by shard, and their shards in that order."""
+    of = shard[context]
+    of[of < 0] = dealt
+    order = np.argsort(of.astype(np.min_scalar_type(int(of.max(initial=0)))), kind="stable")
+    return order, of[order]
+
+
+def pack_pairs(hashes: np.ndarray, context: np.ndarray, word: np.ndarray, count: np.ndarray) -> bytes:
+    """Pairs in order of context: their words' hashes, the runs of contexts, the words, the counts."""
+    used = np.zeros(len(hashes), bool)
+    used[context] = used[word] = True
+    place = np.cumsum(used) - 1
+    at = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
+    return packed(hashes[used] & MODEL_BITS, place[context[at]], np.diff(at, append=len(context)), place[word], count)
+
+
+CELLS = "kind string, block long, shard long, cell binary"
+
+
+def blocks(docs: DataFrame, how: PitmanYor, shards: int, word_shards: int, hot: np.ndarray) -> DataFrame:
+    """Rows (row, doc_id, held_out, learned, text) as cells of blocks, stored by kind."""
+    shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word_keys = WordKeys()
-        ends, block, some, size = word_keys[END_WORD], TaskContext.get().partitionId() << 32, [], 0
-
-        def row(shard: int | None, keys: bytes | None, counts: bytes | None, rows: bytes | None) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([shard], pa.int64()), *(pa.array([x], pa.binary()) for x in (keys, counts, rows))], names)
-
-        def cut(shard: np.ndarray, counts: Counts) -> Iterator[pa.RecordBatch]:
-            order = np.argsort(shard, kind="stable")
-            keys, numbers, shard = counts.keys[order], counts.counts[order], shard[order]
-            at = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])) if len(shard) else np.empty(0, int)
-            for i, j in zip(at, [*at[1:], len(shard)]):
-                yield row(int(shard[i]), keys[i:j].tobytes(), numbers[i:j].tobytes(), None)
-
-        def finished() -> Iterator[pa.RecordBatch]:
-            words, grams = Counts(), Counts()
-            for b in some:
-                for learned in (True, False):
-                    parts, tokens, held = [], [], 0
-                    for text, is_learned in zip(b.column(4), b.column(3)):
-                        if is_learned.as_py() != learned:
-                            continue
-                        ws = words_of(text.as_py())
-                        if learned:
-                            tokens.append(np.fromiter(map(word_keys.__getitem__, ws), np.uint64, len(ws)))
-                            tokens.append(np.array([ends], np.uint64))
-                        for p in pieces(ws, how.order):
-                            parts.append(p)
-                            held += len(p)
-                            if held >= BLOCK:
-                                grams.add(ngram_keys(parts, how.order), int(learned))
-                                parts, held = [], 0
-                    if parts:
-                        grams.add(ngram_keys(parts, how.order), int(learned))
-                    if tokens:
-                        words.add(np.concatenate(tokens))
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, some[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                for b in some:
-                    out.write_batch(b)
-            yield row(None, None, None, sink.getvalue().to_pybytes())
-            yield from cut(shard_of(grams.keys, how.order, shards), grams)
-            yield from cut(-1 - (words.keys % np.uint64(shards)).astype(np.int64), words)
-
-        for whole in slices(batches):
-            for b in _blocks(whole):
-                some.append(b)
-                size += b.nbytes
-                if size >= BLOCK_TEXT:
-                    yield from finished()
-                    some, size, block = [], 0, block + 1
-        if some:
-            yield from finished()
+        number, block = TaskContext.get().partitionId() << 32, Block()
+        names = [f.split()[0] for f in CELLS.split(", ")]
+
+        def finished(kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+            nonlocal number, block
+            out, size = [], 0
+            for what, shard, cell in block.cells(shards, word_shards, shared.value, kind):
+                out.append((what, number, shard, cell))
+                size += len(cell)
+                if size > 4 << 20 or what == "rows":
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.string(), pa.int64(), pa.int64(), pa.binary()))], names)
+                    out, size = [], 0
+            number, block = number + 1, Block()
+
+        kind = None
+        for b in slices(batches):
+            kind = b.column(1).type
+            for row, doc, held, learned, text in zip(*(c.to_pylist() for c in b.columns[:4]), b.column(4)):
+                before = START
+                for words in parts_of(text.as_py()):
+                    if words:
+                        block.add((row, doc, held), learned, before, words, False)
+                        before = words[-1]
+                    if block.size >= how.block_tokens:
+                        yield from finished(kind)
+                block.add((row, doc, held), learned, before, [], True)
+                if block.size >= how.block_tokens:
+                    yield from finished(kind)
+        if block.rows:
+            yield from finished(kind)
 
     ship(docs.sparkSession)
-    return stored(docs.mapInArrow(run, BLOCKS), "lm-blocks")
-
-
-def _total(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    return summed(*(np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in t[name]]) for name, kind in (("keys", np.uint64), ("counts", np.int64))))
-
-
-def shard_counts(cut: DataFrame, name: str) -> DataFrame:
-    """(key, c) of all learned n-grams (or words) of blocks, stored."""
-
-    def total(t: pa.Table) -> pa.Table:
-        keys, counts = _total(t)
-        return pa.table({"key": keys[counts > 0].view(np.int64), "c": counts[counts > 0]})
-
-    return stored(cut.select("shard", "keys", "counts").groupBy("shard").applyInArrow(total, "key long, c long"), name)
-
-
-def corpus_counts(docs: DataFrame, how: PitmanYor) -> DataFrame:
-    """(key, c) of all words (negative keys) and byte n-grams of the rows of (doc_id, text), stored."""
-    rows = docs.select(F.lit(0).cast("long").alias("row"), "doc_id", F.lit(False).alias("held_out"), F.lit(True).alias("learned"), "text")
-    return shard_counts(blocks(rows, how, 16).where("shard IS NOT NULL"), "lm-counts")
-
-
-def model_counts(grams: DataFrame, how: PitmanYor) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Per level the keys and numbers of the customers that sit down there first."""
-    out = [(np.empty(0, np.uint64), np.empty(0, np.int64))] * (how.order + 1)
-    for level in range(how.order, -1, -1):
-        shorter = None
-        if how.most is not None and grams.count() > how.most and level:
-            totals = grams.groupBy(F.shiftrightunsigned("key", 8).alias("ctx")).agg(F.floor(F.log2(F.sum("c"))).alias("size"), F.count("*").alias("n"))
-            at, left = 64, how.most
-            for size, n in sorted(totals.groupBy("size").agg(F.sum("n")).collect(), reverse=True):
-                left -= n
-                if left < 0:
-                    break
-                at = size
-            sized = grams.withColumn("ctx", F.shiftrightunsigned("key", 8)).join(totals, "ctx")
-            mask = F.lit((1 << 8 * level) - 1)
-            shorter = stored(sized.where(F.col("size") < at).groupBy(F.col("key").bitwiseAND(mask).alias("key")).agg(F.sum("c").alias("c")), "lm-shorter")
-            grams = sized.where(F.col("size") >= at).select("key", "c")
-        got = grams.toArrow()
-        keys = got["key"].to_numpy().view(np.uint64)
-        order = np.argsort(keys)
-        out[level] = keys[order], got["c"].to_numpy()[order]
-        if shorter is None:
-            break
-        grams = shorter
-    return out
-
-
-class Level:
-    """The restaurants of one context length: dishes sorted by key, and what the sweeps leave."""
-
-    def __init__(self, keys: np.ndarray, direct: np.ndarray, length: int):
-        self.keys, self.direct, self.length = keys, direct, length
-        self.contexts, self.of = np.unique(keys >> np.uint64(8), return_inverse=True)
-        self.customers = direct
-        self.tables = np.ones(len(keys), np.int64)
-        self.parent = np.empty(0, np.int64)
-
-    def totals(self) -> tuple[np.ndarray, np.ndarray]:
-        n = len(self.contexts)
-        return np.bincount(self.of, self.customers, n), np.bincount(self.of, self.tables, n)
+    return stored(docs.mapInArrow(run, CELLS), "lm-blocks", by="kind")
 
 
 def seat(customers: np.ndarray, base: np.ndarray, step: np.ndarray, discount: float, draw: np.random.Generator) -> np.ndarray:
@@ -277,368 +298,271 @@ def seat(customers: np.ndarray, base: np.ndarray, step: np.ndarray, discount: fl
     return tables
 
 
-class Tree:
-    """Restaurants of the context lengths from ``low`` on, with all their ancestors down to there.
-
-    ``outer`` are the dishes of the parents of the shortest ones, which are elsewhere."""
-
-    def __init__(self, direct: list[tuple[np.ndarray, np.ndarray]], low: int = 0):
-        self.levels: list[Level] = []
-        keys, counts = direct[-1]
-        for i in range(len(direct) - 1, -1, -1):
-            self.levels.append(Level(keys, counts, low + i))
-            if low + i:
-                up = keys & np.uint64((1 << 8 * (low + i)) - 1)
-                above = np.unique(np.concatenate([up, direct[i - 1][0]]) if i else up)
-                if i:
-                    counts = np.zeros(len(above), np.int64)
-                    counts[np.searchsorted(above, direct[i - 1][0])] = direct[i - 1][1]
-                self.levels[-1].parent = np.searchsorted(above, up)
-                keys = above
-        self.outer = keys
-        self.levels.reverse()
-        self.kept: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in self.levels]
-        # at first every dish has one table
-        self.settle()
-
-    def settle(self) -> None:
-        """Customers as the tables of the children make them."""
-        for child, level in zip(self.levels[:0:-1], self.levels[-2::-1]):
-            level.customers = level.direct + np.bincount(child.parent, child.tables, len(level.keys)).astype(np.int64)
-
-    def once_and_twice(self) -> np.ndarray:
-        """Per level, how many dishes have one customer, and two."""
-        return np.array([[int((level.customers == n).sum()) for n in (1, 2)] for level in self.levels], np.int64)
-
-    def sent(self) -> np.ndarray:
-        """The customers that the tables send to each dish of ``outer``."""
-        return np.bincount(self.levels[0].parent, self.levels[0].tables, len(self.outer)).astype(np.int64)
-
-    def probabilities(self, base: np.ndarray | float, discounts: list[float], how: PitmanYor, keep: bool) -> np.ndarray:
-        """Sets each dish's base probability, ``base`` being that of the shortest contexts, and returns the probabilities of the longest."""
-        p = base
-        for i, level in enumerate(self.levels):
-            all_customers, all_tables = level.totals()
-            back = (how.strength + discounts[i] * all_tables) / (how.strength + all_customers)
-            below = p[level.parent] if level.length else np.full(len(level.keys), p)
-            p = (level.customers - discounts[i] * level.tables) / (how.strength + all_customers)[level.of] + back[level.of] * below
-            level.below, level.all_tables = below, all_tables
-            if keep:
-                self.kept[i].append((p.astype(np.float32), back.astype(np.float32)))
-        return p
-
-    def reseat(self, discounts: list[float], how: PitmanYor, draw: np.random.Generator) -> None:
-        for i in range(len(self.levels) - 1, -1, -1):
-            level = self.levels[i]
-            if i + 1 < len(self.levels):
-                child = self.levels[i + 1]
-                level.customers = level.direct + np.bincount(child.parent, child.tables, len(level.keys)).astype(np.int64)
-            else:
-                level.customers = level.direct
-            others = level.all_tables[level.of] - level.tables
-            level.tables = seat(level.customers, (how.strength + discounts[i] * others) * level.below, discounts[i] * level.below, discounts[i], draw)
-
-    def scored(self) -> list[dict[str, np.ndarray]]:
-        return [
-            {"keys": level.keys, "p": np.stack([a for a, _ in k], axis=1), "contexts": level.contexts, "back": np.stack([b for _, b in k], axis=1)}
-            for level, k in zip(self.levels, self.kept)
-        ]
-
-
-def discounts_of(counts: np.ndarray) -> list[float]:
-    return [min(0.95, max(0.05, n1 / (n1 + 2 * n2))) if n1 + n2 else 0.5 for n1, n2 in counts.tolist()]
-
-
-def averaged(levels: list[dict[str, np.ndarray]]) -> list[dict[str, np.ndarray]]:
-    # of the longest contexts only the average is used; shorter ones are multiplied per sweep on the way down
-    levels[-1]["p"] = levels[-1]["p"].mean(axis=1)
-    return levels
-
-
-def sample(direct: list[tuple[np.ndarray, np.ndarray]], how: PitmanYor) -> list[dict[str, np.ndarray]]:
-    """Per level: keys, p (dish, kept sweep; the average at the last level), contexts, back (context, kept sweep)."""
-    draw = np.random.default_rng(how.seed)
-    tree = Tree(direct)
-    discounts = discounts_of(tree.once_and_twice())
-    for sweep in range(how.burn_in + how.samples + 1):
-        tree.probabilities(1 / 256, discounts, how, sweep > how.burn_in)
-        if sweep < how.burn_in + how.samples:
-            tree.reseat(discounts, how, draw)
-    return averaged(tree.scored())
-
-
-#: a shard's counts, tables and kept probabilities; what it sends to the driver's dishes
-STATE = "shard long, state binary, up array<long>, sent array<long>, firsts array<long>"
-
-
-def _packed(tree: Tree) -> bytes:
-    longest = tree.levels[-1]
-    return pickle.dumps((longest.keys, longest.direct, [x.tables.astype(np.int32) for x in tree.levels], tree.kept))
-
-
-def _tree(state: bytes, order: int) -> Tree:
-    keys, direct, tables, kept = pickle.loads(state)
-    tree = _planted(keys, direct, order)
-    tree.kept = kept
-    for level, t in zip(tree.levels, tables):
-        level.tables = t.astype(np.int64)
-    tree.settle()
-    return tree
-
-
-def _planted(keys: np.ndarray, counts: np.ndarray, order: int) -> Tree:
-    """A shard's tree; all its customers sit down in the longest contexts first."""
-    low = min(NEAR, order)
-    return Tree([(np.empty(0, np.uint64), np.empty(0, np.int64))] * (order - low) + [(keys, counts)], low)
-
-
-def _state_row(shard: int, tree: Tree) -> list[pa.Array]:
-    return [pa.array([shard], pa.int64()), pa.array([_packed(tree)], pa.binary()), *(pa.array([x], pa.list_(pa.int64())) for x in (tree.outer.view(np.int64), tree.sent(), tree.once_and_twice().ravel()))]
-
-
-def sample_shards(cut: DataFrame, how: PitmanYor) -> tuple[list[dict[str, np.ndarray]], DataFrame]:
-    """As ``sample``, for the n-grams of blocks: the levels of short contexts, and (shard, state) of the others, stored."""
-    names = [f.split()[0] for f in STATE.split(", ")]
-    order, low, seed = how.order, min(NEAR, how.order), how.seed
-
-    def plant(t: pa.Table) -> pa.Table:
-        keys, counts = _total(t)
-        return pa.Table.from_arrays(_state_row(t["shard"][0].as_py(), _planted(keys[counts > 0], counts[counts > 0], order)), names)
-
-    def sent(states: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        got = states.select(F.explode(F.arrays_zip("up", "sent")).alias("x")).groupBy("x.up").agg(F.sum("x.sent").alias("c")).toArrow()
-        keys = got["up"].to_numpy().view(np.uint64)
-        at = np.argsort(keys)
-        return keys[at], got["c"].to_numpy()[at]
-
-    states = stored(cut.where("shard >= 0").select("shard", "keys", "counts").groupBy("shard").applyInArrow(plant, STATE), "lm-states")
-    firsts = states.select(F.posexplode("firsts").alias("i", "n")).groupBy("i").agg(F.sum("n")).collect()
-    shard_firsts = np.zeros(2 * (order - low + 1), np.int64)
-    for i, n in firsts:
-        shard_firsts[i] = n
-    tree = Tree([(np.empty(0, np.uint64), np.empty(0, np.int64))] * (low - 1) + [sent(states)])
-    discounts = discounts_of(np.concatenate([tree.once_and_twice(), shard_firsts.reshape(-1, 2)]))
-    draw, last = np.random.default_rng(seed), how.burn_in + how.samples
-    for sweep in range(last + 1):
-        p = tree.probabilities(1 / 256, discounts, how, sweep > how.burn_in)
-        shared = cut.sparkSession.sparkContext.broadcast((tree.levels[-1].keys, p))
-
-        def run(batches: Iterator[pa.RecordBatch], sweep: int = sweep, shared=shared) -> Iterator[pa.RecordBatch]:
-            keys, p = shared.value
-            for b in slices(batches, 1):
-                shard = b.column(0)[0].as_py()
-                t = _tree(b.column(1)[0].as_py(), order)
-                t.probabilities(p[np.searchsorted(keys, t.outer)], discounts[low:], how, sweep > how.burn_in)
-                if sweep < last:
-                    t.reseat(discounts[low:], how, np.random.default_rng([seed, sweep, shard]))
-                yield pa.RecordBatch.from_arrays(_state_row(shard, t), names)
-
-        states = stored(states.select("shard", "state").mapInArrow(run, STATE), "lm-states")
-        shared.unpersist()
-        if sweep < last:
-            tree.levels[-1].direct = sent(states)[1]
-            tree.reseat(discounts, how, draw)
-    return tree.scored(), states.select("shard", "state")
-
-
-class Places:
-    """Where each key stands in a list, by open addressing."""
-
-    def __init__(self, keys: np.ndarray):
-        bits = max(4, int(len(keys) * 2).bit_length())
-        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
-        self.keys, self.at = keys, np.full(1 << bits, -1, np.int32)
-        todo = np.arange(len(keys), dtype=np.int32)
-        slot = self._slot(keys)
-        while len(todo):
-            free = self.at[slot] < 0
-            self.at[slot[free]] = todo[free]
-            left = self.at[slot] != todo
-            todo, slot = todo[left], (slot[left] + 1) & self.mask
-
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """Positions, -1 for keys that are not there."""
-        if not len(self.keys):
-            return np.full(len(keys), -1, np.int32)
-        slot = self._slot(keys)
-        out = self.at[slot]
-        todo = np.flatnonzero((out >= 0) & (self.keys[out] != keys))
-        slot = slot[todo]
-        while len(todo):
-            slot = (slot + 1) & self.mask
-            out[todo] = here = self.at[slot]
-            on = (here >= 0) & (self.keys[here] != keys[todo])
-            todo, slot = todo[on], slot[on]
-        return out
-
-
-class Scorer:
-    """Log probabilities under the averaged samples."""
-
-    def __init__(self, levels: list[dict[str, np.ndarray]], order: int):
-        self.levels, self.order = levels, order
-        self.dishes = [Places(x["keys"]) for x in levels]
-        self.rooms = [Places(x["contexts"]) for x in levels]
-        self.top = np.log10(levels[-1]["p"].astype(np.float64))
-
-    def log10(self, keys: np.ndarray) -> np.ndarray:
-        """Of each n-gram's byte after its context."""
-        at = self.dishes[-1].find(keys)
-        out = np.empty(len(keys))
-        hit = at >= 0
-        out[hit] = self.top[at[hit]]
-        rest = np.flatnonzero(~hit)
-        if not len(rest):
-            return out
-        p = np.ones((len(rest), self.levels[0]["back"].shape[1]))
-        todo, key = np.arange(len(rest)), keys[rest]
-        room = self.rooms[-1].find(key >> np.uint64(8))
-        p[room >= 0] *= self.levels[-1]["back"][room[room >= 0]]
-        for level in range(self.order - 1, -1, -1):
-            key = key & np.uint64((1 << 8 * (level + 1)) - 1)
-            x = self.levels[level]
-            at = self.dishes[level].find(key)
-            p[todo[at >= 0]] *= x["p"][at[at >= 0]]
-            todo, key = todo[at < 0], key[at < 0]
-            room = self.rooms[level].find(key >> np.uint64(8))
-            p[todo[room >= 0]] *= x["back"][room[room >= 0]]
-        p[todo] /= 256
-        out[rest] = np.log10(p.mean(axis=1))
-        return out
-
-
-class Answers:
-    """Log probabilities that the shards gave."""
-
-    def __init__(self, keys: np.ndarray, logs: np.ndarray):
-        self.places, self.logs = Places(keys), logs
-
-    def log10(self, keys: np.ndarray) -> np.ndarray:
-        at = self.places.find(keys)
-        if (at < 0).any():
-            raise RuntimeError("an n-gram without an answer")
-        return self.logs[at]
-
-
-def answers(cut: DataFrame, short: list[dict[str, np.ndarray]], states: DataFrame, how: PitmanYor) -> DataFrame:
-    """(block, keys, logs): of each block's n-grams, as each shard knows them."""
-    order, shared = how.order, cut.sparkSession.sparkContext.broadcast(short)
-
-    def run(asked: pa.Table, model: pa.Table) -> pa.Table:
-        keys = [np.frombuffer(x.as_buffer(), np.uint64) for x in asked["keys"]]
-        distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
-        long = _tree(model["state"][0].as_py(), order).scored()
-        logs = Scorer(averaged([*shared.value, *long]), order).log10(distinct)[at]
-        ends = np.cumsum([len(k) for k in keys])[:-1]
-        return pa.table({"block": asked["block"], "keys": asked["keys"], "logs": pa.array([x.tobytes() for x in np.split(logs, ends)], pa.binary())})
-
-    # every shard that is asked has a state, if an empty one: both are grouped from the same rows
-    return cut.where("shard >= 0").select("shard", "block", "keys").groupBy("shard").cogroup(states.groupBy("shard")).applyInArrow(run, "block long, keys binary, logs binary")
+def discount_of(ones: int, twos: int) -> float:
+    return min(0.95, max(0.05, ones / (ones + 2 * twos))) if ones + twos else 0.5
+
+
+class Shard:
+    """The restaurants of the contexts of a shard: dishes are pairs, with 0 customers where they are only asked for."""
+
+    def __init__(self, cells: list[bytes]):
+        parts = [unpacked(c) for c in cells]
+        hashes, place = np.unique(np.concatenate([p[0] for p in parts]).view(np.uint64), return_inverse=True)
+        keys, ends = [], np.cumsum([0] + [len(p[0]) for p in parts])
+        for p, at in zip(parts, ends.tolist()):
+            own = place[at : at + len(p[0])].astype(np.uint64)
+            keys.append(np.repeat(own[p[1]], p[2]) << np.uint64(32) | own[p[3]])
+        self.lengths = [len(k) for k in keys]
+        pairs, self.place = np.unique(np.concatenate(keys), return_inverse=True)
+        del keys
+        self.counts = np.bincount(self.place, np.concatenate([p[4] for p in parts]), len(pairs)).astype(np.int64)
+        context, self.of = np.unique(pairs >> np.uint64(32), return_inverse=True)
+        word, self.word = np.unique(pairs & np.uint64(0xFFFFFFFF), return_inverse=True)
+        self.contexts, self.words = hashes[context.astype(np.int64)], hashes[word.astype(np.int64)]
+        self.customers = np.bincount(self.of, self.counts, len(self.contexts))
+        self.dishes = np.bincount(self.of, self.counts > 0, len(self.contexts))
+        #: all tables of a restaurant for each table here
+        self.share = np.ones(len(self.contexts))
+        self.tables = np.minimum(self.counts, 1)
+
+    def once_and_twice(self) -> tuple[int, int]:
+        return int((self.counts == 1).sum()), int((self.counts == 2).sum())
+
+    def all_tables(self, tables: np.ndarray) -> np.ndarray:
+        return np.bincount(self.of, tables, len(self.contexts)) * self.share
+
+    def reseat(self, below: np.ndarray, discount: float, strength: float, draw: np.random.Generator) -> None:
+        """One sweep; ``below`` is the probability of each word in the parent."""
+        p = below[self.word]
+        others = self.all_tables(self.tables)[self.of] - self.tables
+        self.tables = seat(self.counts, (strength + discount * others) * p, discount * p, discount, draw)
+
+    def tables_by_word(self) -> np.ndarray:
+        return np.bincount(self.word, self.tables, len(self.words)).astype(np.int64)
+
+    def burn_in(self, how: PitmanYor, draw: np.random.Generator) -> None:
+        """Sweeps with the words' shares of the tables here for the parent's probabilities."""
+        discount = discount_of(*self.once_and_twice())
+        for _ in range(how.burn_in):
+            sent = self.tables_by_word()
+            self.reseat((sent + 1) / (sent.sum() + len(sent) + 1), discount, how.strength, draw)
+
+    def predictive(self, below: np.ndarray, discount: float, how: PitmanYor, draw: np.random.Generator) -> np.ndarray:
+        """The probability of each pair's word after its context, averaged over the sweeps after the burn-in."""
+        total = np.zeros(len(self.counts))
+        for sweep in range(how.burn_in + how.samples):
+            self.reseat(below, discount, how.strength, draw)
+            if sweep >= how.burn_in:
+                total += self.tables
+        tables = total / how.samples
+        back = (how.strength + discount * self.all_tables(tables)) / (how.strength + self.customers)
+        return (self.counts - discount * tables) / (how.strength + self.customers)[self.of] + back[self.of] * below[self.word]
+
+
+@dataclass
+class Parent:
+    """The sums of the restaurant without context: training tokens, known words, customers, and the mass that discounts take."""
+
+    tokens: int
+    distinct: int
+    customers: int
+    mass: float
+
+    def probabilities(self, left: np.ndarray, strength: float) -> np.ndarray:
+        """Of words whose customers less discounts are ``left``."""
+        return (left + (strength + self.mass) / (self.distinct + 1)) / (strength + self.customers)
+
+
+def seat_parent(customers: np.ndarray, known: int, shards: int, how: PitmanYor, draw: np.random.Generator) -> np.ndarray:
+    """What discounts leave of the customers of each word of a word shard, averaged over the sweeps after the burn-in.
+
+    The whole restaurant is taken to have ``shards`` times the tables and the ``known`` words of this shard."""
+    discount = discount_of(int((customers == 1).sum()), int((customers == 2).sum()))
+    tables, total = np.minimum(customers, 1), np.zeros(len(customers))
+    for sweep in range(how.burn_in + how.samples):
+        others = tables.sum() - tables
+        base = (how.strength + discount * shards * others) / (shards * known + 1)
+        tables = seat(customers, base, np.full(len(customers), discount / (shards * known + 1)), discount, draw)
+        if sweep >= how.burn_in:
+            total += tables
+    return customers - discount * total / how.samples
+
+
+#: To word shards from shards and blocks (source: the shard, or -1 - block); with a shard's first cell, its sums.
+SENT = "source long, shard long, cell binary, ones long, twos long, hot binary"
+#: From word shards; with a word shard's first cell, its sums.
+TOLD = "source long, shard long, cell binary, tokens long, distinct long, customers long, mass double"
+
+
+def _names(schema: str) -> list[str]:
+    return [f.split()[0] for f in schema.split(", ")]
+
+
+def _cells(t: pa.Table) -> list[bytes]:
+    return [x.as_py() for x in t["cell"]]
+
+
+def _by_word_shard(words: np.ndarray, word_shards: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """The order in which a shard's words are sent, and the cuts between word shards."""
+    of = word_shard_of(words, word_shards)
+    order = np.argsort(of, kind="stable")
+    return order, _cut(of[order])
+
+
+def burnt_in(pairs: DataFrame, how: PitmanYor, word_shards: int, hot: np.ndarray) -> DataFrame:
+    """What shards send up after their burn-in, stored."""
+    shared = pairs.sparkSession.sparkContext.broadcast(hot)
+
+    def run(t: pa.Table) -> pa.Table:
+        number = t["shard"][0].as_py()
+        shard = Shard(_cells(t))
+        shard.burn_in(how, np.random.default_rng([how.seed, 0, number]))
+        order, cuts = _by_word_shard(shard.words, word_shards)
+        words, sent = shard.words[order], shard.tables_by_word()[order]
+        dealt = np.flatnonzero(np.isin(shard.contexts, shared.value & MODEL_BITS))
+        tables = np.bincount(shard.of, shard.tables, len(shard.contexts))[dealt]
+        sums = [*shard.once_and_twice(), packed(shard.contexts[dealt], shard.customers[dealt].astype(np.int64), shard.dishes[dealt].astype(np.int64), tables.astype(np.int64))]
+        rows = [(number, s, packed(words[i:j], sent[i:j]), *(sums if not i else (0, 0, None))) for s, i, j in cuts]
+        return pa.table({n: [r[k] for r in rows] for k, n in enumerate(_names(SENT))})
+
+    return stored(pairs.select("shard", "cell").groupBy("shard").applyInArrow(run, SENT), "lm-sent")
+
+
+def parents(sent: DataFrame, words: DataFrame, how: PitmanYor, word_shards: int) -> DataFrame:
+    """The word shards' answers to shards and blocks, stored."""
+    asked = sent.select("source", "shard", "cell").union(words.select(-1 - F.col("block"), "shard", "cell"))
+
+    def run(t: pa.Table) -> pa.Table:
+        number, source = t["shard"][0].as_py(), t["source"].to_numpy()
+        parts, rows, sums = [unpacked(c) for c in _cells(t)], [], [0, 0, 0, 0.0]
+        for of_shards in (False, True):
+            some = np.flatnonzero((source >= 0) == of_shards).tolist()
+            if some:
+                distinct, place = np.unique(np.concatenate([parts[i][0] for i in some]), return_inverse=True)
+                numbers = np.bincount(place, np.concatenate([parts[i][1] for i in some]), len(distinct)).astype(np.int64)
+                if of_shards:
+                    told = seat_parent(numbers, sums[1], word_shards, how, np.random.default_rng([how.seed, 1, number])).astype(np.float32)
+                    sums[2:] = int(numbers.sum()), float((numbers - told).sum())
+                else:
+                    told, sums[:2] = numbers, (int(numbers.sum()), int((numbers > 0).sum()))
+                ends = np.cumsum([len(parts[i][0]) for i in some])[:-1]
+                rows += [(int(source[i]), number, packed(x)) for i, x in zip(some, np.split(told[place], ends))]
+        rows = [(*r, *(sums if not i else (0, 0, 0, 0.0))) for i, r in enumerate(rows)]
+        return pa.table({n: [r[k] for r in rows] for k, n in enumerate(_names(TOLD))})
+
+    return stored(asked.groupBy("shard").applyInArrow(run, TOLD), "lm-told")
+
+
+def dealt_contexts(sent: DataFrame) -> dict[int, tuple[int, int, int]]:
+    """Of each context that is dealt over shards: all its customers, dishes, and tables after the burn-in."""
+    out: dict[int, np.ndarray] = {}
+    for r in sent.where("hot IS NOT NULL").select("hot").toLocalIterator():
+        hashes, *numbers = unpacked(r.hot)
+        for h, *n in zip(hashes.tolist(), *(x.tolist() for x in numbers)):
+            out[h] = out.get(h, 0) + np.array(n, np.int64)
+    return {h: tuple(n.tolist()) for h, n in out.items()}
+
+
+def answers(pairs: DataFrame, told: DataFrame, parent: Parent, discount: float, dealt: dict, how: PitmanYor, word_shards: int) -> DataFrame:
+    """(block, shard, cell): the log10 probability of each pair of each block, stored."""
+    shared = pairs.sparkSession.sparkContext.broadcast(dealt)
+
+    def run(asked: pa.Table, above: pa.Table) -> pa.Table:
+        number = asked["shard"][0].as_py()
+        shard = Shard(_cells(asked))
+        order, _ = _by_word_shard(shard.words, word_shards)
+        left = np.empty(len(order))
+        left[order] = np.concatenate([unpacked(c)[0] for c in _cells(above.sort_by("shard"))])
+        for i in np.flatnonzero(np.isin(shard.contexts, np.array(sorted(shared.value), np.uint64))).tolist():
+            customers, dishes, tables = shared.value[int(shard.contexts[i])]
+            shard.customers[i] = customers
+            if shard.dishes[i]:
+                shard.share[i] = dishes / shard.dishes[i]
+        p = shard.predictive(parent.probabilities(left, how.strength), discount, how, np.random.default_rng([how.seed, 2, number]))
+        logs = np.log10(p).astype(np.float32)[shard.place]
+        ends = np.cumsum(shard.lengths)[:-1]
+        return pa.table({"block": asked["block"], "shard": asked["shard"], "cell": pa.array([packed(x) for x in np.split(logs, ends)], pa.binary())})
+
+    # every shard has words, so each is answered
+    asked = pairs.select("shard", "block", "cell").groupBy("shard")
+    above = told.where("source >= 0").select("source", "shard", "cell").groupBy("source")
+    return stored(asked.cogroup(above).applyInArrow(run, "block long, shard long, cell binary"), "lm-answers")
+
+
+def hot_contexts(read: DataFrame, share: float, size: int) -> np.ndarray:
+    """Hashes of the words that make up more than a share of the tokens, from a hashed sample of rows; the start mark is one of them."""
+    wanted = min(1.0, 6000 / share / max(1, size))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            flat = [w for text in b.column(0) for words in parts_of(text.as_py()) for w in words] + [START] * len(b)
+            keys, n = np.unique(hashed(flat), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([keys.view(np.int64), [0]])), pa.array(np.concatenate([n, [len(flat)]]))], ["key", "n"])
+
+    some = read.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) <= F.lit(int(wanted * (1 << 30)))).select("text")
+    top = some.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n")).limit(int(2 / share) + 2).collect()
+    total = max((r.n for r in top if r.key == 0), default=0)
+    return np.array(sorted(r.key % (1 << 64) for r in top if r.key and r.n > share * total), np.uint64)
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", how: PitmanYor = PitmanYor()) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    if how.most is not None:
-        raise ValueError("score keeps all n-grams; most bounds model_counts alone")
     spark = docs.sparkSession
+    ship(spark)
     read = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     held = held_out("doc_id", how.folds, how.left_out)
     rows = read.select(F.monotonically_increasing_id().alias("row"), "doc_id", held.alias("held_out"), (F.col("doc_id").isNotNull() & ~held).alias("learned"), "text")
     size = read.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    cut = blocks(rows, how, min(4096, max(16, size >> 22)))
-    words = shard_counts(cut.where("shard < 0"), "lm-words")
-    total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    short, states = sample_shards(cut, how)
-    hot = words.orderBy(F.desc("c"), "key").limit(how.hot).toArrow()
-    hot_keys, hot_counts = hot["key"].to_numpy().view(np.uint64), hot["c"].to_numpy()
-    # with fewer words than places none is left to be joined
-    complete = len(hot_keys) < how.hot
-    shared = spark.sparkContext.broadcast((hot_keys, np.log10(hot_counts + 1.0)))
-    order = how.order
-    schema = T.StructType([T.StructField("row", T.LongType()), read.schema["doc_id"], *T._parse_datatype_string("held_out boolean, n_tokens long, hot_known long, hot_log double, score double, cold array<long>").fields])
+    shards = max(how.least_shards, size // how.shard_bytes)
+    word_shards = max(how.least_shards, shards // 4)
+    hot = hot_contexts(read, max(0.5 / shards, how.least_share), size)
+    cells = blocks(rows, how, shards, word_shards, hot)
+
+    cells_at = cells._stored_at
+
+    def of(kind: str) -> DataFrame:
+        return cells.where(F.col("kind") == kind)
+
+    sent = burnt_in(of("pairs"), how, word_shards, hot)
+    told = parents(sent, of("words"), how, word_shards)
+    ones, twos = sent.agg(F.sum("ones"), F.sum("twos")).first()
+    sums = told.agg(F.sum("tokens"), F.sum("distinct"), F.sum("customers"), F.sum("mass")).first()
+    parent = Parent(*(x or 0 for x in sums))
+    dealt = dealt_contexts(sent)
+    removed(spark, sent, f"{cells._stored_at}/kind=words")
+    cells = spark.read.schema(CELLS).parquet(cells_at)
+    logs = answers(of("pairs"), told, parent, discount_of(ones or 0, twos or 0), dealt, how, word_shards)
+    removed(spark, f"{cells_at}/kind=pairs")
+    schema = T.StructType([T.StructField("row", T.LongType()), read.schema["doc_id"], *T.StructType.fromDDL("held_out boolean, n_tokens long, n_known long, base_score double, score double").fields])
 
     def run(block: pa.Table, found: pa.Table) -> pa.Table:
-        places, logs = _worker_tables(shared)
-        known_keys, known_logs = (np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in found[name]]) for name, kind in (("keys", np.uint64), ("logs", np.float64)))
-        scorer, keys, out = Answers(known_keys, known_logs), WordKeys(), []
-        for some in pa.ipc.open_stream(block["rows"][0].as_buffer()):
-            texts = [words_of(t) for t in some.column(4).to_pylist()]
-            n = np.array([len(ws) + 1 for ws in texts])
-            h = np.fromiter((k for ws in texts for k in (*map(keys.__getitem__, ws), keys[END_WORD])), np.uint64, int(n.sum()))
-            at = places.find(h)
-            first = np.cumsum(n) - n
-            known = np.add.reduceat((at >= 0).astype(np.int64), first)
-            log = np.add.reduceat(np.where(at >= 0, logs[np.maximum(at, 0)], 0.0) if len(logs) else np.zeros(len(h)), first)
-            if complete:
-                cold = pa.array([None] * len(n), pa.list_(pa.int64()))
-            else:
-                ends = np.concatenate([[0], np.cumsum(np.add.reduceat((at < 0).astype(np.int64), first))])
-                cold = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(h[at < 0].view(np.int64)))
-            out.append(pa.RecordBatch.from_arrays([some.column(0), some.column(1), some.column(2), pa.array(n), pa.array(known), pa.array(log), pa.array(_text_scores(texts, scorer, order)), cold], schema.names))
-        return pa.Table.from_batches(out)
-
-    told = answers(cut, short, states, how)
-    texts = cut.where("rows IS NOT NULL").select("block", "rows")
-    scored = stored(texts.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(run, schema), "lm-scored")
-    found = scored.select("row", F.explode("cold").alias("key")).join(words, "key").groupBy("row").agg(F.count("*").alias("cold_known"), F.sum(F.log10(F.col("c") + 1)).alias("cold_log"))
-    zero = F.lit(0)
-    return scored.join(found, "row", "left").select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        (F.col("hot_known") + F.coalesce("cold_known", zero)).alias("n_known"),
-        F.lit(int(total)).cast("long").alias("train_tokens"),
-        (F.col("hot_log") + F.coalesce("cold_log", zero) - F.col("n_tokens") * F.log10(F.lit(float(total + distinct + 1)))).alias("base_score"),
-        "score",
-    )
-
-
-_tables: dict[int, tuple] = {}
-
-
-def _worker_tables(shared) -> tuple:
-    """A worker's look-up tables of words, built once for all its tasks."""
-    key = id(shared.value)
-    if key not in _tables:
-        _tables.clear()
-        hot_keys, logs = shared.value
-        _tables[key] = Places(hot_keys), logs
-    return _tables[key]
-
-
-def _blocks(b: pa.RecordBatch, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """Slices of about so many bytes of text."""
-    sizes = np.cumsum(pc.fill_null(pc.binary_length(b.column(4)), 0).to_numpy())
-    at = 0
-    while at < len(b):
-        upto = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + most)))
-        yield b.slice(at, upto - at)
-        at = upto
+        found = found.sort_by("shard")
+        number = found["shard"].to_numpy()
+        got = [unpacked(c)[0] for c in _cells(found)]
+        known = np.concatenate([g for g, s in zip(got, number) if s < 0]).astype(np.int64)
+        log = np.concatenate([g for g, s in zip(got, number) if s >= 0]).astype(float)
+        n, flat, word_at, shard, dealt, table = unpacked(block["cell"][0].as_py())
+        t = pa.ipc.open_stream(pa.py_buffer(table.astype(np.uint8).tobytes())).read_all()
+        distinct, place = np.unique(neighbours(flat, np.cumsum(n + 1) - n - 1), return_inverse=True)
+        order, _ = pair_order(shard - 1, (distinct >> np.uint64(32)).astype(np.int64), dealt)
+        log = log[np.argsort(order)][place]
+        at = word_at[(distinct & np.uint64(0xFFFFFFFF)).astype(np.int64)][place]
+        some = np.flatnonzero(n)
+        first = (np.cumsum(n) - n)[some]
+        base = np.log10(known + 1.0) - np.log10(parent.tokens + parent.distinct + 1.0)
+
+        def sums(x: np.ndarray) -> np.ndarray:
+            out = np.zeros(len(n), x.dtype)
+            out[some] = np.add.reduceat(x, first)
+            return out
 
+        cols = [t["row"], t["doc_id"], t["held_out"], pa.array(n), pa.array(sums((known[at] > 0).astype(np.int64))), pa.array(sums(base[at])), pa.array(sums(log))]
+        return pa.table(cols, schema.names)
 
-def _text_scores(texts: list[list[bytes]], scorer: Scorer, order: int) -> np.ndarray:
-    out = np.zeros(len(texts))
-    parts, owners, held = [], [], 0
-
-    def settle() -> None:
-        nonlocal held
-        if parts:
-            logs = scorer.log10(ngram_keys(parts, order))
-            size = np.array([len(p) - order for p in parts])
-            np.add.at(out, owners, np.add.reduceat(logs, np.cumsum(size) - size))
-        parts.clear()
-        owners.clear()
-        held = 0
-
-    for i, ws in enumerate(texts):
-        for p in pieces(ws, order):
-            parts.append(p)
-            owners.append(i)
-            held += len(p)
-            if held >= 1 << 19:
-                settle()
-    settle()
-    return out
+    # word shards stand in reverse before the shards
+    back = told.where("source < 0").select((-1 - F.col("source")).alias("block"), (F.col("shard") - F.lit(1 << 40)).alias("shard"), "cell").union(logs)
+    texts = spark.read.schema(CELLS).parquet(cells_at).where("kind = 'rows'").select("block", "cell")
+    scored = stored(texts.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(run, schema), "lm-scored")
+    removed(spark, told, logs, cells_at)
+    whole = scored.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("held_out").alias("held_out"), *(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")))
+    return whole.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(parent.tokens).cast("long").alias("train_tokens"), "base_score", "score")
