@@ -201,3 +201,21 @@ def test_as_plain_python_with_odd_rows(spark):
 def test_plan_is_native(spark):
     plan = chat.neighbours(turns(spark, [(0, 0, "user", "hi")]))._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "ArrowEval"))
+
+
+def test_blocks_and_chunks_give_the_same_links(spark, monkeypatch):
+    rnd = np.random.default_rng(12)
+    common = rnd.normal(size=20).tolist()
+    rows = [(i, rnd.normal(size=int(rnd.integers(0, 30))).tolist() + (common if i % 3 else []) + rnd.normal(size=4).tolist()) for i in range(240)]
+    df = spark.createDataFrame(rows, "id long, data array<double>")
+    how = Chroma(query_step=10)
+
+    def run():
+        out = media.align(media.fingerprints(df, "id", "data", media.tones, how), how).collect()
+        return sorted(map(tuple, out), key=str)
+
+    whole = run()
+    assert sum(r[4] for r in whole) > 1000
+    monkeypatch.setattr(media, "BLOCK_CODES", 60)
+    monkeypatch.setattr(media, "MOST_VOTES", 50)
+    assert run() == whole

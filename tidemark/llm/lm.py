@@ -72,7 +72,7 @@ class PitmanYor:
     folds: int = 7
     left_out: int = 2
     block_tokens: int = 1 << 22
-    shard_bytes: int = 16 << 20
+    shard_bytes: int = 8 << 20
     least_shards: int = 16
     #: contexts of less than this share of all tokens are never dealt over shards, so that the list of those that are stays bounded
     least_share: float = 1 / 16384
@@ -163,14 +163,14 @@ class Block:
 
     def cells(self, shards: int, word_shards: int, hot: np.ndarray, kind: pa.DataType) -> Iterator[tuple[str, int, bytes]]:
         """(kind, shard, bytes): the rows, the pairs of each shard, the words of each word shard."""
+        hashes = hashed(self.places)
+        self.places.clear()
         n = np.array([r[4] for r in self.rows])
         flat = np.concatenate(self.tokens)
-        starts = np.cumsum(n + 1) - n - 1
-        pairs = neighbours(flat, starts)
-        known = np.repeat([r[3] for r in self.rows], n).astype(float)
-        distinct, place = np.unique(pairs, return_inverse=True)
-        count = np.bincount(place, known, len(distinct)).astype(np.int64)
-        hashes = hashed(self.places)
+        self.tokens.clear()
+        distinct, place = np.unique(neighbours(flat, np.cumsum(n + 1) - n - 1), return_inverse=True)
+        count = np.bincount(place[np.repeat([bool(r[3]) for r in self.rows], n)], minlength=len(distinct))
+        del place
         context, word = (distinct >> np.uint64(32)).astype(np.int64), (distinct & np.uint64(0xFFFFFFFF)).astype(np.int64)
         shard = context_shards(hashes, shards)
         dealt = np.flatnonzero(np.isin(hashes, hot))
@@ -201,8 +201,10 @@ def neighbours(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Context and word of each token in one number; what stands at a start is a context only."""
     first = np.zeros(len(flat), bool)
     first[starts] = True
-    flat = flat.astype(np.uint64)
-    return (flat[:-1] << np.uint64(32) | flat[1:])[~first[1:]]
+    out = flat[:-1].astype(np.uint64)
+    out <<= np.uint64(32)
+    out |= flat[1:].astype(np.uint64)
+    return out[~first[1:]]
 
 
 def context_shards(hashes: np.ndarray, shards: int) -> np.ndarray:
@@ -306,18 +308,24 @@ class Shard:
     """The restaurants of the contexts of a shard: dishes are pairs, with 0 customers where they are only asked for."""
 
     def __init__(self, cells: list[bytes]):
-        parts = [unpacked(c) for c in cells]
-        hashes, place = np.unique(np.concatenate([p[0] for p in parts]).view(np.uint64), return_inverse=True)
-        keys, ends = [], np.cumsum([0] + [len(p[0]) for p in parts])
-        for p, at in zip(parts, ends.tolist()):
-            own = place[at : at + len(p[0])].astype(np.uint64)
-            keys.append(np.repeat(own[p[1]], p[2]) << np.uint64(32) | own[p[3]])
+        own = [unpacked(c)[0] for c in cells]
+        hashes, place = np.unique(np.concatenate(own).view(np.uint64), return_inverse=True)
+        keys, counts, at = [], [], 0
+        for c, h in zip(cells, own):
+            _, context, runs, word, count = unpacked(c)
+            here = place[at : at + len(h)].astype(np.uint64)
+            keys.append(np.repeat(here[context], runs) << np.uint64(32) | here[word])
+            counts.append(count.astype(np.int32))
+            at += len(h)
         self.lengths = [len(k) for k in keys]
         pairs, self.place = np.unique(np.concatenate(keys), return_inverse=True)
-        del keys
-        self.counts = np.bincount(self.place, np.concatenate([p[4] for p in parts]), len(pairs)).astype(np.int64)
+        del keys, own, place
+        self.counts = np.bincount(self.place, np.concatenate(counts), len(pairs)).astype(np.int64)
+        self.place = self.place.astype(np.int32)
         context, self.of = np.unique(pairs >> np.uint64(32), return_inverse=True)
         word, self.word = np.unique(pairs & np.uint64(0xFFFFFFFF), return_inverse=True)
+        del pairs
+        self.of, self.word = self.of.astype(np.int32), self.word.astype(np.int32)
         self.contexts, self.words = hashes[context.astype(np.int64)], hashes[word.astype(np.int64)]
         self.customers = np.bincount(self.of, self.counts, len(self.contexts))
         self.dishes = np.bincount(self.of, self.counts > 0, len(self.contexts))

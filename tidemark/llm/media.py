@@ -7,13 +7,16 @@ two parts of a window, are quantised to two bits (Gray code) and packed into one
 Recordings with equal fingerprints form a class named after its smallest id. The query set is every recording whose id is
 divisible by ``query_step``; classes that hold one are compared with all classes. Each
 integer has four keys, which leave out one of its bytes each; every offset at which a pair shares a key of integers that are not those of silence
-is a candidate, so that an integer with its differing bits in one byte still proposes. The share of differing bits over
+is a candidate, so that an integer with its differing bits in one byte still proposes. A histogram of the offsets counts the keys shared at each; the share of differing bits over
 the overlap decides, and of the offsets that pass the one with most shared keys is the alignment.
 
+The query set meets all classes in blocks of about ``BLOCK_CODES`` integers, which are broadcast: each task looks the keys of its classes up in
+a block's, and counts, confirms and sums up there, ``MOST_VOTES`` votes at a time, so that neither votes nor links become rows.
+
 Defined results: a null, empty or too short recording has no integers, is its own class and matches nothing; values
 that are not numbers are silence; recordings whose integers are all those of silence are compared with each other, at offset 0, and match where the overlap allows; a row with a null id has a null class and is never a query; repeated rows are of one class; equal votes go to the offset nearest 0, then
 to the smaller one; an empty table gives no rows; only the named columns are read, so other columns may have any name. Classes keep
-groups of copies from being expanded into pairs, and hot classes are joined by a join that AQE splits.
+groups of copies from being expanded into pairs.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +36,10 @@ from ..session import ship
 from .common import slices, stored
 
 
+#: Integers of the queries that are broadcast together (some 50 bytes each, with their keys), and votes that are counted together.
+BLOCK_CODES, MOST_VOTES = 1 << 18, 1 << 21
+
+
 @dataclass(frozen=True)
 class Chroma:
     rate: int = 4000
@@ -128,29 +135,131 @@ def fingerprints(recordings: DataFrame, id_col: str, data_col: str, samples: Cal
     return read.mapInArrow(run, T._parse_datatype_string("id long, codes array<int>, fkey binary"))
 
 
+class Queries:
+    """A block of query classes, found by the keys of their integers."""
+
+    def __init__(self, ids: np.ndarray, codes: list[np.ndarray], how: Chroma):
+        self.ids, self.how = ids, how
+        self.size = np.array([len(c) for c in codes], np.int64)
+        self.flat = np.concatenate(codes) if codes else np.empty(0, np.uint32)
+        self.start = np.cumsum(self.size) - self.size
+        keys, self.of, self.at = voting_keys(codes, how)
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.of, self.at = keys[order], self.of[order], self.at[order]
+
+    def matches(self, ids: np.ndarray, codes: list[np.ndarray]) -> Iterator[tuple[np.ndarray, ...]]:
+        """(row, query, offset, bit error) of the best alignment of each row with each query of another class, rows in order."""
+        keys, of, at = voting_keys(codes, self.how)
+        order = np.argsort(of, kind="stable")
+        keys, of, at = keys[order], of[order], at[order]
+        low, high = np.searchsorted(self.keys, keys), np.searchsorted(self.keys, keys, "right")
+        upto = np.cumsum(high - low)
+        size = np.array([len(c) for c in codes], np.int64)
+        flat, start = np.concatenate(codes) if codes else np.empty(0, np.uint32), np.cumsum(size) - size
+        last = np.searchsorted(of, np.arange(len(codes)), "right")
+        row = 0
+        while row < len(codes):
+            # rows whose votes fit together, one at least
+            first = last[row - 1] if row else 0
+            seen = upto[first - 1] if first else 0
+            end = max(row + 1, int(np.searchsorted(upto[np.maximum(last - 1, 0)] * (last > 0), seen + MOST_VOTES, "right")))
+            some = slice(first, last[end - 1])
+            n = (high - low)[some]
+            hit = np.repeat(low[some] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            yield self._best(np.repeat(of[some], n), self.of[hit], self.at[hit] - np.repeat(at[some], n), ids, flat, start, size)
+            row = end
+
+    def _best(self, row, query, offset, ids, flat, start, size) -> tuple[np.ndarray, ...]:
+        other = ids[row] != self.ids[query]
+        row, query, offset = row[other], query[other], offset[other]
+        span = int(np.abs(offset).max(initial=0)) + 1
+        pair = row * len(self.ids) + query
+        pair, votes = np.unique(pair * (2 * span) + offset + span, return_counts=True)
+        pair, offset = pair // (2 * span), pair % (2 * span) - span
+        row, query = pair // len(self.ids), pair % len(self.ids)
+        first = np.maximum(0, -offset)
+        overlap = np.minimum(size[row] - first, self.size[query] - first - offset)
+        enough = overlap >= self.how.min_overlap
+        pair, row, query, offset, votes, first, overlap = (x[enough] for x in (pair, row, query, offset, votes, first, overlap))
+        wrong = np.zeros(len(row))
+        total = np.cumsum(overlap)
+        for i in np.unique(total // MOST_VOTES).tolist():
+            part = slice(*np.searchsorted(total // MOST_VOTES, [i, i + 1]))
+            n = overlap[part]
+            step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            mine = flat[np.repeat(start[row[part]] + first[part], n) + step]
+            theirs = self.flat[np.repeat(self.start[query[part]] + first[part] + offset[part], n) + step]
+            wrong[part] = np.add.reduceat(np.bitwise_count(mine ^ theirs).astype(np.int64), np.cumsum(n) - n)
+        error = wrong / (32.0 * overlap)
+        good = np.flatnonzero(error <= self.how.max_bit_error)
+        order = good[np.lexsort((offset[good], np.abs(offset[good]), -votes[good], pair[good]))]
+        order = order[np.diff(pair[order], prepend=-1) != 0]
+        return row[order], query[order], offset[order], error[order]
+
+
+def voting_keys(codes: list[np.ndarray], how: Chroma) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, recording, position) of the votes: each integer without one of its bytes, and which."""
+    silence = packed(np.zeros((how.width, 12)), how)[0]
+    flat = np.concatenate(codes).astype(np.uint64) if codes else np.empty(0, np.uint64)
+    size = np.array([len(c) for c in codes], np.int64)
+    of = np.repeat(np.arange(len(codes)), size)
+    at = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+    # a window of silence looks alike everywhere and casts no vote, its bits count like any others; what is nothing else casts one
+    loud = flat != silence
+    quiet = np.bincount(of[loud], minlength=len(codes)) == 0
+    votes = loud | (quiet[of] & (at == 0))
+    flat, of, at = flat[votes], of[votes], at[votes]
+    keys = [flat & np.uint64(0xFFFFFFFF & ~(0xFF << 8 * i)) | np.uint64(i << 32) for i in range(4)]
+    return np.concatenate(keys), np.tile(of, 4), np.tile(at, 4)
+
+
+def _integers(column: pa.Array) -> list[np.ndarray]:
+    flat, ends = column.values.to_numpy().view(np.uint32), column.offsets.to_numpy()
+    return [flat[s:e] for s, e in zip(ends[:-1], ends[1:])]
+
+
+def _against_queries(classes: DataFrame, how: Chroma, schema: str, rows: Callable) -> DataFrame:
+    """Classes (class_id, codes, is_query) against all query classes, in blocks of bounded size; ``rows`` makes columns of a batch's matches."""
+    spark = classes.sparkSession
+    asked = stored(classes.where("is_query").select("class_id", "codes"), "media-queries")
+    number = int(-(-(asked.agg(F.sum(F.size("codes").cast("long"))).first()[0] or 0) // BLOCK_CODES)) or 1
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def against(block: int) -> DataFrame:
+        t = asked.where(F.pmod(F.xxhash64("class_id"), F.lit(number)) == block).toArrow().combine_chunks()
+        codes = [c for chunk in t["codes"].chunks for c in _integers(chunk)]
+        shared = spark.sparkContext.broadcast((t["class_id"].to_numpy(), codes))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            queries = Queries(*shared.value, how)
+            for b in slices(batches):
+                ids = b.column(0).to_numpy()
+                for row, query, offset, error in queries.matches(ids, _integers(b.column(1))):
+                    yield pa.RecordBatch.from_arrays(rows(ids[row], queries.ids[query], offset, error), names)
+
+        return classes.select("class_id", "codes").mapInArrow(run, schema)
+
+    ship(spark)
+    return reduce(DataFrame.union, map(against, range(number)))
+
+
 def links(classes: DataFrame, how: Chroma = Chroma()) -> DataFrame:
     """(class_id, q, offset, bit_error): of classes (class_id, codes, is_query), the other classes that each query class matches."""
-    # a window of silence looks alike everywhere and casts no vote, its bits count like any others; what is nothing else casts one
-    silence = int(packed(np.zeros((how.width, 12)), how).view(np.int32)[0])
-    quiet = F.forall("codes", lambda x: x == silence)
-    codes = classes.select("class_id", "is_query", quiet.alias("quiet"), F.posexplode("codes").alias("pos", "code")).where((F.col("code") != silence) | (F.col("quiet") & (F.col("pos") == 0)))
-    # the integer without one of its bytes, and which
-    keys = [F.col("code").bitwiseAND(F.lit(0xFFFFFFFF & ~(0xFF << 8 * i))).bitwiseOR(F.lit(i << 32)) for i in range(4)]
-    codes = codes.withColumn("code", F.col("code").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))).select("class_id", "is_query", "pos", F.explode(F.array(*keys)).alias("key"))
-    queries = codes.where("is_query").select(F.col("class_id").alias("q"), F.col("pos").alias("q_pos"), "key")
-    offset = (F.col("q_pos") - F.col("pos")).alias("offset")
-    votes = codes.select("class_id", "pos", "key").join(queries, "key").where("class_id <> q").groupBy("class_id", "q", offset).agg(F.count("*").alias("n"))
-    asked = stored(classes.where("is_query").select(F.col("class_id").alias("q"), F.col("codes").alias("theirs")), "media-queries")
-    pairs = votes.join(classes.select("class_id", F.col("codes").alias("mine")), "class_id").join(asked, "q")
-    first = F.greatest(F.lit(0), -F.col("offset"))
-    overlap = F.least(F.size("mine") - first, F.size("theirs") - first - F.col("offset"))
-    pairs = pairs.withColumns({"overlap": overlap, "first": first}).where(F.col("overlap") >= how.min_overlap)
-    wrong = F.zip_with(F.slice("mine", F.col("first") + 1, F.col("overlap")), F.slice("theirs", F.col("first") + F.col("offset") + 1, F.col("overlap")), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
-    # an int's bits are counted after its sign is carried on: a differing sign bit counts 32 more
-    error = F.aggregate(wrong, F.lit(0), lambda s, x: s + F.when(x > 32, x - 32).otherwise(x)) / (32.0 * F.col("overlap"))
-    passed = pairs.select("class_id", "q", "offset", "n", error.alias("bit_error")).where(F.col("bit_error") <= how.max_bit_error)
-    best = passed.groupBy("class_id", "q").agg(F.max(F.struct("n", -F.abs("offset"), -F.col("offset"), "bit_error")).alias("top"))
-    return best.select("class_id", "q", (-F.col("top")["col3"]).alias("offset"), F.col("top")["bit_error"].alias("bit_error"))
+    return _against_queries(classes, how, "class_id long, q long, offset long, bit_error double", lambda *columns: list(map(pa.array, columns)))
+
+
+def _summed(row: np.ndarray, query: np.ndarray, offset: np.ndarray, error: np.ndarray) -> list[pa.Array]:
+    """Per class, which stand together: how many matches, and the best."""
+    order = np.lexsort((offset, query, error, row))
+    row, query, offset, error = row[order], query[order], offset[order], error[order]
+    first = np.flatnonzero(np.diff(row, prepend=row[:1] - 1))
+    return [pa.array(x) for x in (row[first], np.diff(first, append=len(row)), error[first], query[first], offset[first])]
+
+
+def match_sums(classes: DataFrame, how: Chroma = Chroma()) -> DataFrame:
+    """(class_id, n_matches, best) without a row for each link, of which a large group of near copies has many."""
+    found = _against_queries(classes, how, "class_id long, n long, bit_error double, q long, offset long", _summed)
+    return found.groupBy("class_id").agg(F.sum("n").alias("n_matches"), F.min(F.struct("bit_error", "q", "offset")).alias("best"))
 
 
 def align(prints: DataFrame, how: Chroma = Chroma()) -> DataFrame:
@@ -160,8 +269,7 @@ def align(prints: DataFrame, how: Chroma = Chroma()) -> DataFrame:
     known = prints.where("fkey IS NOT NULL AND id IS NOT NULL")
     wanted = F.pmod("id", F.lit(how.query_step)) == 0
     classes = stored(known.groupBy("fkey").agg(F.min("id").alias("class_id"), F.min_by("codes", "id").alias("codes"), F.bool_or(wanted).alias("is_query")), "media-classes")
-    pairs = links(classes, how)
-    matches = pairs.groupBy("class_id").agg(F.count("*").alias("n_matches"), F.min(F.struct("bit_error", "q", "offset")).alias("best"))
+    matches = match_sums(classes, how)
     named = classes.select("fkey", "class_id").join(matches, "class_id", "left")
     return prints.join(named, "fkey", "left").select(
         "id",
