@@ -171,7 +171,7 @@ def encoder(path: str) -> PrefixBpe:
 def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
     """One row per document: doc_id, n_tokens, digests of ids and of the decoded text, and (with_ids) both in full."""
     read = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    schema = T.StructType([read.schema["doc_id"], *T._parse_datatype_string("n_tokens long, ids_sha256 string, decoded_sha256 string").fields])
+    schema = T.StructType([read.schema["doc_id"], *T.StructType.fromDDL("n_tokens long, ids_sha256 string, decoded_sha256 string").fields])
     if with_ids:
         schema = schema.add("ids", T.ArrayType(T.IntegerType())).add("decoded", T.StringType())
 

@@ -51,9 +51,9 @@ class Kernel:
 
 @lru_cache(1)
 def letter_table() -> np.ndarray:
-    """The lower-case letter of each code point, a space for all that are none; the last stands for the rest."""
-    out = np.full(0x30001, 32, np.uint64)
-    for c in range(0x30000):
+    """The lower-case letter of each code point, a space for all that are none; the last stands for the rest, the planes without letters."""
+    out = np.full(0x40001, 32, np.uint64)
+    for c in range(0x40000):
         if chr(c).isalpha():
             out[c] = ord(chr(c).lower()[0])
     return out
@@ -169,7 +169,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score."""
     read = _read(docs, id_col, text_col).select("doc_id", held_out("doc_id", model.kernel.folds, model.kernel.left_out).alias("held_out"), "text")
-    schema = T.StructType([read.schema["doc_id"], *T._parse_datatype_string("held_out boolean, lang_pred string, score double").fields])
+    schema = T.StructType([read.schema["doc_id"], *T.StructType.fromDDL("held_out boolean, lang_pred string, score double").fields])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,21 +181,23 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return read.mapInArrow(run, schema)
 
 
-def known_language(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The documents whose language is recognised, with all their columns; those with a letter, when nothing could be learned.
+def known_language(docs: DataFrame, model: Model, text_col: str = "text", least_score: float = 0.5, languages: list[str] | None = None) -> DataFrame:
+    """The documents whose predicted language is one of ``languages`` (all that were learned, by default) with at least the score, with all their columns.
 
-    A model with languages recognises every text that has a letter: its scores reject none."""
-    at, names = docs.columns.index(text_col), docs.columns
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    A score of one half says that the language outweighs all others together. Null texts and texts without a letter have no language and go;
+    when nothing could be learned, all with a letter stay, unless languages are asked for. Only the text is sent to Python."""
+    shared, accepted = docs.sparkSession.sparkContext.broadcast(model), None if languages is None else set(languages)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            texts = b.column(at).to_pylist()
+    @F.arrow_udf(T.BooleanType())
+    def accept(texts: pa.Array) -> pa.Array:
+        keep: list[bool] = []
+        for at in range(0, len(texts), 512):
+            some = texts.slice(at, 512).to_pylist()
             if shared.value.languages:
-                keep = [x != UNKNOWN for x in shared.value.predict(texts)[0]]
+                keep += [name != UNKNOWN and score >= least_score and (accepted is None or name in accepted) for name, score in zip(*shared.value.predict(some))]
             else:
-                keep = [ngrams(x, shared.value.kernel.sizes) is not None for x in texts]
-            yield pa.RecordBatch.from_arrays(b.columns, names).filter(pa.array(keep, pa.bool_()))
+                keep += [accepted is None and ngrams(x, shared.value.kernel.sizes) is not None for x in some]
+        return pa.array(keep, pa.bool_())
 
     ship(docs.sparkSession)
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(accept(F.col(text_col)))

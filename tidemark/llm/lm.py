@@ -72,7 +72,7 @@ class PitmanYor:
     folds: int = 7
     left_out: int = 2
     block_tokens: int = 1 << 22
-    shard_bytes: int = 8 << 20
+    shard_bytes: int = 12 << 20
     least_shards: int = 16
     #: contexts of less than this share of all tokens are never dealt over shards, so that the list of those that are stays bounded
     least_share: float = 1 / 16384

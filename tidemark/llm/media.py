@@ -132,7 +132,7 @@ def fingerprints(recordings: DataFrame, id_col: str, data_col: str, samples: Cal
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([c.view(np.int32) for c in codes], pa.list_(pa.int32())), pa.array(keys, pa.binary())], ["id", "codes", "fkey"])
 
     ship(recordings.sparkSession)
-    return read.mapInArrow(run, T._parse_datatype_string("id long, codes array<int>, fkey binary"))
+    return read.mapInArrow(run, T.StructType.fromDDL("id long, codes array<int>, fkey binary"))
 
 
 class Queries:

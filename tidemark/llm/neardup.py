@@ -31,12 +31,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ship
-from .common import slices, stored, values
+from .common import removed, slices, stored, values
 
 #: Up to so many ids (some 50 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
@@ -121,7 +121,7 @@ def most_bits(how: Near) -> float:
 
 def features(docs: DataFrame, how: Near) -> DataFrame:
     """doc_id, n_shingles, set_key (null without shingles) and the bucket keys of each row of (doc_id, text)."""
-    schema = T.StructType([docs.schema["doc_id"], *T._parse_datatype_string("n_shingles long, set_key binary, keys array<long>").fields])
+    schema = T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL("n_shingles long, set_key binary, keys array<long>").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, minhash = WordHashes(), MinHash(how)
@@ -147,11 +147,12 @@ def components(links: DataFrame, name: str) -> DataFrame:
     while True:
         both = edges.union(edges.select("b", "a"))
         # both sides of each join come straight from tables, so that a hub's rows can be split between tasks
-        least = stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), name)
-        large = stored(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")), name)
+        first = stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), name)
+        large = stored(both.where("b > a").join(first, "a").select(F.col("b").alias("a"), F.col("m").alias("b")), name)
         least = stored(large.groupBy("a").agg(F.min("b").alias("m")), name)
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = stored(small.union(least.select("a", "m")).distinct(), name)
+        before, edges = edges, stored(small.union(least.select("a", "m")).distinct(), name)
+        removed(edges.sparkSession, before, first, large, least)
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if now == state:
             break
@@ -223,7 +224,7 @@ def near_links(docs: DataFrame, how: Near = Near()) -> tuple[DataFrame, DataFram
     maybe = buckets.join(shared, "key").where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b"))
     members = stored(components(maybe, "near-maybe").withColumnRenamed("label", "cluster"), "near-members")
 
-    schema = T._parse_datatype_string("cluster long, id long, set binary, sketch binary")
+    schema = T.StructType.fromDDL("cluster long, id long, set binary, sketch binary")
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, minhash = WordHashes(), MinHash(how)
@@ -249,7 +250,7 @@ def near_links(docs: DataFrame, how: Near = Near()) -> tuple[DataFrame, DataFram
     owner = F.when(F.col("block") < 0, F.lit(None)).otherwise(F.col("cluster"))
     placed = placed.withColumn("owner", F.coalesce(owner, F.lit(-1).cast("long")))
 
-    rooted = T._parse_datatype_string("cluster long, id long, root long, block long")
+    rooted = T.StructType.fromDDL("cluster long, id long, root long, block long")
 
     def within(t: pa.Table) -> pa.Table:
         out = []
@@ -286,7 +287,7 @@ def _across(sets: DataFrame, found: DataFrame, large: DataFrame, how: Near) -> D
     rows = rows.withColumn("other", F.explode(F.array_except(others, F.array("block"))))
     rows = rows.select("cluster", "id", "root", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     placed = sets.join(rows, ["cluster", "id"])
-    schema = T._parse_datatype_string("a long, b long")
+    schema = T.StructType.fromDDL("a long, b long")
 
     def between(t: pa.Table) -> pa.Table:
         a, b = [], []
@@ -314,10 +315,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", how: Near = Near()) -> DataFrame:
-    """The documents that are the smallest of their component, with all their columns."""
-    _, links = near_links(_read(docs, id_col, text_col), how)
+    """The documents that are the smallest of their component, with all their columns.
+
+    Of rows that share an id, which are one document, the one with the least text stays; rows with a null id all do."""
+    feats, links = near_links(_read(docs, id_col, text_col), how)
     gone = _limited(stored(components(links, "near-components").where("id <> label").select("id"), "near-gone"))
-    return docs.join(gone, docs[id_col].cast("long") == gone["id"], "left_anti")
+    kept = docs.join(gone, docs[id_col].cast("long") == gone["id"], "left_anti")
+    again = stored(feats.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("id")), "near-again")
+    if again.isEmpty():
+        return kept
+    # the rank limit is applied before the shuffle too, so an id of many rows sends one a task
+    key = F.col(id_col).cast("long")
+    ranks = Window.partitionBy(id_col).orderBy(F.col(text_col).asc_nulls_last())
+    nth = next(n for n in map("nth{}".format, range(len(docs.columns) + 1)) if n not in docs.columns)
+    repeated = kept.join(again, key == again["id"], "left_semi").withColumn(nth, F.row_number().over(ranks)).where(F.col(nth) == 1).drop(nth)
+    return kept.join(again, key == again["id"], "left_anti").union(repeated)
 
 
 def oracle_sql(how: Near) -> str:

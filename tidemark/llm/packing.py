@@ -74,7 +74,7 @@ PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id
 def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", how: Packing = Packing(), with_ids: bool = False) -> DataFrame:
     """One row per piece: where it comes from, where it lies, and (with_ids) its ids."""
     read = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    schema = T.StructType([read.schema["doc_id"], *T._parse_datatype_string(PIECES).fields])
+    schema = T.StructType([read.schema["doc_id"], *T.StructType.fromDDL(PIECES).fields])
     if with_ids:
         schema = schema.add("ids", T.ArrayType(T.IntegerType()))
     ship(docs.sparkSession)

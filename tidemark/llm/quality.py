@@ -117,7 +117,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """One row per document: doc_id, held_out, score, predicted."""
     how = model.how
     read = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col, how.folds, how.left_out).alias("held_out"), F.col(text_col).cast("string").alias("text"))
-    schema = T.StructType([read.schema["doc_id"], *T._parse_datatype_string("held_out boolean, score double, predicted int").fields])
+    schema = T.StructType([read.schema["doc_id"], *T.StructType.fromDDL("held_out boolean, score double, predicted int").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
