@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and returns the documents that
 stay, with their columns; the last returns the pieces of the packed windows.
+
+Every stage takes any table with the columns doc_id, text and lang, whatever others there are, nulls in any of them included; an
+empty table gives an empty result. Rows that repeat others are judged alike, and the near-duplicate stage keeps one.
 """
 
 from __future__ import annotations
@@ -14,22 +17,27 @@ from tidemark.llm.queries import vocabulary
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised."""
+    """Documents in one of the learned languages, with a score of one half at least: it outweighs all others together.
+
+    Predicted language and score can't be carried along, as the columns stay those of documents. Null and empty texts and texts without a
+    letter go. Where no row has a language to learn from, all documents with a letter stay."""
     return langid.known_language(docs, langid.train(docs))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the rules, without the lines that fail them."""
+    """Documents that pass the rules, without the lines that fail them; n_chars is counted anew. Null and empty texts go."""
     return lines.clean_documents(docs)
 
 
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates."""
+    """The document with the smallest id of each group of near-duplicates: shingles of five words, similarity 0.8.
+
+    Of rows that share an id one stays; rows with a null id and texts without words are in no group and stay."""
     return neardup.first_of_each(docs)
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, packed."""
+    """The pieces of all documents, packed; a null or empty text is the end id alone, repeated rows are packed each."""
     return packing.pack(docs, vocabulary("byte_bpe_50k.json"))
 
 
