@@ -34,6 +34,7 @@ def test_put_get_overwrite_delete_reopen(make):
     s.delete("key3")
     s.put("empty", "")
     assert s.get("key3") is None and s.get("empty") == ""
+    s.sync()
     again = make()
     assert (again.get("key2"), again.get("key3")) == ("again", None)
     again.put("key4", "4")
@@ -104,6 +105,85 @@ def test_tables_and_limits(make, spark):
     assert len(s.get("k")) == 65_520
 
 
+def test_the_last_put_counts_whatever_the_clock_says(spark, tmp_path):
+    times = iter([10, 10, 100, 50, 60, 70, *range(200, 300)])
+    s = Store(spark, f"file://{tmp_path}/s", clock=lambda: next(times))
+    s.put("k", "v1")
+    s.put("k", "v2")
+    s.put("z", "1")
+    state = lambda: (s.get("k"), rows(s.scan("a", "zz")))
+    before = state()
+    assert before == ("v2", [("k", "v2"), ("z", "1")])
+    s.flush()
+    assert state() == before and not s.flush()
+    reopened = Store(spark, f"file://{tmp_path}/s", clock=lambda: 500)
+    assert reopened.get("k") == "v2" and reopened.next_seq == 4
+
+
+def test_a_read_writes_nothing(make, tmp_path):
+    s = make()
+    s.put("a", "1")
+    assert (s.get("a"), s.get("b")) == ("1", None) and rows(s.scan("a", "b")) == [("a", "1")] and s.stats().first().memtable_entries == 1
+    assert not (tmp_path / "store" / "log").exists()
+    s.delete("a")
+    assert s.get("a") is None
+
+
+def test_dropped_deletes_do_not_lower_the_mark(make):
+    s = make(compaction_on=False)
+    s.put("a", "1")
+    s.put("b", "1")
+    s.flush()
+    s.put("a", "2")
+    s.delete("b")
+    s.flush()
+    assert s.compact(least=2) is not None and s.memtable().isEmpty() and not s.flush() and not make().flush()
+    assert rows(s.scan("a", "z")) == [("a", "2")]
+
+
+def test_a_cleanup_that_stops_half_way_loses_nothing(make):
+    s = make(segment_bytes=60)
+    for i in range(6):
+        s.put(f"k{i}", "x" * 30)
+    s.flush()
+    s.put("later", "1")
+    s.sync()
+    calls, delete = [], s.fs.delete
+
+    class Once:
+        def delete(self, path, whole):
+            calls.append(path)
+            if len(calls) == 2:
+                raise OSError("stopped")
+            return delete(path, whole)
+
+        def __getattr__(self, name):
+            return getattr(s_fs, name)
+
+    s_fs, s.fs = s.fs, Once()
+    with pytest.raises(OSError):
+        s.cleanup()
+    again = make()
+    assert again.get("later") == "1" and again.get("k0") == "x" * 30
+    assert again.cleanup() == [2, 3] and make().get("later") == "1"
+
+
+def test_of_two_writers_one_fails(make):
+    one, other = make(), make()
+    one.put("a", "1")
+    other.put("b", "1")
+    other.put("c", "1")
+    one.sync(), other.sync()
+    version = one._version
+    other_first = other._version()
+    assert one.flush()
+    other.put("d", "1")
+    other._version = lambda: other_first
+    with pytest.raises(errors.Conflict):
+        other.flush()
+    assert version() == 1 and make().get("a") == "1"
+
+
 def test_an_unfinished_manifest_is_not_read(make, tmp_path):
     s = make()
     s.put("a", "1")

@@ -31,3 +31,5 @@ Timeout = _kind("Timeout", "Operation timeout")
 LeaderError = _kind("LeaderError", "Leader error")
 UnexpectedResponse = _kind("UnexpectedResponse", "Unexpected response from leader")
 SyncFailed = _kind("SyncFailed", "Sync failed")
+# not a kind of the fixed list: two writers met
+Conflict = _kind("Conflict", "Conflict")

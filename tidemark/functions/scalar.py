@@ -65,3 +65,8 @@ def record_checksum(op: Column, ts: Column, key: Column, value: Column) -> Colum
     k, v = key.cast("binary"), value.cast("binary")
     klen, vlen = F.octet_length(k).cast("long"), F.octet_length(v).cast("long")
     return F.crc32(F.concat(little(klen + vlen + 14, 2), little(op, 1), little(ts, 8), little(klen, 2), k, little(vlen, 4), v))
+
+
+def digest(value: Column, part: int = 0) -> Column:
+    """60 bits of a string's MD5 digest, of the first or second half: a hash that other engines have too."""
+    return F.conv(F.substring(F.md5(value.cast("binary")), 1 + 16 * part, 15), 16, 10).cast("long")

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalar import digest
+
 
 def bits(n: Column, p: float = 0.01) -> Column:
     return F.ceil(-n.cast("double") * math.log(p) / math.log(2.0) ** 2).cast("long")
@@ -28,21 +30,22 @@ def parameters(counts: DataFrame, p: float = 0.01) -> DataFrame:
     return out.withColumn("memory_bytes", F.ceil(F.col("m") / 8).cast("long") + 8).withColumn("fp_rate", false_positive_rate(F.col("n"), F.col("m"), F.col("k")))
 
 
-def positions(key: Column, m: Column, k: Column) -> Column:
-    """k bit positions by double hashing; both hashes are reduced before they are multiplied."""
-    h1, h2 = F.pmod(F.xxhash64(key), m), F.pmod(F.xxhash64(key, F.lit(1)), m)
+def positions(key: Column, m: Column, k: Column, by_digest: bool = False) -> Column:
+    """k bit positions by double hashing; both hashes are reduced before they are multiplied. ``by_digest`` takes hashes that other engines have too."""
+    h1, h2 = (digest(key, 0), digest(key, 1)) if by_digest else (F.xxhash64(key), F.xxhash64(key, F.lit(1)))
+    h1, h2 = F.pmod(h1, m), F.pmod(h2, m)
     return F.transform(F.sequence(F.lit(0).cast("long"), k - 1), lambda i: F.pmod(h1 + i * h2, m))
 
 
-def build(keys: DataFrame, params: DataFrame) -> DataFrame:
+def build(keys: DataFrame, params: DataFrame, by_digest: bool = False) -> DataFrame:
     """The set bits of each run's filter as rows (run_id, pos)."""
-    return keys.join(params.select("run_id", "m", "k"), "run_id").select("run_id", F.explode(positions(F.col("key"), F.col("m"), F.col("k"))).alias("pos")).distinct()
+    return keys.join(params.select("run_id", "m", "k"), "run_id").select("run_id", F.explode(positions(F.col("key"), F.col("m"), F.col("k"), by_digest)).alias("pos")).distinct()
 
 
-def might_contain(probes: DataFrame, params: DataFrame, filters: DataFrame) -> DataFrame:
+def might_contain(probes: DataFrame, params: DataFrame, filters: DataFrame, by_digest: bool = False) -> DataFrame:
     """Adds ``maybe`` to distinct probes (run_id, key): whether all their bits are set."""
     wanted = probes.select("run_id", "key").distinct().join(params.select("run_id", "m", "k"), "run_id")
-    wanted = wanted.select("run_id", "key", F.explode(F.array_distinct(positions(F.col("key"), F.col("m"), F.col("k")))).alias("pos"))
+    wanted = wanted.select("run_id", "key", F.explode(F.array_distinct(positions(F.col("key"), F.col("m"), F.col("k"), by_digest))).alias("pos"))
     hit = wanted.join(filters.withColumn("set", F.lit(1)), ["run_id", "pos"], "left")
     return hit.groupBy("run_id", "key").agg((F.count("set") == F.count("*")).alias("maybe"))
 

@@ -52,9 +52,21 @@ def lower_percentiles(rows: DataFrame, value: str, by: list[str], ps: list[float
     return upto.groupBy(*by).agg(F.sum("_n").alias("n"), *[F.min(F.when(F.col("_upto") >= a, F.col(value))).alias(f"p{round(p * 100)}") for a, p in zip(at, ps)])
 
 
-def sampled_percentile(rows: DataFrame, value: str, p: float, keep: int = 10_000, seed: int = 0) -> DataFrame:
-    """The same over a random sample of ``keep`` values, as a bounded histogram would hold them."""
-    kept = rows.select(value).orderBy(F.rand(seed)).limit(keep)
+def gauges(changes: DataFrame) -> DataFrame:
+    """(name, value, changes) of each gauge after changes (name, seq, verb, amount): set, inc, dec, add or sub; a gauge starts at 0.
+
+    The last set of each gauge is found first, then what follows it is added up: nothing is put in order."""
+    verb, amount = F.col("verb"), F.col("amount")
+    step = F.when(verb == "inc", 1).when(verb == "dec", -1).when(verb == "add", amount).when(verb == "sub", -amount).otherwise(0).cast("long")
+    last = changes.groupBy("name").agg(F.max(F.when(verb == "set", F.struct("seq", "amount"))).alias("last"), F.count("*").alias("changes"))
+    moved = changes.join(last, "name").where(F.col("last").isNull() | (F.col("seq") > F.col("last.seq"))).groupBy("name").agg(F.sum(step).alias("moved"))
+    value = F.coalesce("last.amount", F.lit(0)) + F.coalesce("moved", F.lit(0))
+    return last.join(moved, "name", "left").select("name", value.cast("long").alias("value"), "changes")
+
+
+def sampled_percentile(rows: DataFrame, value: str, p: float, keep: int = 10_000, seed: int = 0, order: Column | None = None) -> DataFrame:
+    """The same over a sample of ``keep`` values, as a bounded histogram would hold them: random, or the first by ``order``."""
+    kept = rows.orderBy(F.rand(seed) if order is None else order).limit(keep).select(value)
     return lower_percentiles(kept.withColumn("_g", F.lit(1)), value, ["_g"], [p]).drop("_g")
 
 
@@ -136,7 +148,7 @@ SUMMARY = [
     ("Bloom Filter", [("Hit Rate", "%.2f%%", ["bloom_hit_rate:pct"]), ("FP Rate", "%.2f%%", ["bloom_fp_rate:pct"]), ("Hits", "%d", ["bloom_hits"]), ("Misses", "%d", ["bloom_misses"]), ("False Pos", "%d", ["bloom_false_positives"])]),
     ("Compaction", [("Input", "%d MB", ["bytes_in:mb"]), ("Output", "%d MB", ["bytes_out:mb"]), ("Space Saved", "%.2f%%", ["space_savings:pct"]), ("Write Amp", "%.2fx", ["write_amplification"])]),
     ("Latency (us)", [(f"{kind} {p}", "%.1f", [f"{kind.lower()}_{p}"]) for kind in ("Write", "Read", "Flush") for p in ("p50", "p99")]),
-    ("System State", [("MemTable", "%d MB (%d entries)", ["memtable_bytes:mb", "memtable_entries"]), ("SSTables", "%d", ["sstable_count"]), ("WAL Size", "%d MB", ["wal_bytes:mb"]), ("Disk Usage", "%d MB", ["disk_bytes:mb"])]),
+    ("System State", [("MemTable", "%d MB (%d entries)", ["memtable_bytes:mb", "memtable_entries"]), ("Immutable", "%d", ["immutable_count"]), ("SSTables", "%d", ["sstable_count"]), ("WAL Size", "%d MB", ["wal_bytes:mb"]), ("Disk Usage", "%d MB", ["disk_bytes:mb"])]),
 ]
 
 

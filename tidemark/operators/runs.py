@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import shared_prefix, varint_bytes
+from .buckets import reset_cut
 
 
 def manifest(rows: DataFrame) -> DataFrame:
@@ -43,6 +44,21 @@ def entries(rows: DataFrame, block_bytes: int = 16_384) -> DataFrame:
     return rows.withColumn("entry_bytes", size)
 
 
+def cut_blocks(rows: DataFrame, block_bytes: int = 16_384) -> DataFrame:
+    """As ``entries``, with blocks cut as a writer does: a block ends with the entry that fills it, and sizes depend on the entry before in it."""
+    prefix = shared_prefix(F.lag("key").over(Window.partitionBy("run_id").orderBy("key", "seq")), F.col("key"))
+
+    def size(shared: Column) -> Column:
+        unshared = F.col("klen") - shared
+        return varint_bytes(shared) + varint_bytes(unshared) + varint_bytes(F.col("vlen")) + unshared + F.col("vlen") + 8
+
+    rows = rows.withColumn("shared", prefix)
+    cut = reset_cut(rows, "run_id", ["key", "seq"], size(F.col("shared")), block_bytes, size(F.lit(0).cast("long"))).withColumnRenamed("bucket", "block")
+    head = F.row_number().over(Window.partitionBy("run_id", "block").orderBy("key", "seq")) == 1
+    cut = cut.withColumn("shared", F.when(head, F.lit(0)).otherwise(F.col("shared")).cast("long"))
+    return cut.withColumn("entry_bytes", size(F.col("shared")))
+
+
 def fences(blocks: DataFrame) -> DataFrame:
     """The index of each run: first key, entries, bytes and offset of each block, and the size of its index entry."""
     per = blocks.groupBy("run_id", "block").agg(F.min("key").alias("first_key"), F.count("*").alias("entries"), F.sum("entry_bytes").alias("bytes"))

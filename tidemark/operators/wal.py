@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from .. import errors
 from ..functions.scalar import record_bytes
-from ..schema import MAX_KEY, MAX_RECORD, RECORD_OVERHEAD
-from .buckets import cumulative
+from ..schema import MAX_KEY, MAX_RECORD, RECORD_HEADER, RECORD_OVERHEAD
+from .buckets import cumulative, reset_cut
 
 
 def segments(log: DataFrame, limit: int) -> DataFrame:
@@ -16,6 +16,11 @@ def segments(log: DataFrame, limit: int) -> DataFrame:
     return cumulative(log, record_bytes(F.col("klen"), F.col("vlen")), limit).withColumn("segment", F.col("bucket") + 1).drop("bucket")
 
 
+def rotated(log: DataFrame, writer: str, limit: int) -> DataFrame:
+    """Adds ``segment`` (from 1) as each writer's log rotates: before a record, once the segment holds ``limit`` bytes."""
+    return reset_cut(log, writer, ["seq"], record_bytes(F.col("klen"), F.col("vlen")), limit).withColumn("segment", F.col("bucket") + 1).drop("bucket")
+
+
 def segment_sizes(log: DataFrame) -> DataFrame:
     return log.groupBy("segment").agg(F.count("*").alias("records"), F.sum(record_bytes(F.col("klen"), F.col("vlen"))).alias("bytes"), F.min("seq").alias("min_seq"), F.max("seq").alias("max_seq"))
 
@@ -50,16 +55,20 @@ def deletable(segments: DataFrame, flushed: Column, replica: Column) -> DataFram
     return segments.where((flushed > 0) & (F.col("segment") < bound))
 
 
-def record_state(klen: Column, vlen: Column, op: Column, intact: Column) -> Column:
-    """ok; stop: replay of the segment ends; fatal: opening the log fails; too_large: refused when written."""
+def record_state(klen: Column, vlen: Column, op: Column, intact: Column, present: Column | None = None) -> Column:
+    """ok; clean_eof: less than a header is there, the segment ends; fatal: part of the body is missing, or the op is unknown, and opening the log fails;
+    stop: replay of the segment ends at a wrong checksum; too_large: refused when written. ``present`` is how many of the record's bytes the segment holds."""
     size = klen + vlen + RECORD_OVERHEAD
-    return F.when((klen > MAX_KEY) | (size > MAX_RECORD), "too_large").when(~intact, "stop").when(~op.isin(1, 2), "fatal").otherwise("ok")
+    state = F.when((klen > MAX_KEY) | (size > MAX_RECORD), "too_large")
+    if present is not None:
+        state = state.when(present < RECORD_HEADER, "clean_eof").when(present < record_bytes(klen, vlen), "fatal")
+    return state.when(~intact, "stop").when(~op.isin(1, 2), "fatal").otherwise("ok")
 
 
 def replay(log: DataFrame, bad: Column) -> DataFrame:
-    """Records before the first bad one of their segment; later segments go on."""
-    first_bad = F.min(F.when(bad, F.col("seq"))).over(Window.partitionBy("segment"))
-    return log.withColumn("_bad", first_bad).where("_bad IS NULL OR seq < _bad").drop("_bad")
+    """Records before the first bad one of their segment; later segments go on. The first bad ones are one row per segment."""
+    firsts = log.where(bad).groupBy("segment").agg(F.min("seq").alias("_bad"))
+    return log.join(firsts, "segment", "left").where("_bad IS NULL OR seq < _bad").drop("_bad")
 
 
 def replica_lag(log: DataFrame, replicas: DataFrame) -> DataFrame:

@@ -6,8 +6,12 @@ from ``events`` as the SQL beside the query says.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +20,7 @@ from ..functions import scalar
 from ..operators import bloom, buckets, compaction, lookup, metrics, resolve, runs, wal
 from ..schema import events_log, load
 from ..sources import wire
+from ..sources.store import Store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -43,9 +48,20 @@ def run_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.select(F.floor(F.col("seq") / RUN).cast("long").alias("run_id"), "key", "value", "ts", "seq", F.octet_length("key").cast("long").alias("klen"), "vlen")
 
 
+_own_folder: list[str] = []
+
+
 def folder(spark: SparkSession) -> str:
+    """A folder that all executors share; a local one only where the master is local and none is set (tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None)
-    return at.rstrip("/") if at else "file://" + tempfile.mkdtemp(prefix="tidemark-")
+    if at:
+        return at.rstrip("/")
+    if spark.sparkContext.master.partition("[")[0] != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    if not _own_folder:
+        _own_folder.append(tempfile.mkdtemp(prefix="tidemark-"))
+        atexit.register(shutil.rmtree, _own_folder[0], ignore_errors=True)
+    return f"file://{_own_folder[0]}"
 
 
 # resolving versions
@@ -165,7 +181,20 @@ def run_layout_cumulative(spark, sf_dir):
     return cut.groupBy("bucket").agg(F.count("*").alias("entries"), F.min("seq").alias("min_seq"), F.max("seq").alias("max_seq"))
 
 
-@query()
+_digest = "('0x' || substr(md5({0}), {1}, 15))::BIGINT"
+#: Buckets that start anew once they are full, one step of the recursion for each: rows of ``r`` (shard, rn, ...), of which {0} is the size in a bucket that starts behind row ``stop``.
+CUTS = """cuts(shard, number, start, stop) AS (
+SELECT shard, 0::BIGINT, 1::BIGINT, min(rn) FILTER (total >= {1}) FROM (SELECT shard, rn, sum({0}) OVER (PARTITION BY shard ORDER BY rn) AS total FROM (SELECT *, 0 AS stop FROM r)) GROUP BY shard
+UNION ALL SELECT shard, number + 1, start, min(rn) FILTER (total >= {1}) FROM (SELECT shard, number, stop + 1 AS start, rn, sum({0}) OVER (PARTITION BY shard ORDER BY rn) AS total FROM (SELECT r.*, number, stop FROM cuts JOIN r USING (shard) WHERE rn > stop)) GROUP BY ALL)"""
+KEYED = f"keyed AS (SELECT *, ({_digest.format('key', 1)} % 8)::BIGINT AS shard, octet_length(encode(key))::BIGINT AS klen FROM log)"
+EXACT_RUNS = f"""WITH RECURSIVE {LOG}, {KEYED}, n AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY seq) AS rn FROM keyed),
+r AS (SELECT *, lag(rn) OVER w AS last_rn, lag(vlen) OVER w AS last_vlen FROM n WINDOW w AS (PARTITION BY shard, key ORDER BY seq)),
+{CUTS.format("CASE WHEN last_rn > stop AND last_vlen > 0 THEN vlen - last_vlen ELSE klen + vlen + 48 END", 4096)}
+SELECT shard, number AS run, count(DISTINCT key) AS entries, sum(CASE WHEN last_rn >= start AND last_vlen > 0 THEN vlen - last_vlen ELSE klen + vlen + 48 END)::BIGINT AS bytes, min(key) AS min_key, max(key) AS max_key, stop IS NOT NULL AS closed
+FROM cuts JOIN r USING (shard) WHERE rn >= start AND (stop IS NULL OR rn <= stop) GROUP BY shard, number, start, stop"""
+
+
+@query(EXACT_RUNS)
 def run_layout_exact(spark, sf_dir):
     return buckets.resetting(events_log(spark, sf_dir).withColumn("klen", F.octet_length("key").cast("long")), 4096)
 
@@ -240,6 +269,19 @@ def entry_bytes(spark, sf_dir):
     return blocks(spark, sf_dir).select("run_id", "seq", "key", "block", "shared", "entry_bytes")
 
 
+_size = lambda shared: f"({_varint.format(shared)} + {_varint.format(f'(klen - {shared})')} + {_varint.format('vlen')} + klen - {shared} + vlen + 8)"
+EXACT_BLOCKS = f"""WITH RECURSIVE {RUN_ROWS}, l AS (SELECT *, lag(key) OVER (PARTITION BY run_id ORDER BY key, seq) AS prev FROM runs),
+r AS (SELECT run_id AS shard, row_number() OVER (PARTITION BY run_id ORDER BY key, seq) AS rn, seq, klen, vlen, ({_shared})::BIGINT AS prefix FROM l),
+{CUTS.format(f"CASE WHEN rn = stop + 1 THEN {_size('0')} ELSE {_size('prefix')} END", 4096)}
+SELECT shard AS run_id, seq, number AS block, CASE WHEN rn = start THEN 0 ELSE prefix END AS shared, (CASE WHEN rn = start THEN {_size('0')} ELSE {_size('prefix')} END)::BIGINT AS entry_bytes
+FROM cuts JOIN r USING (shard) WHERE rn >= start AND (stop IS NULL OR rn <= stop)"""
+
+
+@query(EXACT_BLOCKS)
+def block_cut_exact(spark, sf_dir):
+    return runs.cut_blocks(run_rows(spark, sf_dir), 4096).select("run_id", "seq", "block", "shared", "entry_bytes")
+
+
 @query(f"WITH {BLOCKS} SELECT run_id, sum(klen + vlen + 8)::BIGINT AS raw_bytes, sum(entry_bytes)::BIGINT AS packed_bytes, sum(shared)::BIGINT AS shared_chars FROM blocks GROUP BY run_id")
 def prefix_savings(spark, sf_dir):
     return blocks(spark, sf_dir).groupBy("run_id").agg(F.sum(F.col("klen") + F.col("vlen") + 8).alias("raw_bytes"), F.sum("entry_bytes").alias("packed_bytes"), F.sum("shared").alias("shared_chars"))
@@ -290,11 +332,39 @@ def bloom_no_false_negative(spark, sf_dir):
     return asked.groupBy("run_id").agg(F.count("*").alias("keys"), F.count_if(~F.col("maybe")).alias("false_negatives"))
 
 
-@query()
+# filters by a hash that SQL has too
+FILTERS = f"""{PARAMS}, keys AS (SELECT DISTINCT run_id, key FROM runs), absent AS (SELECT DISTINCT run_id, key || '!' || seq % 5 AS key FROM runs),
+asked AS (SELECT run_id, key, true AS stored FROM keys UNION ALL SELECT run_id, key, false FROM absent),
+spots AS (SELECT DISTINCT run_id, key, stored, unnest(list_transform(range(k), lambda i: ({_digest.format("key", 1)} % m + i * ({_digest.format("key", 17)} % m)) % m)) AS pos FROM asked JOIN params USING (run_id)),
+bits AS (SELECT DISTINCT run_id, pos FROM spots WHERE stored),
+probed AS (SELECT run_id, key, bool_or(stored) AS stored, count(b.pos) = count(*) AS maybe FROM spots LEFT JOIN bits b USING (run_id, pos) GROUP BY run_id, key),
+outcomes AS (SELECT run_id, count(*) FILTER (stored) AS stored, count(*) FILTER (stored AND NOT maybe) AS false_negatives, count(*) FILTER (NOT stored) AS absent, count(*) FILTER (NOT stored AND maybe) AS false_positives FROM probed GROUP BY run_id)"""
+
+
+def filters(spark, sf_dir):
+    rows = run_rows(spark, sf_dir)
+    keys, params = rows.select("run_id", "key").distinct(), bloom.parameters(key_counts(spark, sf_dir))
+    return rows, keys, params, bloom.build(keys, params, by_digest=True)
+
+
+@query(f"WITH {FILTERS} SELECT run_id, n, m, k, ceil(m / 8.0)::BIGINT + 8 AS memory_bytes, set_bits, set_bits / m AS fill_ratio FROM params JOIN (SELECT run_id, count(*) AS set_bits FROM bits GROUP BY run_id) USING (run_id)")
 def bloom_stats(spark, sf_dir):
-    keys = run_rows(spark, sf_dir).select("run_id", "key").distinct()
-    params = bloom.parameters(key_counts(spark, sf_dir))
-    return bloom.stats(params, bloom.build(keys, params))
+    _, _, params, made = filters(spark, sf_dir)
+    return bloom.stats(params, made).drop("fp_rate")
+
+
+def probe_outcomes(spark, sf_dir):
+    """Every stored key and as many absent ones asked of each run's filter."""
+    rows, keys, params, made = filters(spark, sf_dir)
+    absent = rows.select("run_id", F.concat("key", F.lit("!"), (F.col("seq") % 5).cast("string")).alias("key")).distinct()
+    maybe = bloom.might_contain(keys.union(absent), params, made, by_digest=True)
+    stored = ~F.col("key").contains("!")
+    return maybe.groupBy("run_id").agg(F.count_if(stored).alias("stored"), F.count_if(stored & ~F.col("maybe")).alias("false_negatives"), F.count_if(~stored).alias("absent"), F.count_if(~stored & F.col("maybe")).alias("false_positives"))
+
+
+@query(f"WITH {FILTERS} SELECT run_id, stored, false_negatives, absent, false_positives, false_positives / absent AS fp_measured FROM outcomes")
+def bloom_probes(spark, sf_dir):
+    return probe_outcomes(spark, sf_dir).withColumn("fp_measured", F.col("false_positives") / F.col("absent"))
 
 
 # the log
@@ -312,6 +382,13 @@ def segment_assign(spark, sf_dir):
     return segmented(spark, sf_dir).select("seq", "segment")
 
 
+@query(f"""WITH RECURSIVE {LOG}, {KEYED}, r AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY seq) AS rn FROM keyed), {CUTS.format("21 + klen + vlen", 8192)}
+SELECT shard AS writer, seq, number + 1 AS segment FROM cuts JOIN r USING (shard) WHERE rn >= start AND (stop IS NULL OR rn <= stop)""")
+def segment_assign_exact(spark, sf_dir):
+    log = events_log(spark, sf_dir).withColumns({"klen": F.octet_length("key").cast("long"), "writer": F.pmod(scalar.digest(F.col("key")), F.lit(8))})
+    return wal.rotated(log, "writer", 8192).select("writer", "seq", "segment")
+
+
 @query(f"WITH {SEGMENTS} SELECT segment, count(*) AS records, sum(21 + klen + vlen)::BIGINT AS bytes, min(seq) AS min_seq, max(seq) AS max_seq FROM seg GROUP BY segment")
 def segment_sizes(spark, sf_dir):
     return wal.segment_sizes(segmented(spark, sf_dir))
@@ -347,7 +424,24 @@ def record_validity(spark, sf_dir):
     return d.groupBy(state.alias("state")).agg(F.count("*").alias("records"))
 
 
-@query()
+# a segment that ends within a record: how much of it is there decides
+@query(f"""WITH {SEGMENTS}, p AS (SELECT *, seq % 40 AS present FROM seg) SELECT state, count(*) AS records FROM (SELECT CASE WHEN present < 7 THEN 'clean_eof' WHEN present < 21 + klen + vlen AND present < 39 THEN 'fatal' WHEN seq % 97 = 0 THEN 'stop' ELSE 'ok' END AS state FROM p) GROUP BY state""")
+def tail_states(spark, sf_dir):
+    size = scalar.record_bytes(F.col("klen"), F.col("vlen"))
+    present = F.when(F.col("seq") % 40 == 39, size).otherwise(F.col("seq") % 40)
+    state = wal.record_state(F.col("klen"), F.col("vlen"), F.lit(1), F.col("seq") % 97 != 0, present)
+    return segmented(spark, sf_dir).groupBy(state.alias("state")).agg(F.count("*").alias("records"))
+
+
+_little = lambda x, n: f"list_transform(range({n}), lambda i: ({x} >> (8 * i)) & 255)"
+_ascii = lambda x: f"list_transform(range(1, length({x}) + 1), lambda i: ascii(substr({x}, i, 1))::BIGINT)"
+CHECKSUMS = f"""WITH tab AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+e AS (SELECT event_id, concat_ws(':', user_id, event_type) AS k, props AS v, epoch(date_trunc('second', ts))::BIGINT AS secs FROM events),
+b AS (SELECT event_id, list_concat({_little("(length(k) + length(v) + 14)", 2)}, [1], {_little("secs", 8)}, {_little("length(k)", 2)}, {_ascii("k")}, {_little("length(v)", 4)}, {_ascii("v")})::BIGINT[] AS bytes FROM e)
+SELECT event_id, xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS crc FROM b, tab"""
+
+
+@query(CHECKSUMS)
 def record_checksums(spark, sf_dir):
     e = load(spark, sf_dir, "events")
     key = F.concat_ws(":", F.col("user_id").cast("string"), "event_type")
@@ -429,10 +523,116 @@ def savings(spark, sf_dir):
     return metrics.space_rates(made.join(r.agg(F.sum("vlen").alias("writes_bytes")), F.lit(True)))
 
 
-@query(f"WITH {PARAMS}, c AS (SELECT run_id, n AS bloom_hits, n * 3 AS bloom_misses, n // 10 AS bloom_false_positives FROM params) SELECT run_id, bloom_hits / (bloom_hits + bloom_misses) AS bloom_hit_rate, bloom_false_positives / (bloom_hits + bloom_misses) AS bloom_fp_rate FROM c")
+@query(f"WITH {FILTERS}, c AS (SELECT run_id, stored + false_positives AS bloom_hits, absent - false_positives AS bloom_misses, false_positives AS bloom_false_positives FROM outcomes) SELECT run_id, bloom_hits / (bloom_hits + bloom_misses) AS bloom_hit_rate, bloom_false_positives / (bloom_hits + bloom_misses) AS bloom_fp_rate FROM c")
 def bloom_rates(spark, sf_dir):
-    c = key_counts(spark, sf_dir).select("run_id", F.col("n").alias("bloom_hits"), (F.col("n") * 3).alias("bloom_misses"), F.floor(F.col("n") / 10).alias("bloom_false_positives"))
-    return metrics.bloom_rates(c).select("run_id", "bloom_hit_rate", "bloom_fp_rate")
+    return metrics.bloom_rates(bloom_counters(probe_outcomes(spark, sf_dir))).select("run_id", "bloom_hit_rate", "bloom_fp_rate")
+
+
+def bloom_counters(outcomes):
+    """A hit is a key that the filter lets pass, a miss one that it rejects."""
+    hits = F.col("stored") - F.col("false_negatives") + F.col("false_positives")
+    return outcomes.withColumns({"bloom_hits": hits, "bloom_misses": F.col("stored") + F.col("absent") - hits, "bloom_false_positives": F.col("false_positives")})
+
+
+# changes of gauges: each event type is one, set by every fiftieth event
+CHANGES = "changes AS (SELECT event_type AS name, event_id AS seq, CASE WHEN event_id % 50 = 0 THEN 'set' WHEN event_id % 4 = 0 THEN 'inc' WHEN event_id % 4 = 1 THEN 'dec' WHEN event_id % 4 = 2 THEN 'add' ELSE 'sub' END AS verb, event_id % 17 AS amount FROM events)"
+
+
+@query(f"""WITH {CHANGES}, l AS (SELECT *, max(seq) FILTER (verb = 'set') OVER (PARTITION BY name) AS last_set FROM changes)
+SELECT name, sum(CASE WHEN seq < last_set THEN 0 ELSE CASE verb WHEN 'inc' THEN 1 WHEN 'dec' THEN -1 WHEN 'sub' THEN -amount ELSE amount END END)::BIGINT AS value, count(*) AS changes FROM l GROUP BY name""")
+def gauge_values(spark, sf_dir):
+    e = load(spark, sf_dir, "events")
+    i = F.col("event_id")
+    verb = F.when(i % 50 == 0, "set").when(i % 4 == 0, "inc").when(i % 4 == 1, "dec").when(i % 4 == 2, "add").otherwise("sub")
+    return metrics.gauges(e.select(F.col("event_type").alias("name"), i.alias("seq"), verb.alias("verb"), (i % 17).alias("amount")))
+
+
+# a histogram of a thousand values, chosen by a digest in place of a random number
+@query(f"""WITH s AS (SELECT round(value * 100)::BIGINT AS v FROM events ORDER BY {_digest.format("event_id::VARCHAR", 1)}, event_id LIMIT 1000), r AS (SELECT v, row_number() OVER (ORDER BY v) AS rn, count(*) OVER () AS n FROM s)
+SELECT max(n) AS n, max(v) FILTER (rn = floor((n - 1) * 0.99::DOUBLE) + 1) AS p99 FROM r""")
+def histogram_sampled(spark, sf_dir):
+    e = load(spark, sf_dir, "events").select(F.round(F.col("value") * 100).cast("long").alias("v"), F.struct(scalar.digest(F.col("event_id").cast("string")), "event_id").alias("o"))
+    return metrics.sampled_percentile(e, "v", 0.99, keep=1000, order=F.col("o"))
+
+
+# a whole snapshot of an engine that holds the runs
+SNAPSHOT = f"""{FILTERS}, {OPS}, c AS (SELECT {COUNTERS} FROM ops),
+lat AS (SELECT verb, latency_us, row_number() OVER (PARTITION BY verb ORDER BY latency_us) AS rn, count(*) OVER (PARTITION BY verb) AS n FROM ops),
+pct AS (SELECT verb, max(latency_us) FILTER (rn = floor((n - 1) * 0.5::DOUBLE) + 1) AS p50, max(latency_us) FILTER (rn = floor((n - 1) * 0.99::DOUBLE) + 1) AS p99 FROM lat GROUP BY verb),
+kept AS (SELECT klen, vlen FROM runs {NEWEST}), sums AS (SELECT count(DISTINCT run_id) AS run_count, sum(klen + vlen + 8)::BIGINT AS run_bytes, sum(21 + klen + vlen)::BIGINT AS log_bytes FROM runs),
+snap AS (SELECT c.*, run_count AS flushes_total, run_count // 4 AS compactions_total, w.p50 AS write_p50, w.p99 AS write_p99, g.p50 AS read_p50, g.p99 AS read_p99, w.p50 * 2 AS flush_p50, w.p99 * 2 AS flush_p99,
+  (SELECT sum(48 + klen + vlen)::BIGINT FROM kept) AS memtable_bytes, (SELECT count(*) FROM kept) AS memtable_entries, 1 AS immutable_count, run_count AS sstable_count, log_bytes AS wal_bytes, run_bytes + log_bytes AS disk_bytes,
+  run_bytes AS bytes_in, (SELECT sum(klen + vlen + 8)::BIGINT FROM kept) AS bytes_out, o.*, (SELECT max(hour) - min(hour) FROM ops) AS uptime_seconds
+  FROM c, sums, (SELECT * FROM pct WHERE verb = 'PUT') w, (SELECT * FROM pct WHERE verb = 'GET') g,
+  (SELECT sum(stored - false_negatives + false_positives)::BIGINT AS bloom_hits, sum(absent - false_positives + false_negatives)::BIGINT AS bloom_misses, sum(false_positives)::BIGINT AS bloom_false_positives FROM outcomes) o),
+full_snap AS (SELECT *, reads_hits / reads_total AS read_hit_rate, 1 - reads_hits / reads_total AS read_miss_rate, bloom_hits / (bloom_hits + bloom_misses) AS bloom_hit_rate, bloom_false_positives / (bloom_hits + bloom_misses) AS bloom_fp_rate,
+  1 - bytes_out / bytes_in AS space_savings, bytes_out / writes_bytes AS write_amplification FROM snap)"""
+
+
+def snapshot(spark, sf_dir):
+    """One row with every metric."""
+    o, r = ops(spark, sf_dir), run_rows(spark, sf_dir)
+    counters = metrics.operation_counters(o)
+    latency = metrics.lower_percentiles(o, "latency_us", ["verb"], [0.5, 0.99])
+    pick = lambda verb, p: F.max(F.when(F.col("verb") == verb, F.col(p)))
+    latency = latency.agg(*(pick(verb, p).alias(f"{name}_{p}") for verb, name in (("PUT", "write"), ("GET", "read")) for p in ("p50", "p99")))
+    latency = latency.withColumns({"flush_p50": F.col("write_p50") * 2, "flush_p99": F.col("write_p99") * 2})
+    kept = resolve.latest(r).agg(F.sum(scalar.memory_bytes(F.col("klen"), F.col("vlen"))).alias("memtable_bytes"), F.count("*").alias("memtable_entries"), F.sum(F.col("klen") + F.col("vlen") + 8).alias("bytes_out"))
+    sums = r.agg(F.countDistinct("run_id").alias("sstable_count"), F.sum(F.col("klen") + F.col("vlen") + 8).alias("bytes_in"), F.sum(scalar.record_bytes(F.col("klen"), F.col("vlen"))).alias("wal_bytes"))
+    probes = bloom_counters(probe_outcomes(spark, sf_dir)).agg(*(F.sum(c).alias(c) for c in ("bloom_hits", "bloom_misses", "bloom_false_positives")))
+    up = o.agg((F.max("hour") - F.min("hour")).alias("uptime_seconds"))
+    row = reduce(lambda a, b: a.join(b, F.lit(True)), [latency, kept, sums, probes, up], counters)
+    row = row.withColumns({"flushes_total": F.col("sstable_count"), "compactions_total": F.floor(F.col("sstable_count") / 4).cast("long"), "immutable_count": F.lit(1).cast("long"), "disk_bytes": F.col("bytes_in") + F.col("wal_bytes")})
+    return metrics.space_rates(metrics.bloom_rates(metrics.read_rates(row)))
+
+
+#: Where a series has another name than the metric.
+SERIES_OF = {"reads_hits_total": "reads_hits", "reads_misses_total": "reads_misses", "write_latency_p50_us": "write_p50", "write_latency_p99_us": "write_p99", "read_latency_p50_us": "read_p50", "read_latency_p99_us": "read_p99", "memtable_size_bytes": "memtable_bytes", "disk_usage_bytes": "disk_bytes", "wal_size_bytes": "wal_bytes", "bloom_filter_hit_rate": "bloom_hit_rate", "bloom_filter_fp_rate": "bloom_fp_rate", "compaction_space_savings": "space_savings"}
+_rate = lambda name: name.endswith(("rate", "savings", "amplification"))
+
+
+def _told(name: str) -> str:
+    col = SERIES_OF.get(name, name)
+    return f"printf('%.6f', {col}::DOUBLE)" if _rate(name) else f"{col}::VARCHAR"
+
+
+@query(f"WITH {SNAPSHOT} " + " UNION ALL ".join(
+    f"SELECT {3 * i + j}::BIGINT AS line_no, {text} AS line FROM full_snap"
+    for i, (name, kind, told) in enumerate(metrics.SERIES)
+    for j, text in enumerate((f"'# HELP engine_{name} {told}'", f"'# TYPE engine_{name} {kind}'", f"'engine_{name} ' || {_told(name)}"))
+))
+def prometheus_all(spark, sf_dir):
+    """All series of the scrape format."""
+    shown = lambda name: F.format_string("%.6f", F.col(SERIES_OF.get(name, name))) if _rate(name) else F.col(SERIES_OF.get(name, name)).cast("string")
+    pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), shown(n).alias("shown")) for n, _, _ in metrics.SERIES]))
+    return metrics.prometheus(snapshot(spark, sf_dir).select(pairs.alias("p")).select("p.name", "p.shown"))
+
+
+def _summary_sql() -> str:
+    def told(form: str, cols: list[str]) -> str:
+        values = []
+        for c in cols:
+            name, _, how = c.partition(":")
+            values.append(f"{name} // 1048576" if how == "mb" else f"({name} * 100.0)::DOUBLE" if how == "pct" else f"{name}::DOUBLE" if "f" in form else name)
+        return f"printf('{form}', {', '.join(values)})"
+
+    lines = [line for title, rows in metrics.SUMMARY for line in (f"'{title}:'", *(f"'  {label}: ' || {told(form, cols)}" for label, form, cols in rows))]
+    return " UNION ALL ".join(f"SELECT {i}::BIGINT AS line_no, {line} AS line FROM full_snap" for i, line in enumerate(lines))
+
+
+@query(f"WITH {SNAPSHOT} {_summary_sql()}")
+def summary_all(spark, sf_dir):
+    """All sections of the text summary."""
+    return metrics.summary(snapshot(spark, sf_dir).withColumns({c: F.col(c).cast("double") for c in ("write_p50", "write_p99", "read_p50", "read_p99", "flush_p50", "flush_p99")}))
+
+
+WHOLE = ["writes_total", "writes_bytes", "reads_total", "reads_hits", "reads_misses", "flushes_total", "compactions_total", "write_p50", "write_p99", "read_p50", "read_p99", "memtable_bytes", "memtable_entries", "immutable_count", "sstable_count", "wal_bytes", "disk_bytes", "bloom_hits", "bloom_misses", "bloom_false_positives", "bytes_in", "bytes_out"]
+
+
+@query(f"""WITH {SNAPSHOT} SELECT '{{"node_id":"node-1","uptime_seconds":' || uptime_seconds || ',"storage_metrics":{{' || {" || ',' || ".join(f"'{chr(34)}{c}{chr(34)}:' || {c}" for c in WHOLE)} || '}}}}' AS body FROM full_snap""")
+def json_all(spark, sf_dir):
+    """The counters, gauges and percentiles of the JSON body."""
+    return metrics.as_json(snapshot(spark, sf_dir).select(F.lit("node-1").alias("node_id"), "uptime_seconds", *WHOLE))
 
 
 SHOWN = [("writes_total", "Total write operations", "counter", "writes_total"), ("reads_total", "Total read operations", "counter", "reads_total"), ("reads_hits_total", "Total read hits", "counter", "reads_hits"), ("reads_misses_total", "Total read misses", "counter", "reads_misses")]
@@ -522,6 +722,15 @@ def stream_lww_state(spark, sf_dir):
     return ingest.latest_by_state(ingest.event_stream(spark, sf_dir), folder(spark)).select("key", "value", "ts", "seq")
 
 
+@query(f"WITH {LOG}, w AS (SELECT ts - ts % 21600 AS window_start, count(*) AS n, sum(value) AS total FROM log GROUP BY 1) SELECT window_start, n, round(total, 4) AS total FROM w WHERE window_start + 21600 <= (SELECT max(ts) FROM log) - 3600")
+def stream_windows(spark, sf_dir):
+    """Windows that the watermark, an hour behind the last event, has passed."""
+    from ..streaming import ingest
+
+    out = ingest.windowed_counts(ingest.event_stream(spark, sf_dir), "1 hour", "6 hours", folder(spark))
+    return out.withColumn("total", F.round("total", 4))
+
+
 @query(ORACLES["lww_latest"])
 def stream_flush(spark, sf_dir):
     from ..streaming import ingest
@@ -529,6 +738,59 @@ def stream_flush(spark, sf_dir):
     return resolve.latest(ingest.flush_stream(ingest.event_stream(spark, sf_dir), folder(spark))).select("key", "value", "ts", "seq")
 
 
+# the durable store: the events go in by quarters, which become segments and, when flushed, runs
+
+QUARTERS = f"{LOG}, q AS (SELECT key, seq::VARCHAR AS value, seq, (seq * 4 // (SELECT max(seq) + 1 FROM log))::BIGINT AS quarter, octet_length(encode(key))::BIGINT AS klen, octet_length(encode(seq::VARCHAR))::BIGINT AS vlen FROM log)"
+LAST = "QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1"
+
+
+def filled_store(spark, sf_dir, flushed: int) -> Store:
+    """A store of the events in four segments, of which the first ones are flushed."""
+    store = Store(spark, f"{folder(spark)}/store-{uuid.uuid4().hex}", clock=lambda: 1000.0, compaction_on=False)
+    log = events_log(spark, sf_dir).select("key", F.col("seq").cast("string").alias("value"), "seq")
+    top = log.agg(F.max("seq")).first()[0]
+    for quarter in range(4):
+        store.put_all(log.where(F.floor(F.col("seq") * 4 / (top + 1)) == quarter), "seq")
+        if quarter < flushed:
+            store.flush()
+    return store
+
+
+@query(f"WITH {QUARTERS} SELECT key, value FROM (SELECT * FROM q {LAST}) WHERE key >= '1' AND key < '4'")
+def store_scan(spark, sf_dir):
+    """Memory over runs."""
+    return filled_store(spark, sf_dir, 3).scan("1", "4").select("key", "value")
+
+
+@query(f"WITH {QUARTERS}, {WANTED}, got AS (SELECT * FROM q {LAST}) SELECT w.key, value, value IS NOT NULL AS found FROM wanted w LEFT JOIN got USING (key)")
+def store_compact_reopen(spark, sf_dir):
+    """Reads from a store opened anew after a compaction."""
+    store = filled_store(spark, sf_dir, 4)
+    store.compact(least=2)
+    again = Store(spark, store.path, clock=store.clock)
+    keys = load(spark, sf_dir, "customer").select(F.concat_ws(":", F.col("c_custkey").cast("string"), F.lit("view")).alias("key"))
+    return again.multi_get(keys).select("key", "value", "found")
+
+
+@query(f"""WITH {QUARTERS}, runs AS (SELECT quarter, count(DISTINCT key) AS n FROM q WHERE quarter < 2 GROUP BY quarter), mem AS (SELECT * FROM q WHERE quarter >= 2 {LAST})
+SELECT (SELECT count(*) FROM mem) AS memtable_entries, (SELECT sum(48 + klen + vlen)::BIGINT FROM mem) AS memtable_bytes, (SELECT count(*) FROM runs) AS sstable_count, (SELECT sum(n)::BIGINT FROM runs) AS sstable_entries, (SELECT sum(21 + klen + vlen)::BIGINT FROM q) AS wal_bytes""")
+def store_stats(spark, sf_dir):
+    """E10, E15, W2, W8."""
+    return filled_store(spark, sf_dir, 2).stats().select("memtable_entries", "memtable_bytes", "sstable_count", "sstable_entries", "wal_bytes")
+
+
+@query(f"WITH {QUARTERS} SELECT quarter + 1 AS segment, count(*) AS records, min(seq) AS first_value, max(seq) AS last_value FROM q WHERE quarter >= 1 GROUP BY quarter")
+def store_cleanup(spark, sf_dir):
+    """The segments that stay, read one by one, when two are flushed and a replica needs the second."""
+    store = filled_store(spark, sf_dir, 2)
+    store.cleanup(replica_segment=2)
+    log = Store(spark, store.path, clock=store.clock).log()
+    kept = [n for n in range(1, 5) if n == wal.current_segment(log) or wal.is_available(log, n)]
+    number = F.col("value").cast("long")
+    parts = [wal.read_segment(log, n).groupBy("segment").agg(F.count("*").alias("records"), F.min(number).alias("first_value"), F.max(number).alias("last_value")) for n in kept]
+    return reduce(DataFrame.union, parts)
+
+
 # extensions
 
 

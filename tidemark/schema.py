@@ -8,16 +8,16 @@ from pyspark.sql import types as T
 
 #: One row per operation; seq orders versions that share a second.
 OPLOG = "seq long, segment long, op string, key string, value string, ts long"
-RUNS = "run_id long, key string, value string, ts long, seq long"
 MANIFEST = "run_id long, path string, bytes long, entries long, min_key string, max_key string, min_ts long, max_ts long, max_seq long"
 
 #: Limits of one record.
 MAX_KEY, MAX_RECORD = 65_535, 65_535
 RECORD_OVERHEAD = 8 + 2 + 4  # time, key length, value length
+RECORD_HEADER = 4 + 2 + 1  # checksum, length, op
 
 
 def schema(text: str) -> T.StructType:
-    return T._parse_datatype_string(text)
+    return T.StructType.fromDDL(text)
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,8 +1,12 @@
 """A durable store on shared files: a segmented log, sorted runs, and a manifest that is swapped whole.
 
-Everything is Parquet under one folder, so any Spark job can read it. A manifest is a folder with a higher number than
-the one before; readers take the highest that its writer finished, so a lost job leaves no half-made state. Versions
-are ordered by sequence number, which the store hands out, not by the place of a run in the list.
+Everything is Parquet under one folder, so any Spark job can read it. A manifest is a folder named by a number higher than
+the one before and by the last sequence number that runs hold; readers take the highest that its writer finished, so a lost job leaves no
+half-made state. A writer claims the next number with a file that must not exist, so of two writers one fails with ``Conflict``
+and neither overwrites the other. The log has a folder per segment; cleaning up deletes whole segments, one by one.
+
+Versions are ordered by sequence number, which the store hands out. In memory the last put of a key counts, whatever the
+clock said, as it does in the run that a flush makes of it; among sources a scan and a compaction take the greatest time.
 """
 
 from __future__ import annotations
@@ -10,6 +14,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,8 +38,7 @@ class Store:
         self.counts = dict.fromkeys(("writes_total", "writes_bytes", "reads_total", "reads_hits", "reads_misses", "flushes_total", "compactions_total", "bytes_in", "bytes_out"), 0)
         self.latency = {k: metrics.Histogram() for k in ("write", "read", "flush")}
         last = self.log().agg(F.max("seq"), F.max("segment")).first()
-        flushed = self.manifest().agg(F.max("max_seq")).first()[0]
-        self.next_seq = max(last[0] or 0, flushed or 0) + 1
+        self.next_seq = max(last[0] or 0, self._flushed()) + 1
         # a reopened log goes on in a segment of its own
         self.segment, self.segment_used = (last[1] or 0) + 1, 0
         self.unflushed = self._pending_bytes()
@@ -54,22 +58,40 @@ class Store:
         versions = self._manifests()
         return self.spark.read.schema(MANIFEST).parquet(f"{self.path}/manifest/{versions[-1]}") if versions else self.spark.createDataFrame([], MANIFEST)
 
-    def _commit(self, rows: DataFrame) -> None:
-        versions = self._names("manifest")
-        rows.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest/{int(versions[-1]) + 1 if versions else 1:012d}")
+    def _version(self) -> int:
+        """The highest number of a manifest, finished or claimed."""
+        return max([int(n.partition("-")[0]) for n in self._names("manifest")], default=0)
+
+    def _commit(self, after: int, rows: DataFrame, flushed: int) -> None:
+        """Write the manifest that follows number ``after``; Conflict if another writer has claimed it."""
+        number = f"{after + 1:012d}"
+        try:
+            if self._version() > after:
+                raise errors.Conflict(f"manifest {number} is taken")
+            self.fs.create(self._at("manifest", f"{number}-claim"), False).close()
+        except Py4JJavaError as e:
+            raise errors.Conflict(f"manifest {number} is taken") from e
+        rows.coalesce(1).write.parquet(f"{self.path}/manifest/{number}-{flushed}")
 
     def log(self) -> DataFrame:
-        if not self._names("log"):
+        """What is committed to the log."""
+        if not any(n.startswith("segment=") for n in self._names("log")):
             return self.spark.createDataFrame([], OPLOG)
-        return self.spark.read.schema(OPLOG).parquet(f"{self.path}/log")
+        return self.spark.read.schema(OPLOG).parquet(f"{self.path}/log").select("seq", "segment", "op", "key", "value", "ts")
 
     def _flushed(self) -> int:
-        return self.manifest().agg(F.max("max_seq")).first()[0] or 0
+        """The last sequence number that runs hold."""
+        versions = self._manifests()
+        return int(versions[-1].partition("-")[2]) if versions else 0
+
+    def operations(self) -> DataFrame:
+        """Operations that no run holds yet, committed or buffered."""
+        rows = self.log().where(F.col("seq") > self._flushed())
+        return (rows.union(self.spark.createDataFrame(self.buffer, OPLOG)) if self.buffer else rows).drop("segment")
 
     def memtable(self) -> DataFrame:
-        """Operations that no run holds yet."""
-        self.sync()
-        return self.log().where(F.col("seq") > self._flushed()).select("seq", "op", "key", "value", "ts")
+        """The last of those operations for each key."""
+        return resolve.latest(self.operations(), "log")
 
     def runs(self, where=None) -> DataFrame:
         """Rows of all runs, or of those whose manifest rows satisfy a condition."""
@@ -79,8 +101,7 @@ class Store:
         return self.spark.read.schema(fields).parquet(*paths) if paths else self.spark.createDataFrame([], fields)
 
     def _pending_bytes(self) -> int:
-        rows = self.memtable()
-        return resolve.latest(rows).agg(F.sum(memory_bytes(F.octet_length("key"), F.octet_length("value")))).first()[0] or 0
+        return self.memtable().agg(F.sum(memory_bytes(F.octet_length("key"), F.octet_length("value")))).first()[0] or 0
 
     # writing
 
@@ -119,7 +140,7 @@ class Store:
         # numbers grow along the sorted partitions without being consecutive, so no task has to see all rows
         numbered = rows.orderBy(order).select((F.monotonically_increasing_id() + self.next_seq).alias("seq"), "key", "value")
         out = numbered.select("seq", F.lit(self.segment).cast("long").alias("segment"), F.lit("put").alias("op"), "key", "value", F.lit(int(self.clock())).cast("long").alias("ts"))
-        out.write.mode("append").parquet(f"{self.path}/log")
+        out.write.mode("append").partitionBy("segment").parquet(f"{self.path}/log")
         self.next_seq = self.log().agg(F.max("seq")).first()[0] + 1
         self.segment, self.segment_used = self.segment + 1, 0
         self.unflushed = self._pending_bytes()
@@ -128,7 +149,7 @@ class Store:
         """Commit the buffered operations to the log."""
         if self.buffer:
             rows, self.buffer = self.buffer, []
-            self.spark.createDataFrame(rows, OPLOG).coalesce(1).write.mode("append").parquet(f"{self.path}/log")
+            self.spark.createDataFrame(rows, OPLOG).coalesce(1).write.mode("append").partitionBy("segment").parquet(f"{self.path}/log")
 
     def _write_run(self, rows: DataFrame, run_id: int) -> DataFrame:
         """Write a run and return its manifest row."""
@@ -145,13 +166,16 @@ class Store:
 
     def flush(self) -> bool:
         """Turn the unflushed operations into a run; False if there are none."""
-        rows = resolve.latest(self.memtable())
+        self.sync()
+        after, operations = self._version(), self.operations()
+        last = operations.agg(F.max("seq")).first()[0]
         self.unflushed = 0
-        if rows.isEmpty():
+        if last is None:
             return False
         start = time.perf_counter()
-        added = self._write_run(rows, self._next_run())
-        self._commit(self.manifest().unionByName(added))
+        listed = self.manifest()
+        added = self._write_run(resolve.latest(operations.where(F.col("seq") <= last), "log"), self._next_run())
+        self._commit(after, listed.unionByName(added), last)
         self.counts["flushes_total"] += 1
         self.latency["flush"].observe((time.perf_counter() - start) * 1e6)
         return True
@@ -165,7 +189,7 @@ class Store:
 
     def compact(self, least: int | None = None) -> DataFrame | None:
         """Merge the largest group of runs of similar size; returns its statistics, None if there is no such group."""
-        listed = self.manifest()
+        after, flushed, listed = self._version(), self._flushed(), self.manifest()
         pick = compaction.tier_pick(listed.select(F.lit(0).alias("grp"), "run_id", "bytes"), least or self.least_runs).first()
         if pick is None:
             return None
@@ -177,9 +201,9 @@ class Store:
         kept = kept.where("op <> 'delete'") if whole else kept
         stats = self.spark.createDataFrame([compaction.merge_stats(rows.withColumn("run_id", F.lit(0)), F.octet_length("key") + F.octet_length("value") + 8).withColumn("inputs", F.lit(len(pick.members))).first().asDict()])
         if kept.isEmpty():
-            self._commit(listed.where(~chosen))
+            self._commit(after, listed.where(~chosen), flushed)
         else:
-            self._commit(listed.where(~chosen).unionByName(self._write_run(kept, self._next_run())))
+            self._commit(after, listed.where(~chosen).unionByName(self._write_run(kept, self._next_run())), flushed)
         done = stats.first()
         self.counts["compactions_total"] += 1
         self.counts["bytes_in"] += done.bytes_in
@@ -194,28 +218,30 @@ class Store:
         gone = sizes.where((F.col("max_seq") <= flushed) & (F.col("segment") < self.segment))
         gone = gone.where(F.col("segment") < replica_segment) if replica_segment > 0 else gone
         numbers = sorted(r.segment for r in gone.select("segment").collect())
-        if numbers:
-            left = log.where(~F.col("segment").isin(numbers))
-            left.write.parquet(f"{self.path}/log-new")
-            self.fs.rename(self._at("log"), self._at("log-old"))
-            self.fs.rename(self._at("log-new"), self._at("log"))
-            self.fs.delete(self._at("log-old"), True)
+        for n in numbers:
+            self.fs.delete(self._at("log", f"segment={n}"), True)
         return numbers
 
     # reading
 
     def versions(self, where=None) -> DataFrame:
-        """All versions of all keys, from memory and from the runs that satisfy a condition on the manifest."""
+        """The versions of all keys, one from memory and one from each run that satisfies a condition on the manifest."""
         return self.memtable().unionByName(self.runs(where))
 
     def get(self, key: str) -> str | None:
         start = time.perf_counter()
-        holds = (F.col("min_key") <= key) & (F.col("max_key") >= key)
-        row = resolve.live(self.versions(holds).where(F.col("key") == key), "log").first()
+        # the buffer's operations are later than all others
+        found = next(((op, value) for _, _, op, k, value, _ in reversed(self.buffer) if k == key), None)
+        if found is None:
+            holds = (F.col("min_key") <= key) & (F.col("max_key") >= key)
+            rows = self.log().where((F.col("seq") > self._flushed()) & (F.col("key") == key)).drop("segment")
+            row = resolve.latest(rows.unionByName(self.runs(holds).where(F.col("key") == key)), "log").first()
+            found = row and (row.op, row.value)
+        value = None if found is None or found[0] == "delete" else found[1]
         self.counts["reads_total"] += 1
-        self.counts["reads_misses" if row is None else "reads_hits"] += 1
+        self.counts["reads_misses" if value is None else "reads_hits"] += 1
         self.latency["read"].observe((time.perf_counter() - start) * 1e6)
-        return None if row is None else row.value
+        return value
 
     def multi_get(self, keys: DataFrame) -> DataFrame:
         return lookup.multi_get(resolve.live(self.versions(), "log"), keys, "log")
@@ -228,7 +254,7 @@ class Store:
 
     def stats(self) -> DataFrame:
         """One row: entries and bytes in memory, runs, entries in runs, bytes of runs and log."""
-        memory = resolve.latest(self.memtable()).agg(F.count("*").alias("memtable_entries"), F.coalesce(F.sum(memory_bytes(F.octet_length("key"), F.octet_length("value"))), F.lit(0)).alias("memtable_bytes"))
+        memory = self.memtable().agg(F.count("*").alias("memtable_entries"), F.coalesce(F.sum(memory_bytes(F.octet_length("key"), F.octet_length("value"))), F.lit(0)).alias("memtable_bytes"), F.lit(0).cast("long").alias("immutable_count"))
         runs = self.manifest().agg(F.count("*").alias("sstable_count"), F.coalesce(F.sum("entries"), F.lit(0)).alias("sstable_entries"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("sstable_bytes"))
         log = self.log().agg(F.coalesce(F.sum(record_bytes(F.octet_length("key"), F.octet_length("value"))), F.lit(0)).alias("wal_bytes"))
         return memory.join(runs, F.lit(True)).join(log, F.lit(True)).withColumn("disk_bytes", F.col("sstable_bytes") + F.col("wal_bytes"))
