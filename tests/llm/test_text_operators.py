@@ -66,6 +66,12 @@ def test_failing_lines():
         assert not fails(s), s
 
 
+def test_sentence_ends_of_other_scripts():
+    for line in ("\u201cYes, of course.\u201d", "\u4f60\u597d\u3002", "Oui \u00bb", "Well\u2026 \t"):
+        assert not lines.line_fails(line, len(line.split()), lines.Rules())
+    assert lines.line_fails("Home page", 2, lines.Rules())
+
+
 def test_documents_that_lose_too_much_go(spark):
     good = "\n".join(" ".join(f"w{i}x{j}" for j in range(9)) + "." for i in range(12))
     nav = "\n".join("Home | News | Sport %d | Help" % i for i in range(60))

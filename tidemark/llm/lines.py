@@ -49,7 +49,8 @@ BOILERPLATE = (
 )
 SYMBOLS = "#*$%&|<>"
 SPACES = "\x20\t\n\x0b\x0c\r"
-SENTENCE_END = ".!?:;\"')"
+# What ends a sentence, in Latin and in East Asian punctuation.
+SENTENCE_END = ".!?:;\"')" + "\u2019\u201d\u00bb\u2026\u3002\uff01\uff1f\uff1a\uff1b\u300d\u300f\uff09"
 
 
 @dataclass(frozen=True)
