@@ -117,3 +117,76 @@ def test_sketches_estimate_high_similarities():
         x, y = (np.frombuffer(minhash.sketch(minhash.samples(s)), np.uint64) for s in (a, b))
         z, k, n = int(np.bitwise_count(x ^ y).sum()), how.rows * how.bands, how.sketch_bits
         assert abs(1 + n / (4 * k) * np.log(1 - 2 * z / n) - want) < 0.1
+
+
+def boilerplate(n=240, seed=3):
+    """Documents of a passage that all share and words of their own (similarity about 0.4), some of them near copies."""
+    rnd = random.Random(seed)
+    shared = [f"s{i}" for i in range(60)]
+    rows = []
+    for i in range(n):
+        if i % 8 == 7:
+            w = rows[rnd.randrange(len(rows))][1].split(" ")
+            w[rnd.randrange(len(w))] = f"x{i}"
+        else:
+            w = shared + [f"o{i}_{j}" for j in range(45)]
+        rows.append((i, " ".join(w)))
+    return rows
+
+
+@pytest.mark.parametrize("block_docs", [8, 2048])
+def test_shared_passages_do_not_join_clusters(spark, block_docs):
+    rows = boilerplate()
+    how = Near(words=2, block_docs=block_docs)
+    expected = brute(rows)
+    assert run(docs(spark, rows), how) == expected
+    reps = neardup.features(docs(spark, rows).select("doc_id", "text"), how).withColumnRenamed("doc_id", "id")
+    found = neardup.proposals(reps, how)
+    clusters = neardup.components(found, "test").groupBy("label").count().collect()
+    # without the sketches the buckets join nearly all documents into one cluster
+    buckets, whole = {}, {}
+    for r in reps.select("id", "keys").collect():
+        mine = {r["id"]}
+        for k in r["keys"]:
+            mine |= whole.get(buckets.setdefault(k, r["id"]), set())
+        for i in mine:
+            whole[i] = mine
+    assert max(map(len, whole.values())) > len(rows) / 2
+    sizes = {}
+    for _, root, _ in expected.values():
+        sizes[root] = sizes.get(root, 0) + 1
+    assert max(r["count"] for r in clusters) <= max(sizes.values())
+
+
+def test_all_documents_of_a_small_table_against_exact_links(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    assert run(df) == brute_by_sizes([(r.doc_id, r.text) for r in df.collect()])
+
+
+def brute_by_sizes(rows, pct=80):
+    """``brute`` over more rows: counts common shingles by an inverted index over whole sets."""
+    sets = {i: v for i, v in ((i, shingle_set(t)) for i, t in rows)}
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    where = {}
+    for i in sorted(sets):
+        common = {}
+        for s in sets[i]:
+            for j in where.setdefault(s, []):
+                common[j] = common.get(j, 0) + 1
+            where[s].append(i)
+        for j, n in common.items():
+            if 100 * n >= pct * (len(sets[i]) + len(sets[j]) - n):
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    return {i: (len(sets[i]), find(i), find(i) == i) for i in sets}
+
+
+def shingle_set(t, n=2):
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    return {tuple(w[j : j + n]) for j in range(max(1, len(w) - n + 1))} if w else set()

@@ -3,16 +3,19 @@
 A document's set holds its distinct shingles of ``words`` words as 64-bit hashes (a shorter text is one shingle as a
 whole, a text without words has no set). Documents with equal sets form a class, and only one member of each, the
 smallest id, is compared. ``bands`` x ``rows`` MinHash samples give the keys of buckets; documents that meet in a
-bucket may be linked. The transitive closure of that relation parts the representatives into clusters, and no
-link leaves a cluster. Inside a cluster pairs are compared in blocks of bounded size: the samples of each
-document are folded into an odd sketch, a parity bitmap in which each sample flips one bit, and the population
-count of two sketches' XOR estimates the similarity. Pairs whose estimate lies more than ``margin`` below the
-threshold are passed over; of the rest each is confirmed on the full sets, unless both ends are joined already.
+bucket may be linked. The samples of each document are folded into an odd sketch, a parity bitmap in which each
+sample flips one bit, and the population count of two sketches' XOR estimates the similarity; a pair is near if the
+estimate lies at most ``margin`` below the threshold. In each bucket the sketches tell which members are near its
+smallest, the hub; the others, far ones, are compared with all members. The transitive closure of what is near and
+meets parts the representatives into clusters, and no link leaves a cluster, so a passage that many documents share
+makes large buckets, but joins no documents that are not alike. Inside a cluster pairs are compared in blocks of
+bounded size: each near pair is confirmed on the full sets, unless both ends are joined already.
 
 Large groups. A block holds at most ``block_docs`` documents and ``block_bytes`` of sets. The smallest document of a
 cluster goes to each of its blocks, so near copies are joined by one comparison each. What is not joined to
 it is compared with all other blocks of its cluster. Tasks return spanning links, never all pairs, and no group
-is collected whole. Buckets, clusters and candidates have no caps.
+is collected whole. A bucket of more than ``block_docs`` documents with far members is compared by pairs of blocks of
+sketches, and its near members with the far ones only. Buckets, clusters and candidates have no caps.
 
 At similarity 0.8 a pair shares no bucket with probability (1 - 0.8^6)^40 = 5e-6; at 0.85 with 6e-9. The margin of 0.2
 is over eight standard deviations of the estimate.
@@ -120,19 +123,21 @@ def most_bits(how: Near) -> float:
 
 
 def features(docs: DataFrame, how: Near) -> DataFrame:
-    """doc_id, n_shingles, set_key (null without shingles) and the bucket keys of each row of (doc_id, text)."""
-    schema = T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL("n_shingles long, set_key binary, keys array<long>").fields])
+    """doc_id, n_shingles, set_key (null without shingles), the bucket keys and the sketch of each row of (doc_id, text)."""
+    schema = T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL("n_shingles long, set_key binary, keys array<long>, sketch binary").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, minhash = WordHashes(), MinHash(how)
         for b in slices(batches):
-            n, key, bands = [], [], []
+            n, key, bands, sketches = [], [], [], []
             for text in values(b.column(1)):
                 s = shingles(text, hashes, how.words)
+                samples = minhash.samples(s) if len(s) else None
                 n.append(len(s))
                 key.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                bands.append(minhash.keys(minhash.samples(s)) if len(s) else None)
-            cols = [pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
+                bands.append(minhash.keys(samples) if len(s) else None)
+                sketches.append(minhash.sketch(samples) if len(s) else None)
+            cols = [pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
             yield pa.RecordBatch.from_arrays([b.column(0), *cols], schema.names)
 
     return docs.mapInArrow(run, schema)
@@ -194,18 +199,37 @@ def joined(label: np.ndarray, block: np.ndarray | None, sets: list[np.ndarray],
     return links
 
 
-def _clusters(t: pa.Table) -> Iterator[tuple[np.ndarray, pa.Table]]:
+def met(far: np.ndarray, block: np.ndarray, sketches: np.ndarray, most: float) -> list[tuple[int, int]]:
+    """Near pairs that join rows of a bucket to its far rows; those that are not far count as joined.
+
+    Of rows in two blocks only pairs of different blocks are compared."""
+    label, links = np.where(far, np.arange(1, len(far) + 1), 0), []
+    crossed = block.min() != block.max()
+    for i in np.flatnonzero(far).tolist():
+        rest = np.flatnonzero((label != label[i]) & (block != block[i]) if crossed else label != label[i])
+        rest = rest[np.bitwise_count(sketches[rest] ^ sketches[i]).sum(axis=1, dtype=np.int64) <= most]
+        for j in rest.tolist():
+            if label[i] != label[j]:
+                links.append((i, j))
+                label[label == label[j]] = label[i]
+    return links
+
+
+def _clusters(t: pa.Table, by: str = "cluster") -> Iterator[tuple[np.ndarray, pa.Table]]:
     """Each cluster of a table, in order of id."""
-    t = t.sort_by([("cluster", "ascending"), ("id", "ascending")])
-    ends = np.flatnonzero(np.diff(t["cluster"].to_numpy())) + 1
+    t = t.sort_by([(by, "ascending"), ("id", "ascending")])
+    ends = np.flatnonzero(np.diff(t[by].to_numpy())) + 1
     for s, e in zip([0, *ends.tolist()], [*ends.tolist(), len(t)]):
         part = t.slice(s, e - s)
         yield part["id"].to_numpy(), part
 
 
+def _words(column: pa.Array | pa.ChunkedArray) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), np.uint64) for x in column]
+
+
 def _arrays(part: pa.Table) -> tuple[list[np.ndarray], np.ndarray]:
-    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in part["set"]]
-    return sets, np.stack([np.frombuffer(x.as_buffer(), np.uint64) for x in part["sketch"]])
+    return _words(part["set"]), np.stack(_words(part["sketch"]))
 
 
 def _limited(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
@@ -213,15 +237,68 @@ def _limited(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
+def proposals(reps: DataFrame, how: Near) -> DataFrame:
+    """Pairs (a, b) that join whatever meets in a bucket and is near by the sketches; reps holds id, keys and sketch.
+
+    The hub's sketch is compared with each member's. What is far from its hub is compared with the bucket's other members."""
+    buckets = stored(reps.select("id", F.explode("keys").alias("key")), "near-buckets")
+    shared = buckets.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("top"), F.count("*").alias("n")).where("hub < top")
+    meeting = stored(buckets.join(shared.select("key", "hub", "n"), "key"), "near-meeting")
+    removed(reps.sparkSession, buckets)
+    most = most_bits(how)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            if len(b):
+                bits = np.bitwise_count(np.stack(_words(b.column(2))) ^ np.stack(_words(b.column(3)))).sum(axis=1, dtype=np.int64)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(bits > most)], ["id", "hub", "far"])
+
+    sketches = reps.select("id", "sketch")
+    hubs = sketches.select(F.col("id").alias("hub"), F.col("sketch").alias("of_hub"))
+    pairs = stored(meeting.where("id <> hub").select("id", "hub").distinct(), "near-pairs")
+    tested = pairs.join(sketches, "id").join(hubs, "hub").select("id", "hub", "sketch", "of_hub").mapInArrow(compare, "id long, hub long, far boolean")
+    # rows that share an id are one document, far only if each text is
+    tested = stored(tested.groupBy("id", "hub").agg(F.min("far").alias("far")), "near-tested")
+    near = tested.where("NOT far").select(F.col("id").alias("a"), F.col("hub").alias("b"))
+
+    # a bucket of two is settled, and so is one whose members are all near the hub
+    marked = meeting.where("n > 2").join(tested, ["id", "hub"], "left").select("key", "id", "n", F.coalesce("far", F.lit(False)).alias("far"))
+    marked = stored(marked, "near-marked")
+    removed(reps.sparkSession, pairs, meeting)
+    loose = stored(marked.groupBy("key").agg(F.bool_or("far").alias("any")).where("any").select("key"), "near-loose-keys")
+    if loose.isEmpty():
+        return near
+    # small buckets share groups of about a block; of a large one all pairs of blocks meet
+    marked = marked.join(loose, "key").withColumn("m", F.ceil(F.col("n") / how.block_docs).cast("long"))
+    total = marked.where("m = 1").count()
+    own = F.pmod(F.xxhash64("id"), F.col("m"))
+    every = F.sequence(F.lit(0).cast("long"), F.col("m") - 1)
+    met_at = F.transform(every, lambda x: F.struct(F.least(x, F.col("block")).alias("i"), F.greatest(x, F.col("block")).alias("j")))
+    marked = marked.withColumn("block", own).withColumn("at", F.explode(met_at))
+    group = F.when(F.col("m") == 1, F.pmod(F.xxhash64("key"), F.lit(max(1, total // how.block_docs)))).otherwise(F.col("key"))
+    placed = marked.withColumn("own", F.col("m") > 1).withColumn("group", group).select("own", "group", "key", "id", "far", "block", "at.i", "at.j")
+
+    def meet(t: pa.Table) -> pa.Table:
+        a, b = [], []
+        for ids, part in _clusters(t, "key"):
+            far = part["far"].to_numpy()
+            if far.any():
+                for i, j in met(far, part["block"].to_numpy(), np.stack(_words(part["sketch"])), most):
+                    a.append(ids[i])
+                    b.append(ids[j])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    found = placed.join(sketches, "id").groupBy("own", "group", "i", "j").applyInArrow(meet, "a long, b long")
+    return near.union(stored(found, "near-met"))
+
+
 def near_links(docs: DataFrame, how: Near = Near()) -> tuple[DataFrame, DataFrame]:
     """(features, links): of rows (doc_id, text), with a long id, the stored features and links that join what is similar."""
     ship(docs.sparkSession)
     feats = stored(features(docs, how), "near-features")
     known = feats.where("set_key IS NOT NULL AND doc_id IS NOT NULL")
-    reps = stored(known.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.min_by("keys", "doc_id").alias("keys"), F.count("*").alias("n")), "near-classes")
-    buckets = stored(reps.select("id", F.explode("keys").alias("key")), "near-buckets")
-    shared = buckets.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("top")).where("hub < top").select("key", "hub")
-    maybe = buckets.join(shared, "key").where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b"))
+    reps = stored(known.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.min_by(F.struct("keys", "sketch"), "doc_id").alias("f"), F.count("*").alias("n")).select("set_key", "id", "f.*", "n"), "near-classes")
+    maybe = proposals(reps, how)
     members = stored(components(maybe, "near-maybe").withColumnRenamed("label", "cluster"), "near-members")
 
     schema = T.StructType.fromDDL("cluster long, id long, set binary, sketch binary")
