@@ -247,6 +247,28 @@ def test_labels_of_the_left_out_fold_are_not_learned(spark):
     assert model.languages == ["seen"]
 
 
+def test_ngrams_of_texts_longer_than_a_block(monkeypatch):
+    rnd = random.Random(8)
+    text = "".join(rnd.choice("abc éß, \n京😀") for _ in range(1000))
+    sizes = (1 << 10, 1 << 12, 1 << 14, 1 << 15)
+    whole = langid.ngrams(text, sizes)
+    for block in (1, 2, 7, 100, 999, 1000):
+        monkeypatch.setattr(langid, "BLOCK", block)
+        assert all(np.array_equal(a, b) for a, b in zip(whole, langid.ngrams(text, sizes)))
+    # only the last block holds a letter
+    assert langid.ngrams("1" * 999 + "a", sizes) is not None and langid.ngrams("1" * 1000, sizes) is None
+
+
+def test_tied_languages_take_the_first_name(spark):
+    # the same text under two languages: neither outweighs the other
+    rows = [(i, "ka to mi ra", lang) for i, lang in enumerate(["yy", "xx"] * 40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(df)
+    model.weights = [np.repeat(w[:, :1], 2, axis=1) for w in model.weights]
+    long = spark.createDataFrame([(1, "ka to mi ra " * 100_000), (2, "ka to mi ra"), (2, "ka to mi ra")], "doc_id long, text string")
+    assert {(r.lang_pred, r.score) for r in langid.predict(long, model).collect()} == {("xx", 0.5)}
+
+
 def test_language_without_training_rows(spark):
     df = spark.createDataFrame([(1, "ka to", None)], "doc_id long, text string, lang string")
     assert [(r.lang_pred, r.score) for r in langid.predict(df, langid.train(df)).collect()] == [("und", 0.0)]
@@ -316,6 +338,59 @@ def test_discriminant_is_the_density_ratio():
     assert np.allclose(model.scores(x), want)
 
 
+def test_shrunk_discriminant_is_the_density_ratio_of_the_shrunk_covariances():
+    draw = np.random.default_rng(4)
+    x = np.concatenate([draw.normal(0, 1, (70, 4)) * [1, 2, 3, 4], draw.normal(1, 2, (50, 4))])
+    y = np.repeat([0, 1], [70, 50])
+    how = quality.Discriminant()
+    assert how.to_pooled and how.to_round
+    model = quality.fit(x, y, how)
+    own = [np.cov(x[y == c].T, bias=True) for c in (0, 1)]
+    pooled = (70 * own[0] + 50 * own[1]) / 120
+
+    def log_density(v, c):
+        cov = own[c] + how.to_pooled * (pooled - own[c])
+        cov = cov + how.to_round * (np.eye(4) * np.mean(np.diag(cov)) - cov)
+        d = v - x[y == c].mean(axis=0)
+        return -0.5 * (d @ np.linalg.inv(cov) @ d + np.linalg.slogdet(cov)[1])
+
+    want = [1 / (1 + (70 / 50) * np.exp(log_density(v, 0) - log_density(v, 1))) for v in x]
+    assert np.allclose(model.scores(x), want, atol=1e-6)
+
+
+@pytest.mark.parametrize("text", [None, "", " \n\t", "One", "a a a", "AB 12 #$!\n\nAB 12 #$!\n x|y, http://z. é", "É\x0bx\u3000y <b>&amp;</b> 100%*", "w " * 30_000])
+def test_statistics_as_brute_force(text):
+    raw = (text or "").encode()
+    words = re.findall(rb"[^\x20\x09-\x0D]+", raw)
+    lines = [x for x in raw.split(b"\n") if re.search(rb"[^\x20\x09-\x0D]", x)]
+
+    def count(pattern):
+        return len(re.findall(pattern, raw))
+
+    rates = [count(rb"[A-Z]") / 6, count(rb"[0-9]"), count(rb"[#*$%&<>]"), count(rb"!"), count(rb"[|]"), count(rb"[.]"), count(rb","), len(lines)]
+    rates += [sum(x in lines[:i] for i, x in enumerate(lines)), len(words) - len(set(words)), count(rb"http"), len(raw) / 6]
+    want = [np.log1p(len(words)) / 4] + [np.log((r + 0.4) / (len(words) + 20)) for r in rates]
+    assert np.allclose(quality.statistics(text, 20.0), want)
+
+
+def test_quality_of_odd_rows(spark):
+    rows = quality_rows(200)
+    long = "good text of plain words, " * 60_000
+    extra = [(1000, long), (1001, long), (5, rows[5][1]), (5, rows[5][1])]
+    made = [(i, t, 1, 0.5, True) for i, t in [r[:2] for r in rows] + extra]
+    df = spark.createDataFrame(made, "doc_id long, text string, predicted int, score double, held_out boolean")
+    labels = spark.createDataFrame([(r[0], r[2], "t") for r in rows + rows[:9]], "doc_id long, quality int, text string")
+    got = quality.score(df, quality.train(df, labels)).collect()
+    assert len(got) == len(made) and all(0 <= r.score <= 1 for r in got)
+    by = {}
+    for r in got:
+        by.setdefault(1000 if r.doc_id == 1001 else r.doc_id, set()).add(r.score)
+    assert all(len(x) == 1 for x in by.values())
+    # repeated labels and rows change nothing, nor do values in columns of the same names
+    plain = quality.train(docs(spark, [r[:2] for r in rows]), labels.dropDuplicates())
+    assert np.allclose([r.score for r in quality.score(docs(spark, [r[:2] for r in rows]), plain).orderBy("doc_id").collect()], [min(by[r[0]]) for r in rows])
+
+
 def test_quality_without_labels(spark):
     df = docs(spark, [(1, "a")])
     none = spark.createDataFrame([], "doc_id long, quality int")
