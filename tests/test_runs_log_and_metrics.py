@@ -70,6 +70,20 @@ def test_fences(spark):
     assert got == {(0, "a"): None, (0, "b"): 0, (0, "c"): 0, (0, "d"): 0, (0, "e"): 0, (0, "f"): 1, (0, "g"): 1, (0, "z"): 1, (7, "a"): None}
 
 
+def test_probes_of_one_run_are_dealt_over_lanes(spark):
+    rnd = random.Random(4)
+    keys = sorted({f"k{rnd.randrange(10**6):06d}" for _ in range(300)})
+    index = runs.fences(runs.entries(run_rows(spark, keys), 100))
+    firsts = {r.block: r.first_key for r in index.collect()}
+    asked = [f"k{rnd.randrange(10**6):06d}" for _ in range(500)] + keys
+    probes = spark.createDataFrame([(0, k) for k in asked], "run_id long, key string")
+    for lanes in (1, 8):
+        got = {r.key: r.block for r in runs.fence_lookup(index, probes, lanes).collect()}
+        assert got == {k: max((b for b, f in firsts.items() if f <= k), default=None) for k in asked}
+    plan = runs.fence_lookup(index, probes)._jdf.queryExecution().optimizedPlan().toString()
+    assert any("Window" in x and "lane" in x for x in plan.splitlines())
+
+
 def test_order_audit(spark):
     assert one(runs.order_audit(run_rows(spark, ["a", "c", "b", "b", "d"])), "out_of_order") == 2
 
@@ -135,6 +149,20 @@ def test_bloom_parameters_and_answers(spark):
     assert 0.4 < bloom.stats(params, bits).first().fill_ratio < 0.6
 
 
+def test_bitmaps_over_many_parts_answer_as_sets(spark):
+    keys = spark.createDataFrame([(r, f"k{i}") for r, n in ((0, 9000), (1, 1)) for i in range(n)], "run_id long, key string")
+    params = bloom.parameters(keys.groupBy("run_id").agg(F.count("*").alias("n")))
+    filters = bloom.build(keys, params)
+    assert filters.where("run_id = 0").count() == 3
+    spots = lambda x: {r.key: (r.run_id, set(r.at)) for r in x.join(params, "run_id").select("run_id", "key", bloom.positions(F.col("key"), F.col("m"), F.col("k")).alias("at")).collect()}
+    held = set().union(*(at for _, at in spots(keys.where("run_id = 0")).values()))
+    asked = spark.createDataFrame([(0, f"x{i}") for i in range(2000)], "run_id long, key string")
+    got = {r.key: r.maybe for r in bloom.might_contain(asked, params, filters).collect()}
+    assert got == {k: at <= held for k, (_, at) in spots(asked).items()}
+    assert 0 < sum(got.values()) < 60
+    assert {r.run_id: r.set_bits for r in bloom.stats(params, filters).collect()}[0] == len(held)
+
+
 # the log
 
 
@@ -206,6 +234,27 @@ def test_lower_rank_percentiles(spark, values):
         assert got is None
 
 
+def test_percentiles_of_skewed_groups(spark):
+    rnd = random.Random(7)
+    rows = [("even", rnd.random()) for _ in range(700)] + [("tied", 1.5)] * 500 + [(None, float(i % 7)) for i in range(90)]
+    rows += [("hot", 0.0)] * 600 + [("hot", rnd.random() ** 9) for _ in range(300)] + [("odd", None), ("odd", 3.0), ("odd", float("nan")), ("empty", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    ps = [0.0, 0.25, 0.5, 0.99, 1.0]
+    for cuts in (2, 32):
+        got = {r.g: r for r in metrics.lower_percentiles(df, "v", ["g"], ps, cuts).collect()}
+        assert set(got) == {"even", "tied", None, "hot", "odd"}
+        for g, r in got.items():
+            s = sorted((v for x, v in rows if x == g and v is not None), key=lambda v: (v != v, v))
+            assert r.n == len(s)
+            assert [str(r[f"p{round(p * 100)}"]) for p in ps] == [str(s[int((len(s) - 1) * p)]) for p in ps]
+
+
+def test_percentiles_sort_within_buckets_only(spark):
+    plan = metrics.lower_percentiles(spark.createDataFrame([("a", 1)], "g string, v long"), "v", ["g"], [0.5])._jdf.queryExecution().optimizedPlan().toString()
+    windows = [x for x in plan.splitlines() if "Window" in x and "_v" in x]
+    assert windows and all("_bucket" in x for x in windows)
+
+
 def test_deltas_and_history(spark):
     df = spark.createDataFrame([(i, v) for i, v in enumerate([5, 9, 3, 3])], "t long, v long")
     assert [r.v_delta for r in metrics.deltas(df, "t", "v").orderBy("t").collect()] == [0, 4, 0, 0]

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import random
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,16 +42,28 @@ def space_rates(counters: DataFrame) -> DataFrame:
     return counters.withColumn("space_savings", saved).withColumn("write_amplification", rate(F.col("bytes_out"), F.col("writes_bytes"), 1.0))
 
 
-def lower_percentiles(rows: DataFrame, value: str, by: list[str], ps: list[float]) -> DataFrame:
+def lower_percentiles(rows: DataFrame, value: str, by: list[str], ps: list[float], cuts: int = 32) -> DataFrame:
     """The value at rank floor((n - 1) * p) of each group, which is not the interpolated nor the discrete percentile.
 
-    A group's values are ranked by sorting, not gathered; ranks come from the running count of equal values, so a group is
-    first reduced to its distinct values."""
-    freq = rows.groupBy(*by, value).agg(F.count("*").alias("_n"))
-    w = Window.partitionBy(*by).orderBy(value)
-    upto = freq.withColumn("_upto", F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_all", F.sum("_n").over(Window.partitionBy(*by)))
+    Values are numbers or times; nulls do not count. A group is reduced to its distinct values with their counts, and these are dealt over ``cuts`` buckets
+    between approximate quantiles. The buckets' counts, one row each, tell which bucket holds a rank, and that one alone is sorted. The bounds
+    only balance the buckets; the result is exact whatever they are."""
+    freq = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    shares = [i / cuts for i in range(1, cuts)]
+    bounds = freq.groupBy(*[F.col(c).alias(f"_b{i}") for i, c in enumerate(by)]).agg(F.percentile_approx("_v", shares, 20 * cuts).alias("_bounds"))
+    freq = freq.join(bounds, reduce(and_, [F.col(c).eqNullSafe(F.col(f"_b{i}")) for i, c in enumerate(by)]))
+    freq = freq.select(*by, "_v", "_n", F.size(F.filter("_bounds", lambda b: b < F.col("_v"))).alias("_bucket"))
+    in_order = Window.partitionBy(*by).orderBy("_bucket")
+    per = freq.groupBy(*by, "_bucket").agg(F.sum("_n").alias("_in"))
+    per = per.withColumn("_upto", F.sum("_in").over(in_order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_all", F.sum("_in").over(Window.partitionBy(*by)))
     at = [F.floor((F.col("_all") - 1) * F.lit(float(p))) + 1 for p in ps]
-    return upto.groupBy(*by).agg(F.sum("_n").alias("n"), *[F.min(F.when(F.col("_upto") >= a, F.col(value))).alias(f"p{round(p * 100)}") for a, p in zip(at, ps)])
+    wanted = per.where(reduce(or_, [(F.col("_upto") >= a) & (F.col("_upto") - F.col("_in") < a) for a in at]))
+    wanted = wanted.select(*[F.col(c).alias(f"_b{i}") for i, c in enumerate(by)], F.col("_bucket").alias("_of"), (F.col("_upto") - F.col("_in")).alias("_start"), "_all")
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_b{i}")) for i, c in enumerate(by)])
+    held = freq.join(wanted, same & (F.col("_bucket") == F.col("_of")))
+    within = Window.partitionBy(*by, "_bucket").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    held = held.withColumn("_rank", F.col("_start") + F.sum("_n").over(within))
+    return held.groupBy(*by).agg(F.first("_all").alias("n"), *[F.min(F.when(F.col("_rank") >= a, F.col("_v"))).alias(f"p{round(p * 100)}") for a, p in zip(at, ps)])
 
 
 def gauges(changes: DataFrame) -> DataFrame:

@@ -66,13 +66,15 @@ def fences(blocks: DataFrame) -> DataFrame:
     return per.withColumn("offset", start.cast("long")).withColumn("index_bytes", (F.octet_length("first_key") + 14).cast("long"))
 
 
-def fence_lookup(index: DataFrame, probes: DataFrame) -> DataFrame:
+def fence_lookup(index: DataFrame, probes: DataFrame, lanes: int = 8) -> DataFrame:
     """The block of a run that may hold each probe (run_id, key): the last whose first key is not greater; null before the first.
 
-    Fences and probes go through one window per run, so there is no interval join."""
-    lanes = index.select("run_id", F.col("first_key").alias("key"), "block", F.lit(0).alias("probe")).unionByName(probes.select("run_id", "key", F.lit(None).cast("long").alias("block"), F.lit(1).alias("probe")).distinct())
-    w = Window.partitionBy("run_id").orderBy("key", "probe").rowsBetween(Window.unboundedPreceding, 0)
-    return lanes.withColumn("block", F.last("block", ignorenulls=True).over(w)).where("probe = 1").drop("probe")
+    Fences and probes go through one window per run and lane, so there is no interval join. The probes of a run, which may be all there are,
+    are dealt over ``lanes`` by their keys; its fences, one per block, go to every lane."""
+    starts = index.select("run_id", F.col("first_key").alias("key"), "block", F.lit(0).alias("probe"), F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"))
+    asked = probes.select("run_id", "key").distinct().select("run_id", "key", F.lit(None).cast("long").alias("block"), F.lit(1).alias("probe"), F.pmod(F.xxhash64("key"), F.lit(lanes)).cast("int").alias("lane"))
+    w = Window.partitionBy("run_id", "lane").orderBy("key", "probe").rowsBetween(Window.unboundedPreceding, 0)
+    return starts.unionByName(asked).withColumn("block", F.last("block", ignorenulls=True).over(w)).where("probe = 1").drop("probe", "lane")
 
 
 def order_audit(rows: DataFrame, position: str = "seq") -> DataFrame:

@@ -27,10 +27,12 @@ def _finished(out: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int],
 
 
 def latest_of_stream(stream: DataFrame, folder: str) -> DataFrame:
-    """The latest value of each key once the stream's input is read: a stateful aggregation in complete mode."""
-    at = f"{folder}/latest-{uuid.uuid4().hex}"
-    _finished(latest_value(stream), f"{at}/state", lambda df, n: df.write.mode("overwrite").parquet(f"{at}/out"), "complete")
-    return stream.sparkSession.read.parquet(f"{at}/out")
+    """The latest value of each key once the stream's input is read: a stateful aggregation in update mode.
+
+    A batch writes the keys that it changed, and a batch that is tried again overwrites its own part; the newest of a key's entries is the answer."""
+    at, newest = f"{folder}/latest-{uuid.uuid4().hex}", latest_value(stream)
+    _finished(newest, f"{at}/state", lambda df, n: df.write.mode("overwrite").parquet(f"{at}/out/batch={n}"), "update")
+    return latest(stream.sparkSession.read.schema(newest.schema).parquet(f"{at}/out").select(newest.columns))
 
 
 def _keep_newest(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
