@@ -1,4 +1,7 @@
+import io
 import random
+import struct
+import wave
 
 import numpy as np
 
@@ -48,6 +51,51 @@ def test_a_tone_has_its_pitch_class():
         assert (chroma.argmax(axis=1) == semitone).all()
 
 
+def wav_file(samples, rate=4000, width=2, channels=1):
+    x = np.repeat(np.clip(samples, -1, 1)[:, None], channels, axis=1)
+    if width == 1:
+        data = np.round(x * 127 + 128).astype(np.uint8).tobytes()
+    else:
+        whole = np.round(x * (2 ** (8 * width - 1) - 1)).astype("<i4")
+        data = np.ascontiguousarray(whole.view(np.uint8).reshape(*x.shape, 4)[:, :, :width]).tobytes()
+    out = io.BytesIO()
+    with wave.open(out, "wb") as f:
+        f.setnchannels(channels), f.setsampwidth(width), f.setframerate(rate), f.writeframes(data)
+    return out.getvalue()
+
+
+def test_wav_samples_come_back():
+    how = Chroma()
+    x = np.random.default_rng(1).uniform(-0.9, 0.9, 1000)
+    for width, error in ((1, 0.02), (2, 1e-4), (3, 1e-6), (4, 1e-8)):
+        for channels in (1, 2):
+            assert np.abs(media.wav(wav_file(x, 4000, width, channels), how) - x).max() < error
+    tone = lambda rate: np.sin(2 * np.pi * 440 * np.arange(rate) / rate)
+    for rate in (4000, 8000, 11025, 44100, 2000):
+        got = media.wav(wav_file(tone(rate) * 0.9, rate), how)
+        assert abs(len(got) - 4000) <= 1
+        assert (media.chroma_frames(got, how).argmax(axis=1) == 0).all()
+    floats = b"RIFF\0\0\0\0WAVEjunk\3\0\0\0abc\0fmt " + struct.pack("<IHHIIHH", 16, 3, 1, 4000, 16000, 4, 32) + b"data" + struct.pack("<I", 16) + np.array([0.5, np.nan, np.inf, -0.25], "<f4").tobytes()
+    assert media.wav(floats, how).tolist() == [0.5, 0.0, 0.0, -0.25]
+    whole = wav_file(x)
+    assert len(media.wav(whole[:-300], how)) == 850
+    for bad in (None, b"", b"RIFF", whole[:20], whole[:36], b"x" * 100, whole[:20] + b"\x55\0" + whole[22:], whole[:22] + b"\0\0" + whole[24:]):
+        assert len(media.wav(bad, how)) == 0
+
+
+def test_wav_files_align(spark):
+    how = Chroma()
+    a, b = media.tones(vector(1), how) * 0.8, media.tones(vector(2), how) * 0.8
+    rows = [(0, wav_file(a)), (1, wav_file(a, width=3)), (2, wav_file(a[10 * how.hop :])), (3, wav_file(np.repeat(a, 2), 8000, channels=2)), (4, wav_file(b)), (5, None), (6, b"RIFFxxxxWAVE")]
+    table = spark.createDataFrame([(i, bytearray(x) if x is not None else None) for i, x in rows], "rec_id long, audio binary")
+    by = {r.id: r for r in media.align(media.fingerprints(table, "rec_id", "audio", media.wav)).collect()}
+    for i, offset in ((2, 10), (3, 0)):
+        assert by[i].best_query == 0 and by[i].best_offset == offset and by[i].bit_error <= 0.2
+    assert by[1].class_id == 0 or (by[1].best_query == 0 and by[1].bit_error <= 0.05)
+    assert [(by[i].n_matches, by[i].best_query) for i in (4, 5, 6)] == [(0, None)] * 3
+    assert (by[5].n_codes, by[6].n_codes) == (0, 0)
+
+
 def test_copies_excerpts_and_noise_align(spark):
     base = vector(1)
     rows = [(0, base), (1, base), (2, base[10:50]), (3, [x + 0.004 for x in base]), (5, vector(2)), (6, None), (7, []), (8, [None, float("nan")] * 30), (100, vector(3)), (101, vector(3)), (None, vector(3)), (100, vector(3))]
